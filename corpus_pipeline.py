@@ -1,10 +1,75 @@
-"""From raw documents to packed training sequences, in stages that are written and read again."""
+"""From raw documents to packed training sequences, in stages that are written and read again.
+
+Every stage but the last returns the columns of `documents`; n_chars follows the text.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weft.llm import mixing, packing, pii, quality
+from weft.llm.near_dedup import near_duplicates
+from weft.llm.scratch import Scratch
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score at least 0.3; learnt from `labels` outside the held-out fifth."""
+    return quality.keep_good(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate component (five-word shingles, similarity 0.8): that of smallest doc_id.
+
+    Rows that repeat a doc_id stay or go together; rows with a null doc_id stay.
+    """
+    found = near_duplicates(docs)
+    gone = found.where("not kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Spans of personal data replaced by their kind."""
+    return pii.mask(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each time that the mix takes a document; where a source's budget cuts one, its first words only.
+
+    A cut text's words are joined by single spaces. Documents of which nothing is taken go. Rows that repeat a
+    doc_id and have as many words count with the most that is taken of any of them.
+    """
+    taken = mixing.mixed(docs).groupBy("doc_id", "size").agg(F.max("taken").alias("taken")).where("taken > 0")
+    taken = taken.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), "taken")
+    words = F.coalesce(F.regexp_count("text", F.lit(mixing.WORD)), F.lit(0))
+    rows = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (words == F.col("_size")))
+    rows = rows.withColumn("_words", F.explode(F.expr("concat(array_repeat(_size, cast(taken div _size as int)), if(taken % _size > 0, array(taken % _size), array()))")))
+    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(mixing.WORD), F.lit(0)), F.lit(1), F.col("_words").cast("int")), " ")
+    rows = rows.withColumn("text", F.when(F.col("_words") < F.col("_size"), cut).otherwise(F.col("text")))
+    return rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of what is left and their places in sequences of 4096 tokens."""
+    return packing.packed(docs)
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("near_dedup", near_dedup_stage),
+    ("pii", pii_stage),
+    ("mixing", mixing_stage),
+    ("packing", packing_stage),
+]
+
+#: Classifier, signatures and packing aren't expressible in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over `documents`."""
+    tmp = Scratch(spark, "pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = tmp.keep(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
