@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import mixing, packing, pii, quality
+from weft.llm import language, mixing, packing, pii, quality, token_counts
 from weft.llm.near_dedup import near_duplicates
 
 
@@ -34,19 +34,30 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_table(spark, sf_dir, "documents"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every line of every text of `documents`, each text encoded whole."""
+    return token_counts.counted(_table(spark, sf_dir, "documents"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every text of `documents`."""
     return pii.find(_table(spark, sf_dir, "documents"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text of `documents`, learnt outside the held-out fifth."""
+    docs = _table(spark, sf_dir, "documents")
+    out = language.identified(docs, language.train(docs))
+    return out.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words a mix of the sources of `documents` takes of each document."""
     return mixing.mixed(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_quality_classifier, op4_minhash_near_dedup, op5_best_fit_packing, op8_pii, op10_mixing)
-}
+_ALL = (op2_quality_classifier, op4_minhash_near_dedup, op5_best_fit_packing, op6_token_counts, op8_pii, op9_language_id, op10_mixing)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 #: DuckDB SQL for those queries that SQL can express over whole tables.
 ORACLE_SQL: dict[str, str] = {"op10_mixing": mixing.SQL}
