@@ -9,12 +9,18 @@ from pyspark.sql import functions as F
 
 from weft.llm import language, mixing, packing, pii, quality, token_counts
 from weft.llm.near_dedup import near_duplicates
+from weft.llm.substring_dedup import without_repeats
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`documents` without the words of 13-word runs that a smaller doc_id has."""
+    return without_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every text of `documents`, learnt from `labels` outside the held-out fifth."""
     docs = _table(spark, sf_dir, "documents")
@@ -56,7 +62,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-_ALL = (op2_quality_classifier, op4_minhash_near_dedup, op5_best_fit_packing, op6_token_counts, op8_pii, op9_language_id, op10_mixing)
+_ALL = (op1_substring_dedup, op2_quality_classifier, op4_minhash_near_dedup, op5_best_fit_packing, op6_token_counts, op8_pii, op9_language_id, op10_mixing)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 #: DuckDB SQL for those queries that SQL can express over whole tables.
