@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.llm import language, mixing, packing, pii, quality, token_counts
+from weft.llm.ivfpq import near_duplicate_vectors, search
 from weft.llm.near_dedup import near_duplicates
 from weft.llm.substring_dedup import without_repeats
 
@@ -29,6 +30,12 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op3_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every 20th vector of `embeddings`, the 20 others of largest inner product."""
+    rows = _table(spark, sf_dir, "embeddings")
+    return search(rows, rows.where(F.col("vec_id") % 20 == 0), k=20)
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of `documents` over 4-word shingles of the lower-cased text, similarity 0.8."""
     found = near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, percent=80, lower=True)
@@ -45,6 +52,11 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.counted(_table(spark, sf_dir, "documents"))
 
 
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of `embeddings` of one label with a cosine of 0.98 or more, and their components."""
+    return near_duplicate_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every text of `documents`."""
     return pii.find(_table(spark, sf_dir, "documents"))
@@ -62,7 +74,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-_ALL = (op1_substring_dedup, op2_quality_classifier, op4_minhash_near_dedup, op5_best_fit_packing, op6_token_counts, op8_pii, op9_language_id, op10_mixing)
+_ALL = (op1_substring_dedup, op2_quality_classifier, op3_ann_search, op4_minhash_near_dedup, op5_best_fit_packing, op6_token_counts, op7_embedding_near_dedup, op8_pii, op9_language_id, op10_mixing)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 #: DuckDB SQL for those queries that SQL can express over whole tables.
