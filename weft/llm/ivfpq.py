@@ -22,6 +22,8 @@ SAMPLE = 16_384
 CODES = 256
 #: Rows of a shard and queries of a block, about.
 SHARD, QUERIES = 8192, 1024
+#: Standard errors of an asymmetric score by which a row may fall short of the k-th best and still be compared exactly.
+MARGIN = 4.0
 
 
 def usable(vector: Column) -> Column:
@@ -126,24 +128,23 @@ def _encoded(index: Index):
     return run
 
 
-def search(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, rerank: int = 120, parts: int = 32, recall: float = 0.97) -> DataFrame:
+def search(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, parts: int = 32, recall: float = 0.97) -> DataFrame:
     """query_id, rank, vec_id, score: for each row of `queries` the k rows of `df` of largest inner product, its own id excepted.
 
     Scores are inner products of the original vectors in double precision; ties go to the smaller vec_id. Null, zero
     and non-finite vectors, those of another dimension than most, and null ids take no part. The lists to probe are
-    as many as hold `recall` of the nearest neighbours within the sample; `rerank` rows of best asymmetric score are
-    compared exactly. With fewer candidates than k, all come out. Rows that repeat an id count once.
+    as many as hold `recall` of the nearest neighbours within the sample. In each shard the rows whose asymmetric
+    score is within MARGIN standard errors of the k-th best are compared exactly, however many they are. With fewer candidates than k, all come out. Rows that repeat an id count once.
     """
     tmp = Scratch(df.sparkSession, "ann")
     rows = tmp.keep(vectors(df, id_col, vector_col).dropDuplicates(["vec_id"]), "rows")
     sample, n = sampled(rows)
     wanted = tmp.keep(vectors(queries, id_col, vector_col).dropDuplicates(["vec_id"]).join(rows.select(F.col("vec_id").alias("i")), F.col("vec_id") == F.col("i"), "left_semi"), "queries")
-    schema = "query_id long, vec_id long, approx float"
     if not n:
         return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     index = Index(sample, int(min(1024, max(1, n**0.5 / 4))), parts)
     probes = probes_for(index, sample, k, recall)
-    coded = tmp.keep(rows.mapInArrow(_encoded(index), "vec_id long, list int, code binary"), "coded")
+    coded = tmp.keep(rows.mapInArrow(_encoded(index), "vec_id long, list int, code binary").join(rows, "vec_id"), "coded")
 
     shards = -(-n // SHARD)
     counts = {r["list"]: r["count"] for r in coded.groupBy("list").count().collect()}  # at most 1024 rows
@@ -163,12 +164,12 @@ def search(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col
                 yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array([h for t in to for h in t], pa.int32())], names=["query_id", "q", "shard"])
 
     def scan(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.float32)]]
+        out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
         if left.num_rows and right.num_rows:
-            left = left.sort_by("vec_id")
             ids, lists = left.column("vec_id").to_numpy(), left.column("list").to_numpy()
             codes = np.frombuffer(b"".join(left.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
-            qid, q = right.column("query_id").to_numpy(), matrix(right.column("q").combine_chunks())
+            x, qid, q = matrix(left.column("v").combine_chunks()), right.column("query_id").to_numpy(), matrix(right.column("q").combine_chunks())
+            slack = (2 * MARGIN / x.shape[1] ** 0.5) * np.sqrt(((x - index.decode(lists, codes)) ** 2).sum(1)).max() * np.sqrt((q * q).sum(1))
             probed = np.zeros((len(q), len(index.centres)), bool)
             np.put_along_axis(probed, np.argsort(-(q @ index.centres.T), axis=1, kind="stable")[:, :probes], True, axis=1)
             tables = index.tables(q)
@@ -178,31 +179,21 @@ def search(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col
                 if len(own):
                     scores[np.ix_(own, there)] = index.products(tables, own, q, c, codes[there])
             scores[qid[:, None] == ids] = -np.inf
-            m = min(rerank, len(ids))
-            least = np.partition(scores, len(ids) - m, axis=1)[:, len(ids) - m]
+            m = min(k, len(ids))
+            least = np.partition(scores, len(ids) - m, axis=1)[:, len(ids) - m] - slack
             for i in range(len(q)):
                 hit = np.flatnonzero((scores[i] >= least[i]) & (scores[i] > -np.inf))
-                if len(hit) > m:  # equal codes: the smaller ids
-                    hit = hit[np.argsort(-scores[i][hit], kind="stable")[:m]]
-                for column, value in zip(out, (np.full(len(hit), qid[i]), ids[hit], scores[i][hit])):
+                exact = (x[hit] * q[i]).sum(1)
+                best = np.lexsort((ids[hit], -exact))[:k]
+                for column, value in zip(out, (np.full(len(best), qid[i]), ids[hit][best], exact[best])):
                     column.append(value)
-        return pa.table([pa.array(np.concatenate(x)) for x in out], names=["query_id", "vec_id", "approx"])
+        return pa.table([pa.array(np.concatenate(x)) for x in out], names=["query_id", "vec_id", "score"])
 
     asked = wanted.mapInArrow(route, "query_id long, q array<double>, shard int").withColumn("block", F.pmod(F.xxhash64("query_id", F.lit(3)), F.lit(blocks)).cast("int"))
     spread = coded.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    found = spread.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInArrow(scan, schema)
-    by = Window.partitionBy("query_id")
-    found = found.withColumn("r", F.row_number().over(by.orderBy(F.desc("approx"), "vec_id"))).where(F.col("r") <= rerank).drop("r")
-
-    def exact(batches):
-        for b in batches:
-            x, y = matrix(b.column(2)), matrix(b.column(3))
-            score = (x * y).sum(1) if len(x) else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score)], names=["query_id", "vec_id", "score"])
-
-    both = found.join(rows, "vec_id").join(wanted.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
-    scored = both.select("query_id", "vec_id", "v", "q").mapInArrow(exact, "query_id long, vec_id long, score double")
-    return scored.withColumn("rank", F.row_number().over(by.orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = spread.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInArrow(scan, "query_id long, vec_id long, score double")
+    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return found.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def near_duplicate_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = 0.98, parts: int = 16) -> DataFrame:
