@@ -25,12 +25,14 @@ from weft.llm.components import components
 from weft.llm.scratch import Scratch
 from weft.llm.words import U, bytes_of, grams, mix, signed, slabs, words_of
 
-_ODD = (np.random.default_rng(7).integers(0, 2**63, 256, dtype=np.uint64) << U(1)) | U(1)
-_XOR = np.random.default_rng(11).integers(0, 2**63, 256, dtype=np.uint64)
+_ODD = (np.random.default_rng(7).integers(0, 2**63, 1024, dtype=np.uint64) << U(1)) | U(1)
+_XOR = np.random.default_rng(11).integers(0, 2**63, 1024, dtype=np.uint64)
 #: Members of a posting list that one task compares with as many others.
 BLOCK = 1024
+#: Coordinates, one byte each, of the longer signatures by which members of a posting list are compared.
+WIDE = 512
 #: Shingles whose minima are taken in one piece.
-_PIECE = 1 << 12
+_PIECE = 1 << 10
 
 
 def shingle_sets(batch: pa.RecordBatch, text: int, k: int, lower: bool) -> Iterator[np.ndarray]:
@@ -74,40 +76,57 @@ def _signer(k: int, lower: bool, n: int):
 
 
 def _set_maker(k: int, lower: bool):
-    schema = pa.schema([("c", pa.int64()), ("shingles", pa.binary())])
+    schema = pa.schema([("c", pa.int64()), ("shingles", pa.binary()), ("sig", pa.binary())])
 
     def run(batches):
         for whole in batches:
             for batch in slabs(whole, 1):
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(batch, 1, k, lower)], pa.binary())], schema=schema)
+                sets = [*shingle_sets(batch, 1, k, lower)]
+                sigs = [minima(s, WIDE).astype(np.uint8).tobytes() for s in sets]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(sigs, pa.binary())], schema=schema)
 
     return run
 
 
 def _exploder(n: int):
-    schema = pa.schema([("c", pa.int64()), ("k", pa.int32()), ("v", pa.int64())])
+    """A row per coordinate-value pair; the pair is written as one 64-bit number."""
+    schema = pa.schema([("c", pa.int64()), ("pair", pa.int64())])
+    salt = mix(np.arange(n, dtype=np.uint64), 3)
 
     def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64)
+        for whole in batches:
+            for batch in (whole.slice(i, 1024) for i in range(0, whole.num_rows, 1024)):
+                sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(-1, n)
                 c = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), n)
-                yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(np.tile(np.arange(n, dtype=np.int32), batch.num_rows)), pa.array(sig)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(c), signed(mix(sig ^ salt).ravel())], schema=schema)
 
     return run
 
 
-def _counter(n: int, matches: int):
-    """Keeps (a, b) whose signatures agree in enough coordinates, with the count."""
+def least_matches(n: int, percent: int, deviations: float, chance: float = 0.0) -> int:
+    """Agreements among n coordinates that a pair right at the threshold reaches but for `deviations` of bad luck."""
+    p = percent / 100
+    return int(n * (p + (1 - p) * chance) - deviations * (n * p * (1 - p)) ** 0.5)
+
+
+def _counter(matches: int):
+    """Compares each member's signature with those of its list's leaders; keeps those that agree often enough."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("m", pa.int32())])
 
     def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(-1, n) for i in (2, 3))
-                m = (x == y).sum(1).astype(np.int32)
-                keep = np.flatnonzero(m >= matches)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), batch.column(1).take(pa.array(keep)), pa.array(m[keep])], schema=schema)
+        for whole in batches:
+            for batch in (whole.slice(i, 1024) for i in range(0, whole.num_rows, 1024)):
+                c, comp = (batch.column(i).to_numpy() for i in (0, 1))
+                own = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, WIDE)
+                found = []
+                for i in range(3, batch.num_columns):
+                    head = batch.column(i)
+                    lead, lead_comp = head.field("c").to_numpy(), head.field("comp").to_numpy()
+                    m = (own == np.frombuffer(b"".join(head.field("sig").to_pylist()), np.uint8).reshape(-1, WIDE)).sum(1)
+                    keep = np.flatnonzero((m >= matches) & (comp != lead_comp))
+                    found.append(np.stack([np.minimum(c, lead)[keep], np.maximum(c, lead)[keep], m[keep]]))
+                a, b, m = np.unique(np.concatenate(found, axis=1), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(m.astype(np.int32))], schema=schema)
 
     return run
 
@@ -130,21 +149,27 @@ def _confirmer(percent: int):
     return run
 
 
-def _block_pairs(n: int, matches: int):
-    """Within one pair of blocks of a posting list: pairs of different components that agree often enough."""
+def _block_pairs(matches: int):
+    """Within one pair of blocks of a posting list: pairs of different components that agree often enough.
+
+    A pair that meets in several lists comes out of the first of them only.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         c, comp, part = (table.column(x).to_numpy() for x in ("c", "comp", "part"))
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint64).reshape(-1, n)
+        this = table.column("pair")[0].as_py()
+        lists = table.column("lists").to_pylist()
+        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(-1, WIDE)
         left, right = np.flatnonzero(part != 1), np.flatnonzero(part != 0)
         a, b = [], []
         for i in left:
             other = right[(comp[right] != comp[i]) & ((part[right] == 1) | (c[right] > c[i]))]
-            hit = other[(sig[other] == sig[i]).sum(1) >= matches]
-            a.append(np.full(len(hit), c[i]))
-            b.append(c[hit])
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
-        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+            mine = set(lists[i])
+            for j in other[(sig[other] == sig[i]).sum(1) >= matches]:
+                if min(mine.intersection(lists[j])) == this:
+                    a.append(min(c[i], c[j]))
+                    b.append(max(c[i], c[j]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
@@ -156,9 +181,8 @@ def near_duplicates(
     shingle: int = 5,
     percent: int = 80,
     lower: bool = False,
-    coordinates: int = 40,
-    matches: int = 20,
-    leaders: int = 3,
+    coordinates: int = 96,
+    leaders: int = 2,
     rounds: int = 2,
 ) -> DataFrame:
     """One row per document: doc_id, n_shingles, class_id, component_id, kept.
@@ -169,36 +193,31 @@ def near_duplicates(
     Documents that share a doc_id count as one node. A null doc_id takes no part: its class and component are null
     and it is kept. Other columns of `docs`, whatever their names, are not read.
     """
-    spark = docs.sparkSession
-    tmp = Scratch(spark, "near")
+    matches = least_matches(coordinates, percent, 3.8)
+    alike = least_matches(WIDE, percent, 4.0, 1 / 256)
+    tmp = Scratch(docs.sparkSession, "near")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed_rows = tmp.keep(rows.mapInArrow(_signer(shingle, lower, coordinates), "doc_id long, n long, d1 long, d2 long, sig binary"), "signatures")
     sets = signed_rows.where("n > 0 and doc_id is not null")
     classes = tmp.keep(sets.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("c"), F.first("sig").alias("sig")), "classes")
     member = signed_rows.select("doc_id", "n", "d1", "d2").join(classes.select("d1", "d2", "n", "c"), ["d1", "d2", "n"], "left")
 
-    pairs = tmp.keep(classes.select("c", "sig").mapInArrow(_exploder(coordinates), "c long, k int, v long"), "pairs")
-    often = tmp.keep(pairs.groupBy("k", "v").agg(F.count("*").alias("f")).where("f > 1"), "often")
+    pairs = classes.select("c", "sig").mapInArrow(_exploder(coordinates), "c long, pair long")
+    often = tmp.keep(pairs.groupBy("pair").agg(F.count("*").alias("f")).where("f > 1"), "often")
     # Pairs that nobody shares come first in the order; only their number matters.
-    shared = pairs.join(often, ["k", "v"])
+    shared = pairs.join(often, "pair")
     own = Window.partitionBy("c")
-    ranked = shared.withColumn("r", F.row_number().over(own.orderBy("f", "k", "v"))).withColumn("m", F.count("*").over(own))
-    posted = tmp.keep(ranked.where(F.col("r") + coordinates - F.col("m") <= coordinates - matches + 1).select("c", "k", "v"), "posted")
-    tmp.drop("pairs")
+    ranked = shared.withColumn("r", F.row_number().over(own.orderBy("f", "pair"))).withColumn("m", F.count("*").over(own))
+    posted = tmp.keep(ranked.where(F.col("r") + coordinates - F.col("m") <= coordinates - matches + 1).select("c", "pair"), "posted")
 
     wanted = posted.select("c").distinct()
-    sig = tmp.keep(classes.select("c", "sig").join(wanted, "c"), "sig")
-    full = tmp.keep(rows.join(wanted, rows.doc_id == wanted.c, "left_semi").mapInArrow(_set_maker(shingle, lower), "c long, shingles binary"), "full")
-
-    def sided(table: DataFrame, value: str, side: str) -> DataFrame:
-        return table.select(F.col("c").alias(side), F.col(value).alias(f"{value}_{side}"))
-
-    def counted(found: DataFrame) -> DataFrame:
-        both = found.join(sided(sig, "sig", "a"), "a").join(sided(sig, "sig", "b"), "b")
-        return both.select("a", "b", "sig_a", "sig_b").mapInArrow(_counter(coordinates, matches), "a long, b long, m int")
+    full = tmp.keep(rows.join(wanted, rows.doc_id == wanted.c, "left_semi").mapInArrow(_set_maker(shingle, lower), "c long, shingles binary, sig binary"), "full")
+    sig = full.select("c", "sig")
 
     def confirmed(found: DataFrame) -> DataFrame:
-        both = found.join(sided(full, "shingles", "a"), "a").join(sided(full, "shingles", "b"), "b")
+        both = found
+        for side in ("a", "b"):
+            both = both.join(full.select(F.col("c").alias(side), F.col("shingles").alias(f"shingles_{side}")), side)
         return both.select("a", "b", "shingles_a", "shingles_b").mapInArrow(_confirmer(percent), "a long, b long")
 
     links = None
@@ -207,24 +226,28 @@ def near_duplicates(
         at = posted if comp is None else posted.join(comp.withColumnRenamed("node", "c"), "c", "left")
         at = at.withColumn("comp", F.col("c") if comp is None else F.coalesce("component", "c"))
         order = lambda i: F.struct((F.col("c") if k + i == 0 else F.xxhash64("c", F.lit(k * leaders + i))).alias("key"), "c", "comp")
-        heads = at.groupBy("k", "v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), *(F.min(order(i)).alias(f"h{i}") for i in range(leaders)))
-        heads = tmp.keep(heads.where("lo < hi").select("k", "v", F.array(*(F.struct(F.col(f"h{i}.c").alias("c"), F.col(f"h{i}.comp").alias("comp")) for i in range(leaders))).alias("heads")), f"heads{k}")
-        tried = at.join(heads, ["k", "v"]).select("c", "comp", F.explode("heads").alias("h")).where("comp <> h.comp")
-        tried = tried.select(F.least("c", "h.c").alias("a"), F.greatest("c", "h.c").alias("b")).distinct()
+        heads = at.groupBy("pair").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), *(F.min(order(i)).alias(f"h{i}") for i in range(leaders))).where("lo < hi")
+        for i in range(leaders):
+            one = sig.select(F.col("c").alias("hc"), F.col("sig").alias("hs"))
+            heads = heads.join(one, F.col(f"h{i}.c") == F.col("hc")).withColumn(f"h{i}", F.struct(F.col(f"h{i}.c").alias("c"), F.col(f"h{i}.comp").alias("comp"), F.col("hs").alias("sig"))).drop("hc", "hs")
+        heads = tmp.keep(heads.select("pair", *(f"h{i}" for i in range(leaders))), f"heads{k}")
+        tried = at.join(heads, "pair").join(sig, "c").select("c", "comp", "sig", *(f"h{i}" for i in range(leaders)))
+        tried = tried.mapInArrow(_counter(alike), "a long, b long, m int").distinct()
         # A member goes on with its most similar leaders only; what that leaves open is left to what follows.
-        best = tmp.keep(counted(tried).withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("m"), "a"))).where("r <= 2").select("a", "b"), f"best{k}")
+        best = tmp.keep(tried.withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("m"), "a"))).where("r <= 2").select("a", "b"), f"best{k}")
         new = tmp.keep(confirmed(best), f"links{k}")
         links = new if links is None else links.union(new)
         comp = components(links, "a", "b", tmp, f"cc{k}")
 
     at = posted.join(comp.withColumnRenamed("node", "c"), "c", "left").withColumn("comp", F.coalesce("component", "c"))
-    open_lists = tmp.keep(at.groupBy("k", "v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("k", "v", "size"), "open")
+    open_lists = tmp.keep(at.groupBy("pair").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("pair", "size"), "open")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    rest = at.join(open_lists, ["k", "v"]).withColumn("blocks", blocks).withColumn("x", F.pmod(F.xxhash64("c"), "blocks").cast("int"))
+    rest = at.join(open_lists, "pair").withColumn("blocks", blocks).withColumn("x", F.pmod(F.xxhash64("c"), "blocks").cast("int"))
     # A member of block x goes to (x, x) and to every (x, y) and (y, x), in which it stands left or right.
     spread = F.expr("transform(sequence(0, blocks - 1), y -> struct(least(x, y) as lo, greatest(x, y) as hi, cast(if(x = y, 2, if(x < y, 0, 1)) as int) as part))")
-    rest = rest.select("c", "comp", "k", "v", F.explode(spread).alias("s")).select("c", "comp", "k", "v", "s.lo", "s.hi", "s.part").join(sig, "c")
-    more = rest.groupBy("k", "v", "lo", "hi").applyInArrow(_block_pairs(coordinates, matches), "a long, b long").distinct()
+    rest = rest.select("c", "comp", "pair", F.explode(spread).alias("s")).select("c", "comp", "pair", "s.lo", "s.hi", "s.part")
+    rest = rest.join(posted.join(open_lists, "pair", "left_semi").groupBy("c").agg(F.collect_list("pair").alias("lists")), "c").join(sig, "c")
+    more = rest.groupBy("pair", "lo", "hi").applyInArrow(_block_pairs(alike), "a long, b long")
     links = links.union(tmp.keep(confirmed(tmp.keep(more, "more")), "links-more"))
     comp = components(links, "a", "b", tmp, "cc")
 
