@@ -40,12 +40,12 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     doc_id and have as many words count with the most that is taken of any of them.
     """
     taken = mixing.mixed(docs).groupBy("doc_id", "size").agg(F.max("taken").alias("taken")).where("taken > 0")
-    taken = taken.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), "taken")
+    each = F.expr("concat(array_repeat(size, cast(taken div size as int)), if(taken % size > 0, array(taken % size), array()))")
+    taken = taken.select(F.col("doc_id").alias("_mix_id"), F.col("size").alias("_mix_size"), F.explode(each).alias("_mix_words"))
     words = F.coalesce(F.regexp_count("text", F.lit(mixing.WORD)), F.lit(0))
-    rows = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (words == F.col("_size")))
-    rows = rows.withColumn("_words", F.explode(F.expr("concat(array_repeat(_size, cast(taken div _size as int)), if(taken % _size > 0, array(taken % _size), array()))")))
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(mixing.WORD), F.lit(0)), F.lit(1), F.col("_words").cast("int")), " ")
-    rows = rows.withColumn("text", F.when(F.col("_words") < F.col("_size"), cut).otherwise(F.col("text")))
+    rows = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_mix_id")) & (words == F.col("_mix_size")))
+    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(mixing.WORD), F.lit(0)), F.lit(1), F.col("_mix_words").cast("int")), " ")
+    rows = rows.withColumn("text", F.when(F.col("_mix_words") < F.col("_mix_size"), cut).otherwise(F.col("text")))
     return rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 

@@ -92,7 +92,7 @@ def sampled(rows: DataFrame, rng: int = 0) -> tuple[np.ndarray, int]:
     share = min(1.0, 1.2 * SAMPLE / max(n, 1))
     key = F.pmod(F.xxhash64("vec_id", F.lit(rng)), F.lit(2**30))
     got = rows.where(key < int(share * 2**30)).select("vec_id", key.alias("key"), "v").toPandas().sort_values(["key", "vec_id"]).head(SAMPLE)
-    return np.array(got["v"].tolist(), np.float64).reshape(len(got), -1), n
+    return (np.array(got["v"].tolist(), np.float64) if len(got) else np.zeros((0, 1))), n
 
 
 def vectors(df: DataFrame, id_col: str, vector_col: str, *extra: str) -> DataFrame:

@@ -252,5 +252,6 @@ def near_duplicates(
     comp = components(links, "a", "b", tmp, "cc")
 
     out = member.join(comp.withColumnRenamed("node", "c"), "c", "left")
-    component = F.coalesce("component", "c", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("c", "doc_id").alias("class_id"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    known = F.col("doc_id").isNotNull()
+    component = F.when(known, F.coalesce("component", "c", "doc_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(known, F.coalesce("c", "doc_id")).alias("class_id"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
