@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from weft.functions import affixes, scoring, text
 from weft.functions.literals import APOSTROPHES, ARTICLES, ASCII_PUNCTUATION, POSSESSIVE_DETERMINERS, PREFIX_PUNCTUATION, PREPOSITIONS, WORD
-from weft.operators import corpus, metrics
-from weft.plans import bpe, composition, rows
+from weft.operators import corpus, metrics, sequences
+from weft.plans import bpe, composition, metadata, rows
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -376,6 +376,107 @@ def file_digests(spark, sf_dir):
     return corpus.digests(_documents(spark, sf_dir).select("doc_id", F.col("text").cast("binary").alias("content")), "doc_id", "content")
 
 
+def _base_sql(before: str = " ") -> str:
+    """The stripped surfaces: ASCII words, behind a space or not, in place of lines."""
+    return _strip_sql().replace(LINES, f"{SURFACES}, lines as (select '{before}' || word as line from surfaces where regexp_full_match(word, '[!-~]+'))").replace("md5(line) as line", "line")
+
+
+_BASE_KEY = "case when length(ltrim(base, ' ')) = 0 then null when regexp_matches(base, '[A-Z]') and not regexp_matches(base, '[a-z]') then ltrim(base, ' ') else lower(ltrim(base, ' ')) end"
+
+
+def _ascii_vocabulary(spark, sf_dir, before: str = " "):
+    word = F.concat(F.lit(before), "word")
+    return _surfaces(spark, sf_dir).where(F.col("word").rlike("^[!-~]+$")).select(word.alias("surface"), word.alias("id"))
+
+
+@query(f"with b as ({_base_sql()}), k as (select line, {_BASE_KEY} as base_key from b) select base_key, min(line) as first_id, count(distinct line) as n_variants from k where coalesce(base_key, '') <> '' group by base_key")
+def vocab_bases(spark, sf_dir):
+    """Bases of the corpus's ASCII words, with the first word and the number of words that decompose to each."""
+    return metadata.bases(_ascii_vocabulary(spark, sf_dir), "id", "surface")
+
+
+@query(f"with b as ({_base_sql('')}), k as (select line, {_BASE_KEY} as base_key from b) select line as id from k where coalesce(base_key, '') = '' or base_key = line")
+def vocab_survivors(spark, sf_dir):
+    """Words that decompose to nothing else."""
+    return metadata.survivors(_ascii_vocabulary(spark, sf_dir, ""), "id", "surface")
+
+
+_IDS = "ids as (select doc_id, list_transform(string_split(text, ' '), lambda w: length(w)) as ids from documents)"
+
+
+def _word_lengths(spark, sf_dir):
+    return _documents(spark, sf_dir).select("doc_id", F.transform(F.split("text", " "), lambda w: F.length(w)).alias("ids"))
+
+
+@query(f"with {_IDS} select doc_id, list_sum(ids[:65]) as total, list_sum(ids[-50:]) as tail, len(ids) as n, coalesce(list_position(ids, 9) - 1, len(ids)) as kept, len(ids) - 1 as targets, coalesce(list_sum(ids[2:]), 0) as target_sum from ids")
+def pad_tail_stop_shift(spark, sf_dir):
+    """Word lengths of every document padded to 65, their last 50, those before the first 9, and the targets of a shift."""
+    ids = F.col("ids")
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + x)
+    _, targets = sequences.shifted(ids)
+    return _word_lengths(spark, sf_dir).select(
+        "doc_id", total(sequences.padded(ids, 65)).alias("total"), total(sequences.tail(ids, 50)).alias("tail"), F.size(ids).alias("n"),
+        F.size(sequences.before_stop(ids, [9])).alias("kept"), F.size(targets).alias("targets"), total(targets).alias("target_sum"),
+    )
+
+
+@query("""with w as (select conv_id, turn, string_split(text, ' ') as a, lead(string_split(text, ' ')) over (partition by conv_id order by turn) as b from conversations)
+select conv_id, turn, len(list_filter(range(1, least(len(a), len(b)) + 1), lambda i: a[1:i] = b[1:i])) as shared from w where b is not null""")
+def common_prefixes(spark, sf_dir):
+    """Words that a turn and the next one start with alike."""
+    from pyspark.sql import Window
+
+    w = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.split("text", " ").alias("a"))
+    w = w.withColumn("b", F.lead("a").over(Window.partitionBy("conv_id").orderBy("turn"))).where("b is not null")
+    return w.select("conv_id", "turn", sequences.common_prefix(F.col("a"), F.col("b")).alias("shared"))
+
+
+_ENTRY_SQL = """words as (select conv_id * 1000 + turn as k, string_split(text, ' ') as ids from conversations),
+places as (select k, ids, unnest(range(1, len(ids) + 1)) as p from words), runs as (select k, p, n, ids[p:p + n - 1] as r from places, (values (1), (2), (3)) v(n) where p + n - 1 <= len(ids)),
+entries as (select r, array_to_string(r, '_') as entry from runs group by r having count(*) >= 5)"""
+
+
+@query(f"with {_ENTRY_SQL} select k, p - 1 as pos, max(n) as n, arg_max(entry, n) as entry from runs join entries using (r) group by k, p")
+def longest_prefix_join(spark, sf_dir):
+    """At every word of every turn the longest of the runs of up to three words that occur five times."""
+    stream = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("k"), F.split("text", " ").alias("ids"))
+    starts = stream.select("ids", F.explode(F.sequence(F.lit(1), F.size("ids"))).alias("p")).withColumn("n", F.explode(F.array(*map(F.lit, (1, 2, 3)))))
+    entries = starts.where(F.col("p") + F.col("n") - 1 <= F.size("ids")).select(F.slice("ids", F.col("p"), F.col("n")).alias("token_ids")).groupBy("token_ids").count().where("count >= 5").select("token_ids", F.array_join("token_ids", "_").alias("entry"))
+    return metrics.longest_prefix_entries(stream, entries, "k", "ids", 3)
+
+
+@query("""with c as (select conv_id, turn, text, lag(text) over w as p1, lag(text, 2) over w as p2 from conversations window w as (partition by conv_id order by turn))
+select conv_id, turn, md5(p2 || ' ' || p1 || chr(10) || chr(10) || text) as prompt from c where p2 is not null""")
+def prompts(spark, sf_dir):
+    """A one-shot prompt of each turn's two predecessors and itself."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    c = table(spark, sf_dir, "conversations").withColumn("p1", F.lag("text").over(w)).withColumn("p2", F.lag("text", 2).over(w)).where("p2 is not null")
+    shots = F.array(F.struct(F.col("p2").alias("context"), F.col("p1").alias("answer")))
+    return c.select("conv_id", "turn", F.md5(sequences.rendered(shots, F.col("text")).cast("binary")).alias("prompt"))
+
+
+@query()
+def few_shot_samples(spark, sf_dir):
+    """Four other turns for each turn of the roles' tasks, drawn by a seeded generator."""
+    from pyspark.sql import Window
+
+    c = table(spark, sf_dir, "conversations").withColumn("i", F.row_number().over(Window.partitionBy("role").orderBy("conv_id", "turn")).cast("long") - 1)
+    return sequences.few_shots(c, "role", "i", 4)
+
+
+_DELTA_ROWS = [(g, i, len(v.encode()) + (1 if v and g in (2, 4) else 0)) for g in (2, 4, 6, 7) for i, v in enumerate(composition.GROUPS[g][1])]
+
+
+@query("select * from (values " + ", ".join(map(str, _DELTA_ROWS)) + ") v(group_idx, rel_idx, delta)")
+def modifier_bytes(spark, sf_dir):
+    """Bytes that each literal of each group adds."""
+    d = composition.modifier_values(spark).where(F.col("group_idx").isin(2, 4, 6, 7))
+    row = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda g: F.when(g == F.col("group_idx"), F.col("rel_idx")).otherwise(0))
+    return d.select("group_idx", "rel_idx", metadata.utf8_delta(row).alias("delta"))
+
+
 #: Vocabulary size of the small tokenizer that the queries train.
 VOCABULARY = 400
 
