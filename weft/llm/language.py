@@ -8,6 +8,7 @@ labels spans of mixed texts; the language of most letters on the path is the tex
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections import Counter
 
@@ -31,13 +32,13 @@ SCRIPTS = (
     (0x1E00, "latin"), (0x1F00, "greek"), (0x2000, "other"), (0x2C60, "latin"), (0x2C80, "other"), (0x3040, "kana"), (0x3100, "han"),
     (0xA000, "other"), (0xAC00, "hangul"), (0xD7B0, "other"), (0xF900, "han"), (0xFB00, "other"), (0x20000, "han"), (0x31350, "other"),
 )
-_STARTS = np.array([a for a, _ in SCRIPTS])
+_STARTS = [a for a, _ in SCRIPTS]
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def script_of(word: str) -> str:
     """Script of the first letter."""
-    return SCRIPTS[int(np.searchsorted(_STARTS, ord(word[0]), "right")) - 1][1]
+    return SCRIPTS[bisect.bisect_right(_STARTS, ord(word[0])) - 1][1]
 
 
 def trigrams(word: str) -> list[str]:
@@ -61,34 +62,46 @@ class Model:
 
     def _forget(self) -> None:
         self._known: dict[str, int] = {}
+        self._cores: dict[str, int] = {}
         self._table = np.zeros((1 << 12, len(self.langs) + 1), np.float32)
+        #: Only scripts that some language doesn't use rule anything out.
+        self._ruling = {k: v for k, v in self.scripts.items() if not v.all()}
 
     def _learn(self, words: list[str]) -> None:
-        """Rows of new words: a score for each language, 0 without letters; last, the number of letters."""
-        at, gram, weight, letters, ruled = [], [], [], np.zeros(len(words), np.float32), []
-        for k, word in enumerate(words):
-            for own in _LETTERS.findall(word.lower()):
-                letters[k] += len(own)
-                g = trigrams(own)
-                gram += [self.grams.get(x, -1) for x in g]
-                at += [k] * len(g)
-                weight += [min(len(g), LONG) / len(g)] * len(g)
-                allowed = self.scripts.get(script_of(own))
-                if allowed is not None and not allowed.all():
-                    ruled.append((k, allowed))
-        out = np.zeros((len(words), len(self.langs) + 1), np.float32)
+        """Rows of new words: a score for each language, 0 without letters; last, the number of letters.
+
+        Words of the same letters in lower case share a row.
+        """
+        cores, get = self._cores, self.grams.get
+        base = len(cores)
+        at, gram, size, weight, letters, ruled = [], [], [], [], [], []
+        for word in words:
+            parts = _LETTERS.findall(word.lower())
+            core = parts[0] if len(parts) == 1 else " ".join(parts)
+            row = cores.get(core)
+            if row is None:
+                row = cores[core] = base + len(letters)
+                letters.append(sum(map(len, parts)))
+                for own in parts:
+                    g = f" {own} "
+                    n = len(own)
+                    gram += [get(g[i : i + 3], -1) for i in range(n)]
+                    at.append(row - base)
+                    size.append(n)
+                    weight.append(min(n, LONG) / n)
+                    if self._ruling and (allowed := self._ruling.get(script_of(own))) is not None:
+                        ruled.append((row - base, allowed))
+            self._known[word] = row
+        out = np.zeros((len(letters), len(self.langs) + 1), np.float32)
         if at:
-            each = self.scores[gram] * np.array(weight)[:, None]
-            first = np.flatnonzero(np.diff(at, prepend=-1))
-            out[np.array(at)[first], :-1] = np.add.reduceat(each, first)
-        for k, allowed in ruled:
-            out[k, :-1] -= np.where(allowed, 0.0, 50.0)
+            each = np.add.reduceat(self.scores[gram], np.cumsum([0, *size[:-1]])) * np.array(weight)[:, None]
+            np.add.at(out[:, :-1], np.array(at), each)
+        for row, allowed in ruled:
+            out[row, :-1] -= np.where(allowed, 0.0, 50.0)
         out[:, -1] = letters
-        base = len(self._known)
-        while base + len(words) > len(self._table):
+        while base + len(out) > len(self._table):
             self._table = np.concatenate([self._table, np.zeros_like(self._table)])
-        self._table[base : base + len(words)] = out
-        self._known.update(zip(words, range(base, base + len(words))))
+        self._table[base : base + len(out)] = out
 
     def rows(self, words: list[list[str]]) -> list[np.ndarray]:
         """For each list of words, a row per word: a score for each language and the number of letters."""
@@ -99,7 +112,7 @@ class Model:
             new.update(w)
         new.difference_update(self._known)
         if new:
-            self._learn(sorted(new))
+            self._learn(list(new))
         known = self._known.__getitem__
         return [self._table[np.fromiter(map(known, w), np.int32, len(w))] for w in words]
 
