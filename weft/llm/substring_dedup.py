@@ -59,21 +59,10 @@ class Slab:
     def digests(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return tuple(grams(self.words, self.window, seed)[runs] for seed in (17, 29))
 
-    def phrase_text(self, at: int) -> str:
-        """The phrase at a word, its words between single spaces and one on either side."""
-        return f" {' '.join(self.data[a:b].tobytes().decode() for a, b in zip(self.start[at : at + self.phrase], self.end[at : at + self.phrase]))} "
-
-    def doc_text(self, i: int) -> tuple[str, np.ndarray]:
-        """Document i's words between single spaces, and the character at which each starts."""
+    def doc_words(self, i: int) -> list[str]:
         a, b = self.first[i], self.first[i + 1]
-        if a == b:
-            return " ", np.zeros(0, np.int64)
-        words = self.data[self.start[a] : self.end[b - 1]].tobytes().decode().translate(_SPACES).split(" ")
-        words = [w for w in words if w]
-        return f" {' '.join(words)} ", np.cumsum([1, *(len(w) + 1 for w in words[:-1])])
-
-
-_SPACES = {c: " " for c in range(0x09, 0x0E)}
+        # bytes.split() cuts at exactly the separators; joined by spaces, the words come apart again as text.
+        return b" ".join(self.data[self.start[a] : self.end[b - 1]].tobytes().split()).decode().split(" ") if b > a else []
 
 
 def _anchor_rows(window: int):
@@ -93,10 +82,11 @@ def _occurrences(s: Slab, wanted: list[np.ndarray]) -> np.ndarray:
     known = np.unique(np.concatenate([w for w in wanted if w is not None] or [np.zeros(0, np.uint64)]))
     at = np.unique(s.anchor)
     at = at[np.isin(s.phrases[at], known)]
+    words = {int(i): s.doc_words(int(i)) for i in np.unique(s.doc[at])}
     _, once = np.unique(s.phrases[at], return_index=True)
-    todo, automata, size, a = at[once], [], 0, ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-    for k in todo:
-        text = s.phrase_text(int(k))
+    automata, size, a = [], 0, ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+    for i, k in zip(s.doc[at[once]].tolist(), (at[once] - s.first[s.doc[at[once]]]).tolist()):
+        text = f" {' '.join(words[i][k : k + s.phrase])} "  # between spaces, so that only whole words match
         if size and size + len(text) > AUTOMATON:
             automata.append(a)
             size, a = 0, ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
@@ -107,11 +97,12 @@ def _occurrences(s: Slab, wanted: list[np.ndarray]) -> np.ndarray:
     for a in automata:
         a.make_automaton()
     found = []
-    for i in np.unique(s.doc[at]):
-        text, starts = s.doc_text(int(i))
+    for i, own in words.items():
+        text = f" {' '.join(own)} "
+        starts = np.cumsum(np.fromiter(map(len, own), np.int64, len(own)) + 1)  # of the words after each, from the first space
         for a in automata:
-            hit = np.array([end - size + 2 for end, size in a.iter(text)], np.int64)
-            found.append(np.searchsorted(starts, hit) + s.first[i])
+            hit = np.array([end - n for end, n in a.iter(text)], np.int64) + 1
+            found.append(np.searchsorted(starts, hit, "right") + s.first[i])
     return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
 
 
