@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weft.operators import corpus, metrics
-from weft.plans import bpe, composition, rows
+from weft.plans import bpe, composition, queries, rows
 from weft.sources import corpus as sources
 from weft.streaming import documents as streams
 
@@ -43,6 +43,26 @@ def test_training_against_recounting():
     assert [encoder[w] for w, _ in words] == [s for s, _ in seqs]
 
 
+def test_training_on_executors_sees_every_chunk(spark, monkeypatch):
+    rng = random.Random(5)
+    words = [("".join(rng.choice("aab\u00e9") for _ in range(rng.randint(1, 9))), rng.randint(1, 4)) for _ in range(300)]
+    words += [(chr(0x4E00 + i) + "zq", 1) for i in range(25_000)]  # rare chunks, one by one behind any limit, hold the most frequent pair
+    df = spark.createDataFrame(words, "chunk string, n long")
+    want = bpe.train(words, 300)
+    assert want[0] == (122, 113) and bpe.trained(df, 300) == want
+    monkeypatch.setattr(bpe, "ROUND_PAIRS", 7)
+    assert bpe.trained(df, 280) == want[:24]
+    assert bpe.trained(df, 290, want[:20]) == want[:34]
+
+
+def test_registered_training_has_no_limit(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(queries, "VOCABULARY", 258)
+    frequent, rare = [chr(0x4E00 + i) for i in range(20_000)], [chr(0xAC00 + i % 9000) + chr(97 + i // 9000) + "zq" for i in range(25_000)]
+    texts = [(" ".join(frequent + frequent),), *((" ".join(rare[i : i + 500]),) for i in range(0, len(rare), 500))]
+    spark.createDataFrame(texts, "text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert queries._trained(spark, str(tmp_path))[0] == (122, 113)
+
+
 def test_finalization_keeps_reachable_survivors():
     merges = [(97, 98), (256, 99), (98, 99), (99, 100), (256, 259)]  # ab, abc, bc, cd, abcd
     # Without ab, neither abc (bc comes later) nor abcd is made of two kept tokens.

@@ -1,11 +1,15 @@
-"""Byte-pair vocabularies: chunk counts from Spark, merges on the driver, encoding of chunks on the executors."""
+"""Byte-pair vocabularies: pair counts of all chunks from Spark, the choice of merges on the driver, encoding of chunks on the executors."""
 
 from __future__ import annotations
 
 import heapq
+import os
+import tempfile
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +20,10 @@ from weft.functions.text import pretokens
 Merges = list[tuple[int, int]]
 #: Chunks that a worker remembers the ids of.
 REMEMBERED = 200_000
+#: Pairs that a round of training brings to the driver; those after them are bounded by the last.
+ROUND_PAIRS = 8192
+#: Merges after which the chunk table is written anew.
+WRITTEN = 16
 
 
 def chunk_counts(docs: DataFrame, text: str, pattern: str = "isolating") -> DataFrame:
@@ -73,19 +81,140 @@ def train(counted: Iterable[tuple[str, int]], size: int, start: Merges | None =
     return merges
 
 
-def fitted(docs: DataFrame, text: str, size: int, pattern: str = "isolating", most_chunks: int = 500_000) -> Merges:
-    """Train on a corpus; at most `most_chunks` distinct chunks, the most frequent, come to the driver."""
-    rows = chunk_counts(docs, text, pattern).orderBy(F.desc("n"), "chunk").limit(most_chunks).collect()
-    return train(((r["chunk"], r["n"]) for r in rows), size)
+def _flat(ids: pa.Array, n: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all chunks in a row, each chunk ended by -1, and the count of each id's chunk."""
+    sizes = np.diff(ids.offsets.to_numpy()) + 1
+    out = np.full(sizes.sum(), -1, np.int64)
+    inside = np.ones(len(out), bool)
+    inside[np.cumsum(sizes) - 1] = False
+    out[inside] = ids.flatten().to_numpy()
+    return out, np.repeat(n.to_numpy(), sizes)
 
 
-def superwords(docs: DataFrame, text: str, size: int, stage1: int, most_chunks: int = 500_000) -> Merges:
+def _apply(ids: np.ndarray, n: np.ndarray, merges: Merges, first: int) -> tuple[np.ndarray, np.ndarray]:
+    """Flat ids after `merges` in order; the first of them makes token `first`."""
+    for new, (a, b) in enumerate(merges, first):
+        at = np.flatnonzero((ids[:-1] == a) & (ids[1:] == b))
+        if a == b and len(at):  # in a run of one id, every other place from the left
+            starts = np.diff(at, prepend=-2) != 1
+            at = at[(at - at[starts][np.cumsum(starts) - 1]) % 2 == 0]
+        if len(at):
+            keep = np.ones(len(ids), bool)
+            keep[at + 1] = False
+            ids[at] = new
+            ids, n = ids[keep], n[keep]
+    return ids, n
+
+
+def _rewritten(state: DataFrame, merges: Merges, first: int) -> DataFrame:
+    """The chunk table after `merges`, without the chunks of one id, which hold no pair."""
+
+    def run(batches):
+        for b in batches:
+            ids, n = _apply(*_flat(b.column(0), b.column(1)), merges, first)
+            ends = np.flatnonzero(ids < 0)
+            offsets = np.concatenate(([0], np.cumsum(np.diff(ends, prepend=-1) - 1)))
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids[ids >= 0], pa.int32()))
+            yield pa.RecordBatch.from_arrays([lists, pa.array(n[ends])], names=["ids", "n"])
+
+    return state.mapInArrow(run, "ids array<int>, n long").where(F.size("ids") > 1)
+
+
+def _pair_counts(state: DataFrame, merges: Merges, first: int) -> DataFrame:
+    """(a, b, n) of every pair in the chunk table after `merges`."""
+
+    def run(batches):
+        seen = []
+        for batch in batches:
+            ids, n = _apply(*_flat(batch.column(0), batch.column(1)), merges, first)
+            ok = (ids[:-1] >= 0) & (ids[1:] >= 0)
+            pairs = pa.table({"p": (ids[:-1] << 32 | ids[1:])[ok], "n": n[:-1][ok]})
+            seen.append(pairs.group_by("p", use_threads=False).aggregate([("n", "sum")]))
+        if seen:
+            every = pa.concat_tables(seen).group_by("p", use_threads=False).aggregate([("n_sum", "sum")])
+            p = every["p"].to_numpy()
+            columns = [pa.array(p >> 32, pa.int32()), pa.array(p & 0xFFFFFFFF, pa.int32()), every["n_sum_sum"].combine_chunks()]
+            yield from pa.table(columns, names=["a", "b", "n"]).to_batches()
+
+    return state.mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+
+
+def _settled(top: list[tuple[int, int, int]], complete: bool, most: int) -> Merges:
+    """The next merges, at most `most`, that exact counts (a, b, n), the highest first, leave no doubt about.
+
+    A merge lowers the counts only of pairs that start with its second or end with its first id. The pairs with what it
+    makes are at most as frequent as those they came from. The first pair that any of these might precede ends the round.
+    """
+    least = 0 if complete else top[-1][2]
+    best_left: dict[int, int] = {}
+    best_right: dict[int, int] = {}
+    for a, b, n in top:
+        best_left.setdefault(b, n)
+        best_right.setdefault(a, n)
+    out: Merges = []
+    firsts: set[int] = set()
+    seconds: set[int] = set()
+    before = behind = 0
+    for a, b, n in top:
+        if len(out) == most or a in seconds or b in firsts or before >= n or behind > n:
+            break
+        out.append((a, b))
+        firsts.add(a)
+        seconds.add(b)
+        before = max(before, min(n, max(best_left.get(a, 0), least)))
+        behind = max(behind, min(n, max(best_right.get(b, 0), least)))
+    return out
+
+
+def trained(counted: DataFrame, size: int, start: Merges | None = None) -> Merges:
+    """What `train` makes of (chunk, n), with the chunks left on the executors: a round counts the pairs of all of them."""
+    spark = counted.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "weft-checkpoints")
+    folder = f"{folder.rstrip('/')}/weft-bpe-{uuid.uuid4().hex[:12]}"
+    merges: Merges = list(start or ())
+
+    def spelled(batches):
+        encoder = Encoder(merges)
+        for b in batches:
+            ids = [encoder[c] if merges else list(c.encode()) for c in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.list_(pa.int32())), b.column(1)], names=["ids", "n"])
+
+    def remove(path: str) -> None:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+    def written(df: DataFrame, name: int) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.schema("ids array<int>, n long").parquet(f"{folder}/{name}")
+
+    try:
+        at = len(merges)
+        state = written(counted.select("chunk", "n").mapInArrow(spelled, "ids array<int>, n long").where(F.size("ids") > 1), at)
+        while 256 + len(merges) < size:
+            if len(merges) - at >= WRITTEN:
+                state = written(_rewritten(state, merges[at:], 256 + at), len(merges))
+                remove(f"{folder}/{at}")
+                at = len(merges)
+            counts = _pair_counts(state, merges[at:], 256 + at).orderBy(F.desc("n"), "a", "b").limit(ROUND_PAIRS)
+            top = [(r["a"], r["b"], r["n"]) for r in counts.collect()]
+            if not top:
+                break
+            merges += _settled(top, len(top) < ROUND_PAIRS, size - 256 - len(merges))
+    finally:
+        remove(folder)
+    return merges
+
+
+def fitted(docs: DataFrame, text: str, size: int, pattern: str = "isolating") -> Merges:
+    """Train on all chunks of a corpus."""
+    return trained(chunk_counts(docs, text, pattern), size)
+
+
+def superwords(docs: DataFrame, text: str, size: int, stage1: int) -> Merges:
     """Two stages: rules inside words up to `stage1` tokens, then, inheriting those, rules across them."""
     if not 256 <= stage1 <= size:
         raise ValueError("stage1 must lie between 256 and the vocabulary size")
-    first = fitted(docs, text, stage1, "baseline", most_chunks)
-    rows = chunk_counts(docs, text, "stage2").orderBy(F.desc("n"), "chunk").limit(most_chunks).collect()
-    return train(((r["chunk"], r["n"]) for r in rows), size, first)
+    return trained(chunk_counts(docs, text, "stage2"), size, fitted(docs, text, stage1, "baseline"))
 
 
 def token_bytes(merges: Merges) -> list[bytes]:

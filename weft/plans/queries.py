@@ -482,7 +482,7 @@ VOCABULARY = 400
 
 
 def _trained(spark, sf_dir):
-    return bpe.fitted(_documents(spark, sf_dir), "text", VOCABULARY, most_chunks=20_000)
+    return bpe.fitted(_documents(spark, sf_dir), "text", VOCABULARY)
 
 
 @query()
