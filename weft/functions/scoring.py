@@ -18,7 +18,8 @@ def fold_spaces(text: Column) -> Column:
 def squad_normalized(text: Column) -> Column:
     """Lower case, without ASCII punctuation and the words a, an, the, spaces folded."""
     bare = F.translate(F.lower(F.coalesce(text, F.lit(""))), ASCII_PUNCTUATION, "")
-    return fold_spaces(F.regexp_replace(bare, r"(?U)\b(a|an|the)\b", " "))
+    # Letters, numbers and the underscore make words here; Java's own boundary would count marks and not all numbers.
+    return fold_spaces(F.regexp_replace(bare, r"(?<![\p{L}\p{N}_])(a|an|the)(?![\p{L}\p{N}_])", " "))
 
 
 def answer_normalized(text: Column, qa_style: bool) -> Column:

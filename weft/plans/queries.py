@@ -229,6 +229,13 @@ def squad_normalize(spark, sf_dir):
     return c.select("conv_id", "turn", F.md5(scoring.squad_normalized(F.col("text")).cast("binary")).alias("digest"), (scoring.fold_spaces(F.col("text")) == F.col("text")).alias("folded"))
 
 
+@query()
+def squad_normalize_all(spark, sf_dir):
+    """Answer normalization of every turn in any script; of a null one, an empty text."""
+    c = table(spark, sf_dir, "conversations")
+    return c.select("conv_id", "turn", F.md5(scoring.squad_normalized(F.col("text")).cast("binary")).alias("digest"), F.coalesce(scoring.fold_spaces(F.col("text")) == F.col("text"), F.lit(False)).alias("folded"))
+
+
 @query(f"""with n as (select conv_id, turn, {_fold('text')} as p from conversations),
 j as (select a.conv_id, a.turn, a.p as p, b.p as q from n a join n b on a.conv_id = b.conv_id and b.turn = a.turn - 1)
 select conv_id, turn, p <> '' and q <> '' and p = q as exact, p <> '' and q <> '' and starts_with(p, q) as prefix, p <> '' and q <> '' and contains(p, q) as has from j""")
