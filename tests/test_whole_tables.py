@@ -17,3 +17,42 @@ def test_every_turn_is_normalized(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "conv_id long, text string").selectExpr("conv_id", "0 as turn", "text").write.parquet(str(tmp_path / "conversations.parquet"))
     got = {r["conv_id"]: (r["digest"], r["folded"]) for r in queries.squad_normalize_all(spark, str(tmp_path)).collect()}
     assert got == {i: (hashlib.md5(squad(x).encode()).hexdigest(), x is not None and " ".join(x.split()) == x) for i, x in enumerate(texts)}
+
+
+WORDS = "\u00c9cole \u00e9cole \u00c9COLE caf\u00e9Noir \u041c\u043e\u0441\u043a\u0432\u0430 \u043c\u043e\u0441\u043a\u0432\u0430 \u043c\u043e\u0441\u043a\u0432\u0430\u041a\u0438\u0435\u0432 \u6771\u4eac X-1 x-1 dog. Dog (Dog 42".split()
+
+
+def test_every_word_reaches_the_word_queries(spark, tmp_path):
+    texts = [(i, w) for i, w in enumerate(WORDS)] + [(99, None)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    run = lambda q: q(spark, str(tmp_path)).collect()
+    by_base = {}
+    for i, w in enumerate(WORDS):
+        by_base.setdefault(w.lower(), []).append((i, w))
+    assert {r["base"]: (r["word"], r["first_doc"]) for r in run(queries.dedup_first_wins_all)} == {b: (min(x)[1], min(x)[0]) for b, x in by_base.items()}
+    assert {r["base"]: r["word"] for r in run(queries.last_write_wins_all)} == {b: max(x)[1] for b, x in by_base.items()}
+    variants = set()
+    for b in by_base:
+        for space in ("", " "):
+            for state, v in (("none", b), ("first_cap", b[0].upper() + b[1:]), ("all_caps", b.upper())):
+                if space + v != b:
+                    variants.add((b, space + v, space == " ", state))
+    assert {tuple(r) for r in run(queries.space_cap_variants_all)} == variants
+    canonical = {}
+    for w in WORDS:
+        key = (w if w.isupper() else w.lower()) if w.isalpha() else None
+        same = [x for x in WORDS if key is not None and x.isalpha() and (x if x.isupper() else x.lower()) == key]
+        canonical[w] = min(same, key=lambda x: (x != key, x)) if same else w
+    assert {r["word"]: r["canonical"] for r in run(queries.case_space_equivalence_all)} == canonical
+    split = lambda w: "".join((" " if k and w[k].isupper() and (w[k - 1].islower() or w[k - 1].isupper() and w[k + 1 : k + 2].islower()) else "") + c for k, c in enumerate(w))
+    assert {r["word"]: r["parts"] for r in run(queries.camel_case_all)} == {w: split(w) for w in WORDS}
+
+    def base(w):
+        w = w.removeprefix("(").removesuffix(".")
+        return w if any(c.isalpha() for c in w) and all(c.isupper() for c in w if c.isalpha()) else w.lower()
+
+    grouped = {}
+    for w in set(WORDS):
+        grouped.setdefault(base(w), set()).add(" " + w)
+    assert {r["base_key"]: (r["first_id"], r["n_variants"]) for r in run(queries.vocab_bases_all)} == {b: (min(x), len(x)) for b, x in grouped.items()}
+    assert {r["id"] for r in run(queries.vocab_survivors_all)} == {w for w in WORDS if base(w) == w}

@@ -214,6 +214,34 @@ def last_write_wins(spark, sf_dir):
     return corpus.last_wins(words, ["base"], ["first_doc", "word"]).select("base", "word")
 
 
+@query()
+def space_cap_variants_all(spark, sf_dir):
+    """Variants of every word of any script in lower case by space and capitalization."""
+    words = _surfaces(spark, sf_dir).select(F.lower("word").alias("base")).distinct()
+    return words.select("base", F.explode(affixes.variants(F.col("base"))).alias("v")).select("base", "v.variant", "v.space", "v.state")
+
+
+@query()
+def case_space_equivalence_all(spark, sf_dir):
+    """Canonical word of every word among those of letters that differ by capitals only; any other word is its own."""
+    words = _surfaces(spark, sf_dir).select("word", F.col("word").alias("id"))
+    return metrics.equivalence(words, "id", "word", affixes.accuracy_surface(F.col("word"))).select("word", F.col("canonical_id").alias("canonical"))
+
+
+@query()
+def dedup_first_wins_all(spark, sf_dir):
+    """Of all words with one lower-case form, in any script, that of the least document, then of the least spelling."""
+    words = _surfaces(spark, sf_dir).withColumn("base", F.lower("word"))
+    return corpus.first_wins(words, ["base"], ["first_doc", "word"]).select("base", "word", "first_doc")
+
+
+@query()
+def last_write_wins_all(spark, sf_dir):
+    """Of all words with one lower-case form, in any script, the one that is written last."""
+    words = _surfaces(spark, sf_dir).withColumn("base", F.lower("word"))
+    return corpus.last_wins(words, ["base"], ["first_doc", "word"]).select("base", "word")
+
+
 def _fold(x: str) -> str:
     return "trim(regexp_replace(" + x + r", '[\p{Z}\t-\r\x{85}]+', ' ', 'g'))"
 
@@ -377,6 +405,12 @@ def camel_case(spark, sf_dir):
     return w.select("word", F.array_join(affixes.camel_parts(F.col("word")), " ").alias("parts"))
 
 
+@query()
+def camel_case_all(spark, sf_dir):
+    """Parts of every word of any script at its changes of case."""
+    return _surfaces(spark, sf_dir).select("word", F.array_join(affixes.camel_parts(F.col("word")), " ").alias("parts"))
+
+
 @query("select doc_id, sha256(text) as digest from documents")
 def file_digests(spark, sf_dir):
     """SHA-256 of every text."""
@@ -408,6 +442,23 @@ def vocab_survivors(spark, sf_dir):
     return metadata.survivors(_ascii_vocabulary(spark, sf_dir, ""), "id", "surface")
 
 
+def _vocabulary(spark, sf_dir, before: str = " "):
+    word = F.concat(F.lit(before), "word")
+    return _surfaces(spark, sf_dir).select(word.alias("surface"), word.alias("id"))
+
+
+@query()
+def vocab_bases_all(spark, sf_dir):
+    """Bases of all the corpus's words, with the first word and the number of words that decompose to each."""
+    return metadata.bases(_vocabulary(spark, sf_dir), "id", "surface")
+
+
+@query()
+def vocab_survivors_all(spark, sf_dir):
+    """Words of any script that decompose to nothing else."""
+    return metadata.survivors(_vocabulary(spark, sf_dir, ""), "id", "surface")
+
+
 _IDS = "ids as (select doc_id, list_transform(string_split(text, ' '), lambda w: length(w)) as ids from documents)"
 
 
