@@ -56,3 +56,10 @@ def test_every_word_reaches_the_word_queries(spark, tmp_path):
         grouped.setdefault(base(w), set()).add(" " + w)
     assert {r["base_key"]: (r["first_id"], r["n_variants"]) for r in run(queries.vocab_bases_all)} == {b: (min(x), len(x)) for b, x in grouped.items()}
     assert {r["id"] for r in run(queries.vocab_survivors_all)} == {w for w in WORDS if base(w) == w}
+
+
+def test_padding_keeps_every_element(spark, tmp_path):
+    texts = {1: "ab c", 2: " ".join(["xyz"] * 200), 3: "", 4: " ".join(["q"] * 66)}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: (r["padded"], r["n"], r["total"]) for r in queries.pad_to_longest(spark, str(tmp_path)).collect()}
+    assert got == {i: (200, len(t.split(" ")), sum(map(len, t.split(" ")))) for i, t in texts.items()}

@@ -14,6 +14,13 @@ def padded(ids: Column, n: int, pad: int = 0) -> Column:
     return F.slice(F.concat(ids, F.array_repeat(F.lit(pad), n)), 1, n)
 
 
+def stacked(df: DataFrame, ids: str, pad: int = 0) -> DataFrame:
+    """Every sequence filled up on the right to the longest one; none loses an element."""
+    longest = df.agg(F.max(F.size(ids)).alias("_longest"))
+    fill = F.array_repeat(F.lit(pad), F.col("_longest") - F.size(ids))
+    return df.crossJoin(F.broadcast(longest)).withColumn(ids, F.concat(ids, fill)).drop("_longest")
+
+
 def tail(ids: Column, n: int) -> Column:
     """The last n elements, all if there are fewer."""
     return F.slice(ids, F.greatest(F.size(ids) - n + 1, F.lit(1)), F.lit(n))

@@ -478,6 +478,15 @@ def pad_tail_stop_shift(spark, sf_dir):
     )
 
 
+@query()
+def pad_to_longest(spark, sf_dir):
+    """Word lengths of every document padded with -1 to the longest: padded size, real elements and their sum."""
+    p = sequences.stacked(_word_lengths(spark, sf_dir), "ids", -1)
+    real = F.filter("ids", lambda x: x >= 0)
+    total = F.aggregate(real, F.lit(0).cast("long"), lambda s, x: s + x)
+    return p.select("doc_id", F.size("ids").alias("padded"), F.size(real).alias("n"), total.alias("total"))
+
+
 @query("""with w as (select conv_id, turn, string_split(text, ' ') as a, lead(string_split(text, ' ')) over (partition by conv_id order by turn) as b from conversations)
 select conv_id, turn, len(list_filter(range(1, least(len(a), len(b)) + 1), lambda i: a[1:i] = b[1:i])) as shared from w where b is not null""")
 def common_prefixes(spark, sf_dir):
