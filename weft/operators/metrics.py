@@ -96,10 +96,10 @@ def momentum(step: Column, total: int, warmdown: int, final: float) -> Column:
     return F.when(step < 400, (1 - part) * 0.85 + part * 0.97).otherwise(late)
 
 
-def collisions(df: DataFrame, keys: list[str], value: str, most: int) -> DataFrame:
-    """Keys with more than one distinct value, those with the most first."""
+def collisions(df: DataFrame, keys: list[str], value: str, most: int | None = None) -> DataFrame:
+    """Keys with more than one distinct value: all, or the `most` with the most values, those first."""
     out = df.groupBy(*keys).agg(F.count_distinct(value).alias("n"), F.min(value).alias("first")).where("n > 1")
-    return out.orderBy(F.desc("n"), *keys).limit(most)
+    return out if most is None else out.orderBy(F.desc("n"), *keys).limit(most)
 
 
 def compression(df: DataFrame, raw: str, compressed: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weft.functions import affixes
 from weft.operators.corpus import first_wins
+from weft.operators.metrics import collisions
 from weft.plans.composition import GROUPS
 
 
@@ -25,6 +26,19 @@ def decomposed(vocabulary: DataFrame, id_col: str, surface: str) -> DataFrame:
     return stripped.withColumn("base_key", affixes.space_cap_base(F.col("base"))).where(F.coalesce(F.col("base_key"), F.lit("")) != "")
 
 
+#: What a surface is decomposed into besides its base.
+MODIFIERS = ("space_prefix", "prefix_punct", "prep", "prep_cap", "article", "article_cap", "suffix_punct", "capitalization")
+
+
+def surface_collisions(surfaces: DataFrame, surface: str) -> DataFrame:
+    """Bases and modifiers that several different surfaces decompose to, with their number and the least of them."""
+    stripped = affixes.strip_affixes(surfaces.select(surface), surface)
+    # As above: the chain of affixes is worked out once.
+    stripped = stripped.select(surface, F.explode(F.array(F.struct(*MODIFIERS[:-1], "base"))).alias("s")).select(surface, "s.*")
+    keyed = stripped.withColumn("base_key", affixes.space_cap_base(F.col("base"))).withColumn("capitalization", affixes.capitalization(F.col("base")))
+    return collisions(keyed.where(F.coalesce("base_key", F.lit("")) != ""), ["base_key", *MODIFIERS], surface)
+
+
 def bases(vocabulary: DataFrame, id_col: str, surface: str) -> DataFrame:
     """Each base with its first token and its number of variants."""
     parts = decomposed(vocabulary, id_col, surface)

@@ -398,6 +398,13 @@ def surface_collisions(spark, sf_dir):
     return d.groupBy("head").agg(F.count_distinct("digest").alias("n")).where("n > 1")
 
 
+@query()
+def modifier_collisions(spark, sf_dir):
+    """Bases and modifiers that several different words or lines of the corpus decompose to."""
+    surfaces = _surfaces(spark, sf_dir).select(F.col("word").alias("surface")).union(_lines(spark, sf_dir).where("line is not null")).distinct()
+    return metadata.surface_collisions(surfaces, "surface")
+
+
 @query(f"with {SURFACES} select word, array_to_string(string_split_regex(regexp_replace(regexp_replace(word, '([a-z])([A-Z])', '\\1|\\2', 'g'), '([A-Z])([A-Z][a-z])', '\\1|\\2', 'g'), '\\|'), ' ') as parts from surfaces where regexp_full_match(word, '[A-Za-z]+')")
 def camel_case(spark, sf_dir):
     """Parts of every ASCII word at its changes of case."""
