@@ -74,3 +74,12 @@ def test_surfaces_of_one_base_and_modifiers_collide(spark, tmp_path):
     # As a phrase and as the words of its own: the phrases with "of the", the single words without.
     want |= {("\u00e9tat", "of", "the", None, 2, "of the \u00c9taT"), ("\u00e9tat", None, None, None, 2, "\u00c9taT")}
     assert got == want
+
+
+def test_default_budget_takes_what_a_small_one_cuts(spark, tmp_path, monkeypatch):
+    sizes = [12_000] * 120 + [0, 7]
+    spark.createDataFrame([(i, "x" * n) for i, n in enumerate(sizes)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    run = lambda: {r["doc_id"]: r["n_chars"] for r in queries.char_budget_default(spark, str(tmp_path)).collect()}
+    assert run() == {i: min(n, 10_000) for i, n in enumerate(sizes) if n}
+    monkeypatch.setattr(queries, "MAX_CHARS", 25_000)
+    assert run() == {0: 10_000, 1: 10_000, 2: 10_000}

@@ -78,6 +78,17 @@ def char_budget(spark, sf_dir):
     return kept.select("doc_id", F.length("text").alias("n_chars"))
 
 
+#: Characters that the tokenizer's training takes by default.
+MAX_CHARS = 2_000_000_000
+
+
+@query()
+def char_budget_default(spark, sf_dir):
+    """Documents that the default budget of cropped characters takes, in the order of their ids."""
+    kept = corpus.within_budget(_documents(spark, sf_dir).select("doc_id", "text"), "doc_id", "text", MAX_CHARS, 10_000)
+    return kept.select("doc_id", F.length("text").alias("n_chars"))
+
+
 _SPLIT = f"string_split_regex(text, '{WORD.replace(chr(39), chr(39) * 2)}') as g, regexp_extract_all(text, '{WORD.replace(chr(39), chr(39) * 2)}') as w"
 _LOWER = f"translate({{}}, '{text.UPPER}', '{text.LOWER}')"
 
