@@ -1,11 +1,13 @@
 """Hashes of the words of many texts at once, straight from Arrow's buffers.
 
 A word is a longest run of bytes other than space and 0x09-0x0D, which are single bytes in UTF-8 as well.
-Equal words have equal hashes in every process: the tables come from fixed seeds.
+Equal words have equal hashes in every process, and different words of whatever build differ but by a chance of
+2**-64: each step is a bijection of the bytes and of all that was before, not a sum.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,31 +18,17 @@ IS_WORD = np.ones(256, bool)
 IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
-_BYTE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
-_BASE = 0x9E3779B97F4A7C15 | 1
+_ODD = 0x9E3779B97F4A7C15 | 1
 _MASK = 2**64 - 1
-_INVERSE = pow(_BASE, -1, 2**64)
-#: Bytes that are hashed in one piece.
-STEP = 1 << 19
+#: Words longer than this many bytes are hashed one by one, by blake2b.
+SHORT = 256
 #: Bytes of text in one slab; a longer text is a slab of its own.
 SLAB = 1 << 20
 
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1), modulo 2**64."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        steps = np.full(max(n, STEP), base, np.uint64)
-        steps[0] = 1
-        have = _powers[base] = np.multiply.accumulate(steps)
-    return have
-
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit."""
-    x = x + U((seed * _BASE + 0x632BE59BD9B4E019) & _MASK)
+    x = x + U((seed * _ODD + 0x632BE59BD9B4E019) & _MASK)
     x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
     return x ^ (x >> U(31))
@@ -82,17 +70,28 @@ def words_of(data: np.ndarray, places: np.ndarray, lower: bool = False) -> tuple
     before[1:], after[:-1] = inside[:-1], inside[1:]
     start = np.flatnonzero(inside & (cut[:-1] | ~before))
     end = np.flatnonzero(inside & (cut[1:] | ~after)) + 1
-    out = np.empty(len(start), np.uint64)
-    i = 0
-    while i < len(start):
-        j = max(i + 1, int(np.searchsorted(end, start[i] + STEP, "right")))
-        a, b = start[i], end[j - 1]
-        sums = np.zeros(b - a + 1, np.uint64)
-        np.cumsum(_BYTE[data[a:b]] * powers(_BASE, b - a)[: b - a], out=sums[1:])
-        s, e = start[i:j] - a, end[i:j] - a
-        out[i:j] = (sums[e] - sums[s]) * powers(_INVERSE, b - a)[s] + (e - s).astype(np.uint64)
-        i = j
-    return mix(out), start, end, np.searchsorted(start, places)
+    return hashes(data, start, end), start, end, np.searchsorted(start, places)
+
+
+def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each of data[start:end]: eight bytes at a time go through a bijection that mixes every bit."""
+    size = end - start
+    out = mix(size.astype(np.uint64), 1)
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    left = np.flatnonzero((size > 0) & (size <= SHORT))
+    at, rest = start[left], size[left]
+    while len(left):
+        block = eight[at]
+        last = rest < 8
+        block[last] &= (U(1) << (rest[last].astype(np.uint64) * U(8))) - U(1)
+        out[left] = mix(out[left] * U(_ODD) ^ block, 2)
+        more = np.flatnonzero(rest > 8)
+        left, at, rest = left[more], at[more] + 8, rest[more] - 8
+    for i in np.flatnonzero(size > SHORT):
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def grams(words: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
@@ -101,10 +100,10 @@ def grams(words: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
     if n <= 0:
         return np.zeros(0, np.uint64)
     out = np.zeros(n, np.uint64)
-    factor = 1
     for j in range(k):
-        factor = factor * (0xD6E8FEB86659FD93 + 2 * seed) & _MASK
-        out += words[j : j + n] * U(factor)
+        out += words[j : j + n]
+        out *= U(_ODD)
+        out ^= out >> U(29)
     return mix(out, seed + k)
 
 
