@@ -1,11 +1,15 @@
 """Best-fit packing planned on the length histogram by a configuration linear program.
 
 A configuration is a multiset of lengths that fits one sequence; the program covers every length's count with as
-few configurations as possible. It is solved by multiplicative weights: each round prices a configuration by a
-knapsack dynamic program over the current weights, adds it, and lowers the weight of the lengths that it covers.
-The averaged solution is rounded down; counts that stay uncovered go through best-fit decreasing, again on the
-histogram. Only the histogram (at most `capacity` rows) and the plan come to the driver, and neither grows with the
-data beyond that; places are dealt to the pieces by distributed ranks.
+few configurations as possible. Lengths are grouped upward to `UNITS` classes for it. It is solved by multiplicative
+weights: each step prices a configuration by a knapsack dynamic program over the current dual weights - a length's
+tokens, discounted by the share of its count that is covered already - and uses it a whole number of times, as often
+as its step allows and the counts that are left bear; so the solution is rounded as it is made, and the counts that
+a rounded step leaves are what the next one prices. Of each of its sequences the program places all but the shortest
+piece; those, and the shortest lengths of all, which it doesn't see, go through best fit on the exact lengths, which
+closes what room the classes leave. Only the histogram (at most `capacity` rows) and the plan come to the driver. The plan's rows grow with the
+number of different lengths and configurations, not with the number of documents; places are dealt to the pieces by
+distributed ranks.
 """
 
 from __future__ import annotations
@@ -24,9 +28,14 @@ from weft.llm.scratch import Scratch
 
 CAPACITY = 4096
 END_ID = 1
-#: Distinct words that a worker remembers the ids of.
-REMEMBERED = 400_000
-ROUNDS, STEPS = 1, 32
+#: Words, and parts of words, that a worker remembers the ids of: about 15 MB of each.
+REMEMBERED = 60_000
+#: Classes of lengths in the program, steps of its solution, and the rate at which what is covered loses its weight.
+UNITS, STEPS, RATE = 512, 192, 1.0
+#: Share of the tokens, in the shortest pieces, that the program doesn't see: best fit closes gaps with them.
+SHORT = 0.02
+#: Rows of a batch that a worker gives back at once.
+ROWS = 4096
 
 
 def default_vocabulary() -> str:
@@ -57,9 +66,7 @@ class PartIds(dict):
     def __missing__(self, part: str) -> bytes:
         shown = part.encode().decode("latin-1").translate(self.letters)
         ids = b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(shown))
-        if len(part) <= 64:
-            if len(self) >= REMEMBERED:
-                self.clear()
+        if len(part) <= 64 and len(self) < REMEMBERED:  # the first that come are the frequent ones
             self[part] = ids
         return ids
 
@@ -79,9 +86,7 @@ class WordIds(dict):
             ids = b"".join([parts[p] for p in _PARTS.findall(word.lower())])
         else:  # other scripts, marks, rare white space, special tokens: the whole tokenizer
             ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(word) <= 64:
-            if len(self) >= REMEMBERED:
-                self.clear()
+        if len(word) <= 64 and len(self) < REMEMBERED:
             self[word] = ids
         return ids
 
@@ -103,16 +108,20 @@ def text_ids(text: str | None, vocabulary: str) -> bytes:
 def _cutter(vocabulary: str, capacity: int):
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+
     def run(batches):
         for b in batches:
             out: list[list] = [[] for _ in names]
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
-                ids = memoryview(text_ids(text.as_py(), vocabulary))
+            for doc_id, text in zip(b.column(0), b.column(1)):
+                doc_id, ids = doc_id.as_py(), memoryview(text_ids(text.as_py(), vocabulary))
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     own = ids[at : at + 4 * capacity]
                     for column, value in zip(out, (doc_id, piece, at // 4, len(own) // 4, zlib.crc32(own))):
                         column.append(value)
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+                if len(out[0]) >= ROWS:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], names=names)
+                    out = [[] for _ in names]
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], names=names)
 
     return run
@@ -145,33 +154,79 @@ def priced(lengths: np.ndarray, counts: np.ndarray, worth: np.ndarray, capacity:
     return out
 
 
-def covered(lengths: np.ndarray, counts: np.ndarray, capacity: int, steps: int) -> list[tuple[np.ndarray, float]]:
-    """Configurations and how often to use each: an approximate solution of the covering program."""
-    worth = (lengths / capacity) ** 1.5  # long ones first: short ones are what fills the last gaps
-    total = float((lengths * counts).sum())
-    done = np.zeros(len(lengths))
-    found: dict[bytes, list] = {}
-    rate = 4.0
-    for _ in range(steps):
-        share = done / counts
-        weights = worth * np.exp(-rate * (share - share.min()))
-        config = priced(lengths, counts, weights, capacity)
-        often = total / steps / max(1.0, float((lengths * config).sum()))
-        done += config * often
-        found.setdefault(config.tobytes(), [config, 0.0])[1] += often
-    return sorted(((c, x) for c, x in found.values()), key=lambda t: -t[1])
-
-
-def best_fit(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[Counter, int]]:
-    """Best-fit decreasing on a histogram: (contents, number of such sequences)."""
+def covered(sizes: np.ndarray, counts: np.ndarray, capacity: int, steps: int) -> list[tuple[np.ndarray, int]]:
+    """Configurations of the classes and how often each is used; no class is used beyond its count.
+
+    Weights start in proportion to the tokens of a class, so that a size's price is its tokens, and fall with the
+    share of the class that is covered. Steps are equal shares of the tokens, of one use at least; they end with the
+    counts.
+    """
+    left, out = counts.copy(), []
+    step = max(1, int((sizes * counts).sum()) // (capacity * steps))
+    while left.any():
+        some = np.flatnonzero(left)
+        done = 1 - left[some] / counts[some]
+        config = priced(sizes[some], left[some], sizes[some] * np.exp(-RATE * (done - done.min())), capacity)
+        inside = np.flatnonzero(config)
+        n = min(step, int((left[some[inside]] // config[inside]).min()))
+        own = np.zeros(len(sizes), np.int64)
+        own[some] = config
+        left -= n * own
+        out.append((own, n))
+    return out
+
+
+def placed(histogram: dict[int, int], capacity: int, steps: int = STEPS) -> list[tuple[Counter, int]]:
+    """Sequences by the program, each with room for the shortest piece of its configuration, in exact lengths."""
+    unit = -(-capacity // UNITS)
+    stock: dict[int, list[list[int]]] = {}  # exact lengths of each class, the longest last
+    short, fill = SHORT * sum(n * k for n, k in histogram.items()), 0
+    for n in sorted(histogram):
+        fill += n * histogram[n]
+        if fill <= short:
+            continue
+        stock.setdefault(-(-n // unit), []).append([n, histogram[n]])
+    sizes = np.array(sorted(stock), np.int64)
+    counts = np.array([sum(k for _, k in stock[int(x)]) for x in sizes], np.int64)
+    out = []
+    for config, often in covered(sizes, counts, capacity // unit, steps):
+        want = [(int(sizes[i]), int(config[i])) for i in np.flatnonzero(config)]
+        if sum(k for _, k in want) > 1:
+            want[0] = (want[0][0], want[0][1] - 1)
+        while often:  # as many sequences at once as have the same exact lengths
+            n, contents = often, Counter()
+            for size, k in want:
+                if k:
+                    have = stock[size][-1][1]
+                    n = min(n, have // k if have >= k else 1)
+            for size, k in want:
+                need = n * k
+                while need:
+                    top = stock[size][-1]
+                    q = min(need, top[1])
+                    contents[top[0]] += q if n == 1 else k
+                    top[1] -= q
+                    need -= q
+                    if not top[1]:
+                        stock[size].pop()
+            out.append((contents, n))
+            often -= n
+    return out
+
+
+def best_fit(lengths: np.ndarray, counts: np.ndarray, capacity: int, begun: list[tuple[Counter, int]] = ()) -> list[tuple[Counter, int]]:
+    """Best-fit decreasing on a histogram, into sequences already begun as well: (contents, number of such sequences)."""
     room: dict[int, dict[tuple, int]] = {}
     order: list[int] = []
+
     def add(left: int, contents: tuple, n: int) -> None:
         if left not in room:
             room[left] = {}
             bisect.insort(order, left)
         room[left][contents] = room[left].get(contents, 0) + n
 
+    for contents, n in begun:
+        add(capacity - sum(size * k for size, k in contents.items()), tuple(sorted(contents.items(), reverse=True)), n)
     for i in np.argsort(-lengths, kind="stable"):
         size, k = int(lengths[i]), int(counts[i])
         while k:
@@ -198,30 +253,28 @@ def best_fit(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tup
                 room[left][contents] = n - q
             add(left - each * size, (*contents, (size, each)), q)
             k -= q * each
-    return [(Counter(dict(contents)), n) for inside in room.values() for contents, n in inside.items()]
+    out = []
+    for inside in room.values():
+        for contents, n in inside.items():
+            whole: Counter = Counter()
+            for size, each in contents:
+                whole[size] += each
+            out.append((whole, n))
+    return out
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[Counter, int]]:
-    """(contents, number of such sequences) that hold the whole histogram."""
-    lengths = np.array(sorted(histogram), np.int64)
-    left = np.array([histogram[int(n)] for n in lengths], np.int64)
-    out: list[tuple[Counter, int]] = []
-    for _ in range(ROUNDS):
-        some = np.flatnonzero(left)
-        if left.sum() < 4 * STEPS:  # no configuration would be used once
-            break
-        used = False
-        for config, often in covered(lengths[some], left[some], capacity, STEPS):
-            inside = np.flatnonzero(config)
-            n = min(int(often), int((left[some][inside] // config[inside]).min()))
-            if n:
-                used = True
-                out.append((Counter({int(lengths[some[i]]): int(config[i]) for i in inside}), n))
-                left[some[inside]] -= n * config[inside]
-        if not used:
-            break
-    some = np.flatnonzero(left)
-    return out + best_fit(lengths[some], left[some], capacity)
+def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[Counter, int]], float]:
+    """(contents, number of such sequences) that hold the whole histogram, and the share of pieces that the program placed."""
+    begun = placed(histogram, capacity)
+    left = np.zeros(capacity + 1, np.int64)
+    left[list(histogram)] = list(histogram.values())
+    for contents, n in begun:
+        for size, k in contents.items():
+            left[size] -= n * k
+    total = sum(histogram.values())
+    share = 1 - int(left.sum()) / total if total else 1.0
+    lengths = np.flatnonzero(left)
+    return best_fit(lengths, left[lengths], capacity, begun), share
 
 
 def _places(made: list[tuple[Counter, int]]) -> tuple[np.ndarray, ...]:
@@ -274,7 +327,7 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     pieces = tmp.keep(rows.mapInArrow(_cutter(vocabulary, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long"), "pieces")
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
-    places = _places(plan(histogram, capacity))
+    places = _places(plan(histogram, capacity)[0])
 
     buckets = min(max(sum(histogram.values()) // 20_000, 64), 1 << 16)
     at = pieces.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
