@@ -287,30 +287,30 @@ def test_token_counts(docs, empty):
         for r in token_counts.counted(docs, rule=rule).join(docs.select("doc_id", "text").distinct(), "doc_id").collect():
             text = r["text"] or ""
             ids = encoding.encode_ordinary(text)
-            lines = text.encode().split(b"\n")
-            lines = [x + b"\n" for x in lines[:-1]] + ([lines[-1]] if lines[-1] or len(lines) == 1 else [])
-            bounds = np.cumsum([0, *map(len, lines)])
+            lines = text.split("\n")
+            lines = [x + "\n" for x in lines[:-1]] + ([lines[-1]] if lines[-1] or len(lines) == 1 else [])
+            line = [k for k, x in enumerate(lines) for _ in x]  # of each character
+            char = [k for k, c in enumerate(text) for _ in c.encode()]  # of each byte
             want, at = [0] * len(lines), 0
             for i in ids:
-                a, b = at, at + int(sizes[i])
-                parts = [max(0, min(b, bounds[k + 1]) - max(a, bounds[k])) for k in range(len(lines))]
-                touched = [k for k, p in enumerate(parts) if p]
-                want[touched[0] if rule == "first" else touched[-1] if rule == "last" else int(np.argmax(parts))] += 1
-                at = b
+                a, at = at, at + int(sizes[i])
+                touched = [line[k] for k in range(char[a], char[at - 1] + 1)]
+                want[touched[0] if rule == "first" else touched[-1] if rule == "last" else max(set(touched), key=lambda k: (touched.count(k), -k))] += 1
             assert (r["section_tokens"], r["n_tokens"]) == (want, len(ids))
     assert token_counts.counted(empty).count() == 0
+    assert token_counts.counted(docs).where("doc_id is null").count() == 1 and token_counts.counted(docs).where("doc_id = 3").count() == 2
     with pytest.raises(ValueError):
         token_counts.counted(docs, rule="none")
 
 
-def test_token_pieces_match_the_whole_text():
+def test_token_spans_cover_the_text():
     voc = token_counts.default_vocabulary()
-    encoding, sizes = token_counts.encoder(voc)
     rng = random.Random(8)
-    letters = "aAé '.!1\n\t\r\0\x1c\x85日s"
-    for _ in range(4000):
-        t = "".join(rng.choice(letters) for _ in range(rng.randint(0, 25)))
-        assert token_counts.token_sizes(t, voc).tolist() == [int(sizes[i]) for i in encoding.encode_ordinary(t)], repr(t)
+    letters = "aAé '.!1\n\t\r\0\x1c\x85日s\U0001f30d"
+    for t in ["".join(rng.choice(letters) for _ in range(rng.randint(0, 25))) for _ in range(2000)] + ["a" * 1_000_000, "é\n" * 200_000]:
+        start, end = token_counts.token_spans(t, voc)
+        assert (end > start).all() and (not t or (start[0] == 0 and end[-1] == len(t))) and (start[1:] <= end[:-1]).all() and (start[1:] >= end[:-1] - 1).all()
+        assert token_counts.line_starts(t).tolist() == [0] + [i + 1 for i, c in enumerate(t[:-1]) if c == "\n"]
 
 
 PATTERNS = {

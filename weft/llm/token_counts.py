@@ -1,14 +1,14 @@
 """Token counts of the sections of a text by offset-mapped attribution.
 
-A text is encoded once, as a whole. The byte lengths of its tokens give their spans, an interval join lays them over
-the spans of the sections, and a token that crosses a boundary goes by an explicit rule: to the section of its first
-byte ("first"), of its last ("last"), or to the one that holds most of it, the earlier on a tie ("most").
+A text is encoded once, as a whole. Each token is mapped to the characters that it spans, an interval join lays
+those spans over the spans of the sections, and a token that crosses a boundary goes by an explicit rule: to the
+section of its first character ("first"), of its last ("last"), or to the one that holds most of its characters,
+the earlier on a tie ("most"). A token of part of a character's bytes spans that character.
 """
 
 from __future__ import annotations
 
 import base64
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -16,10 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 RULES = ("first", "last", "most")
-#: Pieces that a worker remembers the tokens of.
-REMEMBERED = 400_000
-#: White space round which a text isn't cut: other than single spaces and single line feeds between words.
-_UNEVEN = re.compile(r"[^\S \n]|\s\s|^\s|\s$|\0")
+#: Rows of a batch that a worker gives back at once.
+ROWS = 1024
 
 
 def default_vocabulary() -> str:
@@ -46,72 +44,48 @@ def encoder(vocabulary: str):
     return _loaded[vocabulary]
 
 
-class _Pieces(dict):
-    """Byte lengths of a piece's tokens, as 32-bit numbers."""
+def token_spans(text: str, vocabulary: str) -> tuple[np.ndarray, np.ndarray]:
+    """(first character, one past the last) of every token of the whole text, in order."""
+    encoding, sizes = encoder(vocabulary)
+    ends = np.cumsum(sizes[np.fromiter(encoding.encode_ordinary(text), np.int64)])
+    if text.isascii():
+        return ends - np.diff(ends, prepend=0), ends
+    # The character of each byte: bytes that continue one belong to the character before them.
+    char = np.cumsum((np.frombuffer(text.encode(), np.uint8) & 0xC0) != 0x80) - 1
+    return char[ends - np.diff(ends, prepend=0)], char[ends - 1] + 1
 
-    def __init__(self, vocabulary: str):
-        self.encoding, self.sizes = encoder(vocabulary)
 
-    def __missing__(self, piece: str) -> bytes:
-        got = self.sizes[np.array(self.encoding.encode_ordinary(piece), np.int64)].astype(np.uint32).tobytes()
-        if len(piece) <= 64:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[piece] = got
-        return got
+def attributed(start: np.ndarray, end: np.ndarray, sections: np.ndarray, rule: str = "first") -> tuple[np.ndarray, int]:
+    """Tokens of each section and how many tokens cross a boundary; section i is the characters from sections[i] to sections[i + 1].
 
-
-_pieces: dict[str, _Pieces] = {}
-
-
-def token_sizes(text: str, vocabulary: str) -> np.ndarray:
-    """Byte lengths of a text's tokens, in order.
-
-    The splitting pattern always starts a new part before a single space, and before and after a single line feed,
-    that stand between other characters than white space; merges stay inside parts. So the pieces between those
-    places have the same tokens alone as in the whole text, and each worker encodes a piece that recurs only once.
-    """
-    pieces = _pieces.get(vocabulary) or _pieces.setdefault(vocabulary, _Pieces(vocabulary))
-    if _UNEVEN.search(text):
-        parts = [pieces[x] for x in _even_parts(text)]
-    else:
-        parts = [pieces[x] for x in text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")]
-    return np.frombuffer(b"".join(parts), np.uint32).astype(np.int64)
-
-
-def _even_parts(text: str) -> list[str]:
-    """The text cut before single spaces between ASCII letters only; whatever else it holds stays inside a part."""
-    return re.split(r"(?<=[A-Za-z])(?= [A-Za-z])", text)
-
-
-def attributed(sizes: np.ndarray, starts: np.ndarray, rule: str = "first") -> tuple[np.ndarray, int]:
-    """Tokens of each section and how many tokens cross a boundary; section i is the bytes from starts[i] to starts[i + 1].
-
-    starts[0] is 0; an empty section gets none.
+    sections[0] is 0; an empty section gets none.
     """
-    end = np.cumsum(sizes)
-    first = np.searchsorted(starts, end - sizes, "right") - 1
-    last = np.searchsorted(starts, end - 1, "right") - 1
+    first = np.searchsorted(sections, start, "right") - 1
+    last = np.searchsorted(sections, end - 1, "right") - 1
     crossing = np.flatnonzero(first != last)
     owner = first if rule == "first" else last if rule == "last" else first.copy()
     if rule == "most":
         for t in crossing:
-            a, b = end[t] - sizes[t], end[t]
-            cuts = np.concatenate([[a], starts[first[t] + 1 : last[t] + 1], [b]])
+            cuts = np.concatenate([[start[t]], sections[first[t] + 1 : last[t] + 1], [end[t]]])
             owner[t] = first[t] + int(np.argmax(np.diff(cuts)))
-    return np.bincount(owner, minlength=len(starts)), len(crossing)
+    return np.bincount(owner, minlength=len(sections)), len(crossing)
 
 
-def line_starts(text: bytes) -> np.ndarray:
-    """First byte of every line; a line feed belongs to the line that it ends."""
-    feeds = np.flatnonzero(np.frombuffer(text, np.uint8) == 10) + 1
-    return np.concatenate([[0], feeds[feeds < len(text)]]).astype(np.int64)
+def line_starts(text: str) -> np.ndarray:
+    """First character of every line; a line feed belongs to the line that it ends."""
+    out, at = [0], text.find("\n") + 1
+    while 0 < at < len(text):
+        out.append(at)
+        at = text.find("\n", at) + 1
+    return np.array(out, np.int64)
 
 
 def counted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: str = "first", vocabulary: str | None = None) -> DataFrame:
     """A row per row of `docs`: doc_id, n_tokens, n_sections, n_crossing and section_tokens, an array with a count for each line.
 
-    The counts of a text's lines sum to its tokens. A null or empty text has one empty line and no tokens.
+    The counts of a text's lines sum to its tokens. A null or empty text has one empty line and no tokens. A null
+    doc_id stays null; rows that repeat one are counted each by itself. An empty table gives no rows, and columns of
+    whatever other names are not read.
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
@@ -119,17 +93,18 @@ def counted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rul
     names = ["doc_id", "n_tokens", "n_sections", "n_crossing", "section_tokens"]
 
     def run(batches):
-        for b in batches:
-            total, lines, crossing, each = [], [], [], []
-            for x in b.column(1):
-                text = x.as_py() or ""
-                sizes = token_sizes(text, vocabulary)
-                got, n = attributed(sizes, line_starts(text.encode()), rule)
-                total.append(len(sizes))
-                lines.append(len(got))
-                crossing.append(n)
-                each.append(got)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.int64()) for x in (total, lines, crossing)), pa.array(each, pa.list_(pa.int64()))], names=names)
+        for whole in batches:
+            for b in (whole.slice(i, ROWS) for i in range(0, whole.num_rows, ROWS)):
+                total, lines, crossing, each = [], [], [], []
+                for x in b.column(1):
+                    text = x.as_py() or ""
+                    start, end = token_spans(text, vocabulary)
+                    got, n = attributed(start, end, line_starts(text), rule)
+                    total.append(len(start))
+                    lines.append(len(got))
+                    crossing.append(n)
+                    each.append(got)
+                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.int64()) for x in (total, lines, crossing)), pa.array(each, pa.list_(pa.int64()))], names=names)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_tokens long, n_sections long, n_crossing long, section_tokens array<long>")
