@@ -1,8 +1,10 @@
 """Each operator against a brute-force version, on small tables with nulls, empties, ties, repeats and clashing names."""
 
 import hashlib
+import itertools
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -348,24 +350,60 @@ def test_pii(spark, docs, empty):
     assert got[4]["spans"] == got[5]["spans"] == "" and got[4]["base_sha256"] == hashlib.sha256(b"").hexdigest()
     masked = {r["doc_id"]: r["text"] for r in pii.mask(df).collect()}
     assert masked[1] == "mail <email> or call <phone>, <ip>" and masked[2] == "é <card> end" and masked[4] is None
-    assert pii.find(docs).count() == docs.count() and pii.find(empty).count() == 0
+    assert pii.find(docs).count() == docs.count() and pii.find(empty).count() == 0 and pii.mask(empty).count() == 0
+    more = make(spark, [(1, 'x token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" y', "en", "s"), (1, "ssn 123-45-6789, write joe [at] site.com", "en", "s"), (2, "isbn 978-3-16-148410-0 at 2024-01-02", "en", "s")])
+    assert sorted((r["doc_id"], r["spans"], r["n_spans"]) for r in pii.find(more).collect()) == [(1, "email:23:40,ssn:4:15", 2), (1, "secret:11:51", 1), (2, "", 0)]
     for r in pii.find(docs).join(docs.select("doc_id", "text").distinct(), "doc_id").collect():
         assert r["spans"] == pii.written(brute_spans(r["text"] or ""))
 
 
-def test_pii_dynamic_program_against_enumeration():
-    weights = pii.trained()
-    text = "ip 10 . 0 . 0 . 1 call 555-123-4567 x"
-    tokens = pii._TOKEN.findall(text)
-    segments = pii._segments(tokens, [False] * len(tokens))
-
-    def best(j):
-        if j == 0:
-            return 0.0
-        return max([best(j - 1), *(best(i) + sum(weights[k].get(x, 0.0) for x in f) for i, f in segments[j] for k in pii.KINDS)])
-
-    got = pii._best(len(tokens), segments, weights)
-    assert abs(sum(sum(weights[k].get(x, 0.0) for x in f) for _, _, k, f in got) - best(len(tokens))) < 1e-9
+def segmentations(segments, j):
+    """Every segmentation of the first j tokens, as lists of (start, end, features)."""
+    if j == 0:
+        return [[]]
+    return [x + [(j - 1, j, None)] for x in segmentations(segments, j - 1)] + [x + [(i, j, f)] for i, f in segments[j] for x in segmentations(segments, i)]
+
+
+def test_pii_field_against_enumeration():
+    """Best path, partition function and gradient, over all segmentations and labels of short texts."""
+    field = pii.trained()
+    for text in ("call 555-123-4567 x", "a b@c.de 12345678 7654321"):
+        tokens = pii._TOKEN.findall(text)
+        segments = pii._segments(tokens, [False] * len(tokens))
+        every = {}
+        for one in segmentations(segments, len(tokens)):
+            for labels in itertools.product(*[[0] if f is None else range(1, len(pii.LABELS) + 1) for _, _, f in one]):
+                value = sum(field.t[a, b] for a, b in zip((0, *labels), labels)) + sum(field.score(f)[y - 1] for (_, _, f), y in zip(one, labels) if y)
+                every[tuple((i, j, pii.LABELS[y - 1]) for (i, j, _), y in zip(one, labels) if y)] = value
+        best = max(every, key=every.get)
+        assert field.best(segments) == list(best) and len(every) > 6
+        z = np.logaddexp.reduce(list(every.values()))
+        value, rows, grad_t = field.log_likelihood(segments, list(best))
+        assert abs(value - (every[best] - z)) < 1e-9
+        spans = {(i, j): f for j, s in enumerate(segments) for i, f in s}
+        want = {}
+        for (i, j), f in spans.items():
+            p = [sum(np.exp(v - z) for e, v in every.items() if (i, j, k) in e) for k in pii.LABELS]
+            want[tuple(f)] = want.get(tuple(f), 0) + np.array([((i, j, k) in best) - q for k, q in zip(pii.LABELS, p)])
+        got = {}
+        for f, g in rows:
+            got[tuple(f)] = got.get(tuple(f), 0) + g
+        assert all(np.allclose(got[f], want[f]) for f in want) and len(got) == len(want)
+        h = 1e-5
+        for a, b in ((0, 0), (0, 4), (4, 0), (0, 1)):
+            field.t[a, b] += h
+            up = field.log_likelihood(segments, list(best))[0]
+            field.t[a, b] -= h
+            assert abs((up - value) / h - grad_t[a, b]) < 1e-3
+
+
+def test_pii_of_long_texts_is_linear():
+    rng = random.Random(2)
+    field = pii.trained()
+    for text in ("".join(rng.choice("abcdefghij") if rng.random() < 0.98 else "7" for _ in range(1_000_000)), "1a" * 200_000):
+        start = time.process_time()
+        base, added = pii.all_spans(text, field)
+        assert base == [] and time.process_time() - start < 20
 
 
 def test_language(spark):
