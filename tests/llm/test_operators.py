@@ -6,11 +6,13 @@ import random
 import re
 import time
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from weft.llm import components, ivfpq, language, mixing, packing, pii, quality, scratch, substring_dedup, token_counts
@@ -161,6 +163,18 @@ def test_quality(spark):
     assert {r["doc_id"] for r in docs.where(quality.held_out(F.col("doc_id"))).collect()} >= set(held)
     assert np.mean([(got[i] >= 0.3) == (i % 3 > 0) for i in held]) > 0.97
     assert all(0 <= s <= 1 for s in got.values()) and len(got) == len(rows)
+    # The same scores by plain steps: two compressions of each piece, the three differences, the logistic function.
+    for i, t, _, _ in rows[:40] + rows[-3:]:
+        raw, sums = (t or "").encode(), []
+        for data in (model.good, model.bad):
+            c = zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(data), write_dict_id=False, write_content_size=False)
+            sums.append(sum(len(c.compress(raw[k : k + 1024])) for k in range(0, len(raw), 1024)))
+        x, y = sums
+        n = max(len(raw), 64)
+        z = (np.array([(y - x) / max(x + y, 1), (y - x) / n, min(x, y) / n]) - model.mean) / model.spread
+        assert abs(got[i] - 1 / (1 + np.exp(-(z @ model.weights[:3] + model.weights[3])))) < 1e-9
+    twice = quality.train(docs.union(docs), labels)
+    assert (twice.good, twice.bad) == (model.good, model.bad) and np.allclose(twice.weights, model.weights)
     kept = quality.keep_good(docs, model)
     assert kept.columns == docs.columns and kept.where("doc_id is null").count() == 0
     assert quality.train(make(spark, []), labels) is None
@@ -410,31 +424,51 @@ def test_language(spark):
     rng = random.Random(3)
     words = {"en": ["the", "with", "thing", "which", "have"], "de": ["und", "schön", "ich", "nicht", "über"], "ru": ["это", "был", "город"]}
     rows = [(i, " ".join(rng.choice(words[lang]) for _ in range(30)), lang, "s") for i in range(300) for lang in [["en", "de", "ru"][i % 3]]]
-    rows += [(900, None, "en", "s"), (901, "12 !! 3", "en", "s"), (902, "the thing with the thing which have und nicht ich über schön nicht und", None, "s"), (None, "the", "en", "s")]
+    rows += [(900, None, "en", "s"), (901, "12 !! 3", "en", "s"), (902, "the thing with the thing which have und nicht ich über schön nicht und", None, "s"), (None, "the", "en", "s"), (903, "²", None, "s"), (904, "½ ① Ⅷ", None, "s")]
     docs = make(spark, rows)
     model = language.train(docs)
     assert model.langs == ["de", "en", "ru"]
+    assert np.allclose(language.train(docs, per_lang=100_000).scores, model.scores)  # fewer than the bound: all are learnt from
+    seen = [(t, lang) for i, t, lang, _ in rows if i is not None and t and lang and zlib.crc32(str(i).encode()) % 5]
+    counts = {x: Counter(g for t, lang in seen if lang == x for w in re.findall(r"[^\W\d_]+", t) for g in language.trigrams(w)) for x in model.langs}
+    for g in (" un", "the", "это"):
+        want = [np.log((counts[x][g] + 0.5) / (sum(counts[x].values()) + 0.5 * (len({k for c in counts.values() for k in c}) + 1))) for x in model.langs]
+        assert np.allclose(model.scores[model.grams[g]], want)
+    many = [(i, f"{chr(97 + i % 26)}{chr(97 + i // 26)} " * 9, f"l{i // 2:03}", "s") for i in range(600)]
+    assert len(language.train(make(spark, many)).langs) > 250
     got = {r["doc_id"]: r for r in language.identified(docs, model, with_spans=True).collect()}
     held = [r for r in rows if r[0] is not None and zlib.crc32(str(r[0]).encode()) % 5 == 0 and r[0] < 300]
     assert all(got[i]["lang_pred"] == lang for i, _, lang, _ in held)
+    assert got[903]["lang_pred"] == got[904]["lang_pred"] == "und"
+    # Every label and score as a plain Viterbi path over each word's own scores has them.
+    for i, t, _, _ in rows[:60] + [rows[302]]:
+        own = [language.Model.rows(model, [[w]])[0][0] for w in t.split()]
+        s = np.array([x[:-1] for x in own])
+        path = plain_viterbi(s)
+        share = [sum(x[-1] for x, p in zip(own, path) if p == k) / sum(x[-1] for x in own) for k in range(3)]
+        assert got[i]["lang_pred"] == model.langs[int(np.argmax(share))] and abs(got[i]["score"] - max(share)) < 1e-6
     assert (got[900]["lang_pred"], got[901]["lang_pred"], got[900]["score"]) == ("und", "und", 0.0)
     assert [s["lang"] for s in got[902]["spans"]] == ["en", "de"]
     assert language.identified(docs, language.train(make(spark, []))).where("lang_pred = 'und'").count() == len(rows)
 
 
+def plain_viterbi(s):
+    v, back = s[0].astype(float), []
+    for t in range(1, len(s)):
+        step = v[:, None] - language.PENALTY * (1 - np.eye(s.shape[1]))
+        back.append(step.argmax(0))
+        v = step.max(0) + s[t]
+    want = [int(v.argmax())]
+    for b in reversed(back):
+        want.append(int(b[want[-1]]))
+    return want[::-1]
+
+
 def test_language_paths_against_plain_viterbi():
     rng = np.random.default_rng(0)
-    scores = [rng.normal(0, 3, (int(rng.integers(1, 25)), 3)).astype(np.float32) for _ in range(80)]
+    scores = [rng.normal(0, 3, (int(rng.integers(1, 25)), 300)).astype(np.float32) for _ in range(80)]
     for s, path in zip(scores, language.paths(scores)):
-        v, back = s[0].astype(float), []
-        for t in range(1, len(s)):
-            step = v[:, None] - language.PENALTY * (1 - np.eye(3))
-            back.append(step.argmax(0))
-            v = step.max(0) + s[t]
-        want = [int(v.argmax())]
-        for b in reversed(back):
-            want.append(int(b[want[-1]]))
-        assert path.tolist() == want[::-1]
+        assert path.tolist() == plain_viterbi(s)
         one = language.all_one(s)
         assert one is None or set(path.tolist()) == {one}
 

@@ -14,7 +14,8 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import regex
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Log-probability that a change of language costs.
@@ -33,7 +34,8 @@ SCRIPTS = (
     (0xA000, "other"), (0xAC00, "hangul"), (0xD7B0, "other"), (0xF900, "han"), (0xFB00, "other"), (0x20000, "han"), (0x31350, "other"),
 )
 _STARTS = [a for a, _ in SCRIPTS]
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: Letters by Unicode category, with the marks that follow them; superscripts, fractions and numerals are none.
+_LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
 
 def script_of(word: str) -> str:
@@ -120,13 +122,17 @@ class Model:
 def all_one(scores: np.ndarray, penalty: float = PENALTY) -> int | None:
     """The language that a text's whole best path has, if that is plain, else None.
 
-    A detour to other languages pays at least one penalty for each stretch of one language in it. If no stretch
-    anywhere gains more than that over the language of greatest sum, no detour pays.
+    A detour to other languages pays at least one penalty for each stretch of one language in it: no detour pays if
+    no stretch anywhere gains more than that over the language of greatest sum. A path that never takes that language
+    pays one penalty less than it has stretches; its first stretch begins the text and its last one ends it, so what
+    those two gain together must not be more than a penalty either.
     """
     best = int(scores.sum(0).argmax())
     gain = np.zeros((len(scores) + 1, scores.shape[1]))
     np.cumsum(scores - scores[:, best : best + 1], axis=0, dtype=np.float64, out=gain[1:])
-    return best if (gain[1:] - np.minimum.accumulate(gain)[:-1]).max() <= penalty else None
+    if (gain[1:] - np.minimum.accumulate(gain)[:-1]).max() > penalty:
+        return None
+    return best if gain[1:].max() + (gain[-1] - gain[:-1]).max() <= penalty else None
 
 
 def paths(scores: list[np.ndarray], penalty: float = PENALTY) -> list[np.ndarray]:
@@ -139,10 +145,10 @@ def paths(scores: list[np.ndarray], penalty: float = PENALTY) -> list[np.ndarray
     table = np.empty((starts[-1], langs), np.float32)  # all words, by place and then by text
     for k, i in enumerate(order):
         table[starts[: sizes[k]] + k] = scores[i]
-    back = np.empty((starts[-1], langs), np.int8)
-    ends = np.empty(len(order), np.int8)
+    back = np.empty((starts[-1], langs), np.int32)
+    ends = np.empty(len(order), np.int32)
     value = np.zeros((len(order), langs), np.float32)
-    own = np.arange(langs, dtype=np.int8)
+    own = np.arange(langs, dtype=np.int32)
     for t in range(n):
         m = live[t]
         if t:
@@ -152,20 +158,20 @@ def paths(scores: list[np.ndarray], penalty: float = PENALTY) -> list[np.ndarray
             top = v.argmax(1)
             most = v[np.arange(m), top] - penalty
             change = most[:, None] > v
-            back[starts[t] : starts[t + 1]] = np.where(change, top[:, None].astype(np.int8), own)
+            back[starts[t] : starts[t + 1]] = np.where(change, top[:, None].astype(np.int32), own)
             value[:m] = np.where(change, most[:, None], v) + table[starts[t] : starts[t + 1]]
         else:
             value[:m] = table[:m]
     if n:
         ends[: live[n - 1]] = value[: live[n - 1]].argmax(1)
-    path = np.empty(starts[-1], np.int8)
+    path = np.empty(starts[-1], np.int32)
     for t in range(n - 1, -1, -1):
         m, later = live[t], live[t + 1] if t + 1 < n else 0
         here = ends[:m].copy()
         if later:
             here[:later] = back[starts[t + 1] : starts[t + 2]][np.arange(later), path[starts[t + 1] : starts[t + 2]]]
         path[starts[t] : starts[t + 1]] = here
-    out: list[np.ndarray] = [np.zeros(0, np.int8)] * len(scores)
+    out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(scores)
     for k, i in enumerate(order):
         out[i] = path[starts[: sizes[k]] + k]
     return out
@@ -175,40 +181,58 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 400, most_langs: int = 120, most_chars: int = 20_000) -> Model:
-    """Learn from at most `per_lang` texts, chosen by a hash of the id, of each of the `most_langs` most frequent languages.
-
-    At most `most_chars` code points of a text, from a place chosen by the hash, come to the driver. Held-out ids,
-    null ids, texts and languages are left out. With nothing to learn from, the model knows no language.
+def _counter(batches):
+    """(lang, kind, key, n): trigrams and scripts of the words of whole texts, added up within a batch."""
+    names = ["lang", "kind", "key", "n"]
+    for b in batches:
+        for i in range(0, b.num_rows, 64):
+            tri: Counter = Counter()
+            use: Counter = Counter()
+            for lang, text in zip(b.column(0).slice(i, 64).to_pylist(), b.column(1).slice(i, 64).to_pylist()):
+                for w, n in Counter(_LETTERS.findall(text.lower())).items():
+                    use[lang, script_of(w)] += n
+                    for g in trigrams(w):
+                        tri[lang, g] += n
+            rows = [(lang, kind, key, n) for kind, c in (("gram", tri), ("script", use)) for (lang, key), n in c.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.string(), pa.int64()))], names=names)
+
+
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 400) -> Model:
+    """Learn every language from the whole texts of at most `per_lang` of its ids, the first by a hash of the id.
+
+    Held-out ids, null ids, texts and languages are left out. The texts are counted on the executors; only the ids
+    (1.5 * `per_lang` a language, about) and the counts of the trigrams come to the driver, not the texts: rows that
+    repeat an id all count, wherever they are. With nothing to learn from, the model knows no language.
     """
     seen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     seen = seen.where("text is not null and lang is not null and id is not null").where(~held_out(F.col("id")))
-    counts = {r["lang"]: r["n"] for r in seen.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()}
+    counts = {r["lang"]: r["n"] for r in seen.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(counts)
-    # A share of the hash range a little above what is needed, exact where there are no more rows than that.
-    share = F.create_map(*(x for k, n in counts.items() for x in (F.lit(k), F.lit(int(min(1.0, 1.5 * per_lang / n) * 2**20))))) if counts else None
     tri: dict[str, Counter] = {x: Counter() for x in langs}
     use: dict[str, Counter] = {x: Counter() for x in langs}
     if counts:
+        spark = docs.sparkSession
+        # A share of the hash range a little above what is needed, exact where there are no more rows than that.
+        share = spark.createDataFrame([(k, int(min(1.0, 1.5 * per_lang / n) * 2**20)) for k, n in counts.items()], "lang string, share int")
         key = F.pmod(F.xxhash64("id"), F.lit(2**20))
-        start = F.pmod(F.xxhash64("id", F.lit(1)), F.greatest(F.lit(1), F.length("text") - most_chars)).cast("int") + 1
-        near = seen.where(key <= F.try_element_at(share, "lang")).select("id", "lang", key.alias("key"), F.substring("text", start, F.lit(most_chars)).alias("text"))
-        rows = near.toPandas().sort_values(["key", "id"]).groupby("lang").head(per_lang)
-        for lang, text in zip(rows["lang"], rows["text"]):
-            words = Counter(w.lower() for w in _LETTERS.findall(text))
-            for w, n in words.items():
-                use[lang][script_of(w)] += n
-                for g in trigrams(w):
-                    tri[lang][g] += n
+        ids = seen.select("lang", "id", key.alias("key")).join(F.broadcast(share), "lang").where("key <= share").groupBy("lang", "id").agg(F.min("key").alias("key"))
+        rank = F.row_number().over(Window.partitionBy("lang").orderBy("key", "id"))
+        ids = ids.withColumn("rank", rank).where(F.col("rank") <= per_lang).select(F.col("lang").alias("l"), F.col("id").alias("i"))
+        chosen = seen.join(F.broadcast(ids), (F.col("lang") == F.col("l")) & (F.col("id") == F.col("i")), "left_semi")
+        found = chosen.select("lang", "text").mapInArrow(_counter, "lang string, kind string, key string, n long")
+        for r in found.groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")).toLocalIterator():
+            (tri if r["kind"] == "gram" else use)[r["lang"]][r["key"]] = r["n"]
     kinds = sorted({g for c in tri.values() for g in c})
     total = np.array([sum(tri[x].values()) for x in langs], float)
     smooth = 0.5
     bottom = np.log(total + smooth * (len(kinds) + 1)) if langs else np.zeros(0)
     grams = {g: k for k, g in enumerate(kinds)}
     # The last row serves trigrams that no language has.
-    table = np.array([[tri[x][g] for x in langs] for g in kinds] + [[0] * len(langs)], float).reshape(len(kinds) + 1, len(langs))
+    table = np.full((len(kinds) + 1, len(langs)), smooth)
+    for k, x in enumerate(langs):
+        table[[grams[g] for g in tri[x]], k] += list(tri[x].values())
     scripts = {s: np.array([use[x][s] > 0.001 * max(1, sum(use[x].values())) for x in langs]) for s in {s for c in use.values() for s in c}}
-    return Model(langs, grams, np.log(table + smooth) - bottom, {s: v for s, v in scripts.items() if v.any()})
+    return Model(langs, grams, np.log(table) - bottom, {s: v for s, v in scripts.items() if v.any()})
 
 
 def label(texts: list[str | None], model: Model, with_spans: bool = False) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
@@ -244,7 +268,9 @@ def label(texts: list[str | None], model: Model, with_spans: bool = False) -> li
 def identified(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", with_spans: bool = False) -> DataFrame:
     """A row per row of `docs`: doc_id, lang_pred, score - the share of letters in that language - and, if asked, spans.
 
-    `und` and 0 for a text that is null or has no letter, or if the model knows no language.
+    `und` and 0 for a text that is null or has no letter (by Unicode category), or if the model knows no language. A
+    tie goes to the language that sorts first. Each row stands for itself: a null doc_id stays null, rows that repeat
+    one give a row each; an empty table gives none, and columns of whatever other names are not read.
     """
 
     def run(batches):

@@ -95,12 +95,12 @@ def fit(good: list[bytes], bad: list[bytes]) -> Classifier | None:
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_class: int = 3000, most_bytes: int = 1 << 15) -> Classifier | None:
-    """Fit on a bounded sample of the labelled rows that aren't held out.
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_class: int = 3000) -> Classifier | None:
+    """Fit on the whole texts of a bounded sample of the labelled rows that aren't held out.
 
-    `per_class` labelled ids of each class, chosen by a hash, and of each text at most `most_bytes` around a place
-    chosen by a hash as well: at most 2 * per_class * most_bytes come to the driver, however large the tables are.
-    Rows with a null id, text or label are not learnt from; an id with both labels is left out.
+    `per_class` labelled ids of each class, chosen by a hash: at most 2 * per_class texts come to the driver, one for
+    each id (of rows that repeat an id, the least text), however large the tables are. Rows with a null id, text or
+    label are not learnt from; an id with both labels is left out.
     """
     seen = labels.select(F.col(id_col).cast("long").alias("id"), F.col("quality").cast("int").alias("quality"))
     seen = seen.where(F.col("quality").isin(0, 1) & F.col("id").isNotNull() & ~held_out(F.col("id")))
@@ -110,14 +110,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     for label in (0, 1):
         one = seen.where(F.col("quality") == label).orderBy(F.xxhash64("id"), "id").limit(per_class)
         chosen = one if chosen is None else chosen.union(one)
-    start = F.pmod(F.xxhash64("id", F.lit(1)), F.greatest(F.lit(1), F.length("text") - most_bytes // 4)).cast("int") + 1
-    rows = texts.join(F.broadcast(chosen), "id").select("id", "quality", F.substring("text", start, F.lit(most_bytes // 4)).alias("text")).toPandas()
-    rows = rows.sort_values(["id", "text"], kind="stable").drop_duplicates("id")
+    rows = texts.join(F.broadcast(chosen), "id").groupBy("id", "quality").agg(F.min("text").alias("text"))
     # In hash order: whether a text goes to a dictionary or to the calibration has nothing to do with its place.
-    rows["key"] = [hash_of(i) for i in rows["id"]]
-    rows = rows.sort_values("key")
-    by = {q: [t.encode() for t in rows.loc[rows["quality"] == q, "text"]] for q in (0, 1)}
-    return fit(by[1], by[0])
+    found = sorted(((hash_of(r["id"]), r["id"], r["quality"], r["text"].encode()) for r in rows.toLocalIterator()), key=lambda r: r[:2])
+    return fit([t for _, _, q, t in found if q], [t for _, _, q, t in found if not q])
 
 
 def hash_of(i: int) -> int:
@@ -129,7 +125,8 @@ def hash_of(i: int) -> int:
 def scored(docs: DataFrame, model: Classifier | None, id_col: str = "doc_id", text_col: str = "text", extra: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, score (0 to 1) and the columns of `extra`, a row for each row of `docs`.
 
-    A null text scores as an empty one. Without a model (nothing to learn from) every score is 0.5.
+    A null text scores as an empty one, a null id stays null, and rows that repeat an id score each by its own text.
+    Without a model (nothing to learn from) every score is 0.5. An empty table gives no rows.
     """
     kept = [docs.schema[c] for c in extra]
     schema = docs.select(F.col(id_col).cast("long").alias("doc_id"), *extra, F.lit(0.0).alias("score")).schema
