@@ -486,6 +486,9 @@ def test_mixing(spark, docs, empty, tmp_path):
     assert abs(sum(r["taken"] for r in got) - 1.5 * sum(r["size"] for r in got)) < 8
     assert all(0 <= r["taken"] <= 2 * r["size"] for r in got)
     assert mixing.mixed(empty).count() == 0
+    # Rows without an id are spread over keys, not dealt to one; the mix of the same rows in another order is the same.
+    again = mixing.mixed(docs.repartition(7, "text")).select("doc_id", "size", "source_size", "target", "taken").collect()
+    assert sorted(((r[0], r[1], r[2], round(r[3], 6), r[4]) for r in again), key=key) == mine
     zero = mixing.mixed(make(spark, [(1, None, "en", "a"), (2, "", "en", None)])).collect()
     assert {(r["taken"], r["target"]) for r in zero} == {(0, 0.0)}
 

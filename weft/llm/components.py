@@ -35,6 +35,10 @@ def components(edges: DataFrame, a: str, b: str, scratch: Scratch, name: str = "
             step = point.select(F.col("node").alias("component"), "to")
             label = label.join(step, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
         label = scratch.keep(label, f"{name}-l{k}")
+        edges = scratch.keep(left, f"{name}-e{k + 1}")
+        for old in ("e", "n", "p"):  # written again above as labels and edges
+            scratch.drop(f"{name}-{old}{k}")
+        if k:
+            scratch.drop(f"{name}-l{k - 1}")
         k += 1
-        edges = scratch.keep(left, f"{name}-e{k}")
     return label if label is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("component"))

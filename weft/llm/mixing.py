@@ -8,6 +8,8 @@ source's budget is cut exactly where the prefix sum reaches it, after as many wh
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,8 +18,8 @@ from weft.llm.scratch import Scratch
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of the sources in order, repeating.
 WEIGHTS = (5, 2, 1)
-#: Leading hexadecimal digits of a key that name its range.
-DIGITS = 3
+#: Rows of a range, about, and the fewest leading hexadecimal digits of a key that name one.
+RANGE, DIGITS = 5_000, 3
 
 
 def mixed(
@@ -36,10 +38,13 @@ def mixed(
     together they get share[0]/share[1] of all words, none more than `most` times its own, with what that leaves
     given to the others by weight. taken is the words that the mix takes of the row, repeats counted: a whole number
     of epochs, then the rows of least key, the last of them in part, until the floor of the target is reached.
-    Rows with equal keys (equal ids) go by size; equal rows are interchangeable. A null id has the key of ''.
+    The key is a hash of the id and of the text, so rows that repeat an id or have none are spread like all others;
+    only rows equal in both share a key, and they are interchangeable. The list of the sources, a row each, is
+    ordered in one task. A null source is a source; an empty table gives no rows.
     """
     tmp = Scratch(docs.sparkSession, "mix")
-    key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
+    text = F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
+    key = F.md5(F.concat_ws("/", F.coalesce(F.col(id_col).cast("string"), F.lit("")), text).cast("binary"))
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.col(source_col).alias("source"),
@@ -47,7 +52,9 @@ def mixed(
         key.alias("_key"),
         *extra,
     )
-    rows = tmp.keep(rows.withColumn("_range", F.substring("_key", 1, DIGITS)), "sizes")
+    rows = tmp.keep(rows, "sizes")
+    digits = max(DIGITS, math.ceil(math.log(max(1, rows.count() / RANGE), 16)))
+    rows = rows.withColumn("_range", F.substring("_key", 1, digits))
     ranges = tmp.keep(rows.groupBy("source", "_range").agg(F.sum("size").alias("part")), "ranges")
     sources = ranges.groupBy("source").agg(F.sum("part").alias("source_size"))
     # One row for each source from here to the targets; windows without a partition hold no more than that.
@@ -80,7 +87,7 @@ def mixed(
 SQL = r"""
 with rows as (
   select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
-         md5(coalesce(doc_id::varchar, '')) as k
+         md5(coalesce(doc_id::varchar, '') || '/' || md5(coalesce(text, ''))) as k
   from documents),
 sources as (select source, sum(size)::bigint as source_size from rows group by source),
 turned as (
