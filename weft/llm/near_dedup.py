@@ -4,8 +4,10 @@ Every distinct shingle set gets a signature of `coordinates` minima. Two sets of
 at least `matches` coordinates but for a chance of about 1e-6 at the threshold itself. Each set posts itself under
 its (coordinate, value) pairs; pairs are ordered by how many sets carry them, rarest first, and a set posts only
 the first `coordinates - matches + 1`: two sets with `matches` common pairs always meet in one of those (prefix
-merging), and a set whose prefix holds only pairs of its own is skipped altogether. Postings then give candidates,
-whose agreeing coordinates are counted, and whose full shingle sets are compared at last.
+merging), and a set whose prefix holds only pairs of its own is skipped altogether. The collisions of two sets that
+meet are counted over all their coordinate-value pairs, in the one list of those they share in which they meet
+first; the others skip them. Those above the match threshold go on: longer signatures, of which the posted
+coordinates are the beginning, and at last the full shingle sets confirm them.
 
 Members of a posting list aren't all paired. In a leader round each is paired with a few leaders of its list, and
 confirmed links join them; lists whose members are in one component by then need nothing more. What is left is
@@ -31,6 +33,8 @@ _XOR = np.random.default_rng(11).integers(0, 2**63, 1024, dtype=np.uint64)
 BLOCK = 1024
 #: Coordinates, one byte each, of the longer signatures by which members of a posting list are compared.
 WIDE = 512
+#: Lists whose members' incidence is held at once.
+LISTS = 2048
 #: Shingles whose minima are taken in one piece.
 _PIECE = 1 << 10
 
@@ -109,8 +113,16 @@ def least_matches(n: int, percent: int, deviations: float, chance: float = 0.0)
     return int(n * (p + (1 - p) * chance) - deviations * (n * p * (1 - p)) ** 0.5)
 
 
-def _counter(matches: int):
-    """Compares each member's signature with those of its list's leaders; keeps those that agree often enough."""
+def collisions(own: np.ndarray, other: np.ndarray, n: int, matches: int, alike: int) -> np.ndarray:
+    """Agreements of each row of `own` with `other` over the whole signature; 0 unless those of the n posted
+    coordinates reach `matches` and all of them `alike`."""
+    equal = own == other
+    m = equal.sum(1)
+    return np.where((equal[:, :n].sum(1) >= matches) & (m >= alike), m, 0)
+
+
+def _counter(n: int, matches: int, alike: int):
+    """Counts each member's collisions with its list's leaders; keeps those that agree often enough."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("m", pa.int32())])
 
     def run(batches):
@@ -122,8 +134,8 @@ def _counter(matches: int):
                 for i in range(3, batch.num_columns):
                     head = batch.column(i)
                     lead, lead_comp = head.field("c").to_numpy(), head.field("comp").to_numpy()
-                    m = (own == np.frombuffer(b"".join(head.field("sig").to_pylist()), np.uint8).reshape(-1, WIDE)).sum(1)
-                    keep = np.flatnonzero((m >= matches) & (comp != lead_comp))
+                    m = collisions(own, np.frombuffer(b"".join(head.field("sig").to_pylist()), np.uint8).reshape(-1, WIDE), n, matches, alike)
+                    keep = np.flatnonzero((m > 0) & (comp != lead_comp))
                     found.append(np.stack([np.minimum(c, lead)[keep], np.maximum(c, lead)[keep], m[keep]]))
                 a, b, m = np.unique(np.concatenate(found, axis=1), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(m.astype(np.int32))], schema=schema)
@@ -149,26 +161,39 @@ def _confirmer(percent: int):
     return run
 
 
-def _block_pairs(matches: int):
-    """Within one pair of blocks of a posting list: pairs of different components that agree often enough.
+def _block_pairs(n: int, matches: int, alike: int):
+    """Within one pair of blocks of a posting list: pairs of different components that collide often enough.
 
-    A pair that meets in several lists comes out of the first of them only.
+    Two members that share several open lists are compared in the one of least number only: which those are is seen
+    at once for the whole block, from a product of the members' incidence with the lists before this one.
     """
 
     def run(table: pa.Table) -> pa.Table:
         c, comp, part = (table.column(x).to_numpy() for x in ("c", "comp", "part"))
         this = table.column("pair")[0].as_py()
-        lists = table.column("lists").to_pylist()
+        lists = table.column("lists").combine_chunks()
+        member = np.repeat(np.arange(len(c)), np.diff(lists.offsets.to_numpy()))
+        name = lists.flatten().to_numpy()
+        before = name < this
+        found, column = np.unique(name[before], return_inverse=True)
+        some = np.flatnonzero(np.bincount(column, minlength=len(found)) > 1)
+        place = np.full(len(found), -1)
+        place[some] = np.arange(len(some))
+        row, at = member[before], place[column]
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(-1, WIDE)
         left, right = np.flatnonzero(part != 1), np.flatnonzero(part != 0)
+        met = np.zeros((len(left), len(right)), bool)
+        for lo in range(0, len(some), LISTS):
+            held = (at >= lo) & (at < lo + LISTS)
+            incidence = np.zeros((len(c), min(LISTS, len(some) - lo)), np.float32)
+            incidence[row[held], at[held] - lo] = 1
+            met |= incidence[left] @ incidence[right].T > 0
         a, b = [], []
-        for i in left:
-            other = right[(comp[right] != comp[i]) & ((part[right] == 1) | (c[right] > c[i]))]
-            mine = set(lists[i])
-            for j in other[(sig[other] == sig[i]).sum(1) >= matches]:
-                if min(mine.intersection(lists[j])) == this:
-                    a.append(min(c[i], c[j]))
-                    b.append(max(c[i], c[j]))
+        for i, seen in zip(left, met):
+            other = right[~seen & (comp[right] != comp[i]) & ((part[right] == 1) | (c[right] > c[i]))]
+            for j in other[collisions(sig[other], sig[i], n, matches, alike) > 0]:
+                a.append(min(c[i], c[j]))
+                b.append(max(c[i], c[j]))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
@@ -232,7 +257,7 @@ def near_duplicates(
             heads = heads.join(one, F.col(f"h{i}.c") == F.col("hc")).withColumn(f"h{i}", F.struct(F.col(f"h{i}.c").alias("c"), F.col(f"h{i}.comp").alias("comp"), F.col("hs").alias("sig"))).drop("hc", "hs")
         heads = tmp.keep(heads.select("pair", *(f"h{i}" for i in range(leaders))), f"heads{k}")
         tried = at.join(heads, "pair").join(sig, "c").select("c", "comp", "sig", *(f"h{i}" for i in range(leaders)))
-        tried = tried.mapInArrow(_counter(alike), "a long, b long, m int").distinct()
+        tried = tried.mapInArrow(_counter(coordinates, matches, alike), "a long, b long, m int").distinct()
         # A member goes on with its most similar leaders only; what that leaves open is left to what follows.
         best = tmp.keep(tried.withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("m"), "a"))).where("r <= 2").select("a", "b"), f"best{k}")
         new = tmp.keep(confirmed(best), f"links{k}")
@@ -247,7 +272,7 @@ def near_duplicates(
     spread = F.expr("transform(sequence(0, blocks - 1), y -> struct(least(x, y) as lo, greatest(x, y) as hi, cast(if(x = y, 2, if(x < y, 0, 1)) as int) as part))")
     rest = rest.select("c", "comp", "pair", F.explode(spread).alias("s")).select("c", "comp", "pair", "s.lo", "s.hi", "s.part")
     rest = rest.join(posted.join(open_lists, "pair", "left_semi").groupBy("c").agg(F.collect_list("pair").alias("lists")), "c").join(sig, "c")
-    more = rest.groupBy("pair", "lo", "hi").applyInArrow(_block_pairs(alike), "a long, b long")
+    more = rest.groupBy("pair", "lo", "hi").applyInArrow(_block_pairs(coordinates, matches, alike), "a long, b long")
     links = links.union(tmp.keep(confirmed(tmp.keep(more, "more")), "links-more"))
     comp = components(links, "a", "b", tmp, "cc")
 
