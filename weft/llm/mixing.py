@@ -74,7 +74,7 @@ def mixed(
     ranges = ranges.select(F.col("source").alias("s"), F.col("_range").alias("r"), offset.alias("_offset"))
     within = Window.partitionBy("source", "_range").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = rows.withColumn("_upto", F.sum("size").over(within))
-    out = out.join(tmp.keep(ranges, "offsets"), F.col("source").eqNullSafe(F.col("s")) & (F.col("_range") == F.col("r"))).drop("s", "r")
+    out = out.join(ranges, F.col("source").eqNullSafe(F.col("s")) & (F.col("_range") == F.col("r"))).drop("s", "r")
     out = out.join(s.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     budget = F.floor("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.greatest(F.col("source_size"), F.lit(1)))).otherwise(0).cast("long")

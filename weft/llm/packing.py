@@ -330,10 +330,10 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
     places = _places(plan(histogram, capacity)[0])
 
     buckets = min(max(sum(histogram.values()) // 20_000, 64), 1 << 16)
-    at = pieces.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
+    at = pieces.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
     sums = at.groupBy("length", "_bucket").count()
     offset = F.sum("count").over(Window.partitionBy("length").orderBy("_bucket")) - F.col("count")
-    sums = tmp.keep(sums.select(F.col("length").alias("l"), F.col("_bucket").alias("b"), offset.alias("_before")), "ranks")
+    sums = sums.select(F.col("length").alias("l"), F.col("_bucket").alias("b"), offset.alias("_before"))
     within = Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece", "start", "ids_crc32")
     ranked = at.withColumn("_n", F.row_number().over(within)).join(sums, (F.col("length") == F.col("l")) & (F.col("_bucket") == F.col("b")))
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("_before") + F.col("_n") - 1).cast("long").alias("rank"))
