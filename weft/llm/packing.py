@@ -28,8 +28,8 @@ from weft.llm.scratch import Scratch
 
 CAPACITY = 4096
 END_ID = 1
-#: Words, and parts of words, that a worker remembers the ids of: about 15 MB of each.
-REMEMBERED = 60_000
+#: Words, and parts of words, that a worker remembers the ids of: about 20 MB of each.
+REMEMBERED = 150_000
 #: Classes of lengths in the program, steps of its solution, and the rate at which what is covered loses its weight.
 UNITS, STEPS, RATE = 512, 192, 1.0
 #: Share of the tokens, in the shortest pieces, that the program doesn't see: best fit closes gaps with them.
