@@ -69,21 +69,14 @@ def corpus_counts(spark, sf_dir):
     )
 
 
-@query("""with c as (select doc_id, text[:10000] as text from documents),
-s as (select *, coalesce(sum(length(text)) over (order by doc_id rows between unbounded preceding and 1 preceding), 0) as upto from c)
-select doc_id, length(text) as n_chars from s where upto <= 1000000 and length(text) > 0""")
-def char_budget(spark, sf_dir):
-    """Documents that a budget of a million cropped characters takes, in the order of their ids."""
-    kept = corpus.within_budget(_documents(spark, sf_dir).select("doc_id", "text"), "doc_id", "text", 1_000_000, 10_000, width=256)
-    return kept.select("doc_id", F.length("text").alias("n_chars"))
-
-
 #: Characters that the tokenizer's training takes by default.
 MAX_CHARS = 2_000_000_000
 
 
-@query()
-def char_budget_default(spark, sf_dir):
+@query(f"""with c as (select doc_id, text[:10000] as text from documents),
+s as (select *, coalesce(sum(length(text)) over (order by doc_id rows between unbounded preceding and 1 preceding), 0) as upto from c)
+select doc_id, length(text) as n_chars from s where upto <= {MAX_CHARS} and length(text) > 0""")
+def char_budget(spark, sf_dir):
     """Documents that the default budget of cropped characters takes, in the order of their ids."""
     kept = corpus.within_budget(_documents(spark, sf_dir).select("doc_id", "text"), "doc_id", "text", MAX_CHARS, 10_000)
     return kept.select("doc_id", F.length("text").alias("n_chars"))
@@ -189,87 +182,59 @@ def capitalization_states(spark, sf_dir):
     return _surfaces(spark, sf_dir).groupBy(affixes.capitalization(F.col("word")).alias("state")).agg(F.count("*").alias("n"))
 
 
-@query(f"""with {SURFACES}, w as (select distinct translate(word, '{text.UPPER}', '{text.LOWER}') as base from surfaces where regexp_full_match(word, '[A-Za-z]+')),
-v as (select base, space, state, case when space then ' ' else '' end || case state when 'none' then base when 'first_cap' then upper(base[1]) || base[2:] else upper(base) end as variant
- from w, (values (false), (true)) s(space), (values ('none'), ('first_cap'), ('all_caps')) c(state))
-select base, variant, space, state from v where variant <> base""")
-def space_cap_variants(spark, sf_dir):
-    """Variants of every ASCII word in lower case by space and capitalization."""
-    words = _surfaces(spark, sf_dir).where(F.col("word").rlike("^[A-Za-z]+$")).select(text.ascii_lower(F.col("word")).alias("base")).distinct()
-    return words.select("base", F.explode(affixes.variants(F.col("base"))).alias("v")).select("base", "v.variant", "v.space", "v.state")
-
+_KEY = "case when regexp_full_match({0}, '\\p{{L}}+') then case when regexp_full_match({0}, '\\p{{Lu}}+') then {0} else lower({0}) end end"
 
-_KEY = "case when regexp_full_match({0}, '[A-Za-z]+') then case when regexp_full_match({0}, '[A-Z]+') then {0} else lower({0}) end end"
 
-
-@query(f"""with {SURFACES}, a as (select row_number() over (order by word) - 1 as id, word, {_KEY.format('word')} as k from surfaces where regexp_full_match(word, '[A-Za-z]+')),
-b as (select k, arg_min(id, (case when word = k then 0 else 3 end) * 1000000000::bigint + id) as c from a group by k)
-select word, first_value(id) over (partition by word) as id, c as canonical_id from a join b using (k)""")
-def case_space_equivalence(spark, sf_dir):
-    """Canonical id of every ASCII word among those that differ by capitals only."""
-    words = corpus.renumbered(_surfaces(spark, sf_dir).where(F.col("word").rlike("^[A-Za-z]+$")), "word", "id")
-    return metrics.equivalence(words, "id", "word", affixes.accuracy_surface(F.col("word")))
+def _upper(x: str) -> str:
+    return f"upper(replace({x}, 'ß', 'ss'))"  # one letter that has no capital of its own
 
 
-@query(f"with {SURFACES} select base, arg_min(word, (first_doc, word)) as word, min(first_doc) as first_doc from (select *, lower(word) as base from surfaces where regexp_full_match(word, '[A-Za-z]+')) group by base")
-def dedup_first_wins(spark, sf_dir):
-    """Of the words with one lower-case form, that of the least document, then of the least spelling."""
-    words = _surfaces(spark, sf_dir).where(F.col("word").rlike("^[A-Za-z]+$")).withColumn("base", F.lower("word"))
-    return corpus.first_wins(words, ["base"], ["first_doc", "word"]).select("base", "word", "first_doc")
-
-
-@query(f"with {SURFACES} select base, arg_max(word, (first_doc, word)) as word from (select *, lower(word) as base from surfaces where regexp_full_match(word, '[A-Za-z]+')) group by base")
-def last_write_wins(spark, sf_dir):
-    """Of the words with one lower-case form, the one that is written last."""
-    words = _surfaces(spark, sf_dir).where(F.col("word").rlike("^[A-Za-z]+$")).withColumn("base", F.lower("word"))
-    return corpus.last_wins(words, ["base"], ["first_doc", "word"]).select("base", "word")
-
-
-@query()
-def space_cap_variants_all(spark, sf_dir):
+@query(f"""with {SURFACES}, w as (select distinct lower(word) as base from surfaces),
+v as (select base, space, state, case when space then ' ' else '' end || case state when 'none' then base when 'first_cap' then {_upper('base[1]')} || base[2:] else {_upper('base')} end as variant
+ from w, (values (false), (true)) s(space), (values ('none'), ('first_cap'), ('all_caps')) c(state))
+select base, variant, space, state from v where variant <> base""")
+def space_cap_variants(spark, sf_dir):
     """Variants of every word of any script in lower case by space and capitalization."""
     words = _surfaces(spark, sf_dir).select(F.lower("word").alias("base")).distinct()
     return words.select("base", F.explode(affixes.variants(F.col("base"))).alias("v")).select("base", "v.variant", "v.space", "v.state")
 
 
-@query()
-def case_space_equivalence_all(spark, sf_dir):
+@query(f"""with {SURFACES}, k as (select word, {_KEY.format('word')} as k from surfaces),
+c as (select k, arg_min(word, (case when word = k then 0 else 3 end, word)) as c from k where k is not null group by k)
+select word, coalesce(c, word) as canonical from k left join c using (k)""")
+def case_space_equivalence(spark, sf_dir):
     """Canonical word of every word among those of letters that differ by capitals only; any other word is its own."""
     words = _surfaces(spark, sf_dir).select("word", F.col("word").alias("id"))
     return metrics.equivalence(words, "id", "word", affixes.accuracy_surface(F.col("word"))).select("word", F.col("canonical_id").alias("canonical"))
 
 
-@query()
-def dedup_first_wins_all(spark, sf_dir):
+@query(f"with {SURFACES} select base, arg_min(word, (first_doc, word)) as word, min(first_doc) as first_doc from (select *, lower(word) as base from surfaces) group by base")
+def dedup_first_wins(spark, sf_dir):
     """Of all words with one lower-case form, in any script, that of the least document, then of the least spelling."""
     words = _surfaces(spark, sf_dir).withColumn("base", F.lower("word"))
     return corpus.first_wins(words, ["base"], ["first_doc", "word"]).select("base", "word", "first_doc")
 
 
-@query()
-def last_write_wins_all(spark, sf_dir):
+@query(f"with {SURFACES} select base, arg_max(word, (first_doc, word)) as word from (select *, lower(word) as base from surfaces) group by base")
+def last_write_wins(spark, sf_dir):
     """Of all words with one lower-case form, in any script, the one that is written last."""
     words = _surfaces(spark, sf_dir).withColumn("base", F.lower("word"))
     return corpus.last_wins(words, ["base"], ["first_doc", "word"]).select("base", "word")
 
 
 def _fold(x: str) -> str:
-    return "trim(regexp_replace(" + x + r", '[\p{Z}\t-\r\x{85}]+', ' ', 'g'))"
+    return "trim(regexp_replace(coalesce(" + x + r", ''), '[\p{Z}\t-\r\x{85}\x{1C}-\x{1F}]+', ' ', 'g'))"
 
 
 def _squad(x: str) -> str:
-    return _fold(f"regexp_replace(translate(lower({x}), {_quoted(ASCII_PUNCTUATION)}, ''), '\\b(a|an|the)\\b', ' ', 'g')")
+    bare = f"translate(lower(coalesce({x}, '')), {_quoted(ASCII_PUNCTUATION)}, '')"
+    for _ in range(2):  # a word between two others' separators is left to the second pass
+        bare = f"regexp_replace({bare}, '(^|[^\\p{{L}}\\p{{N}}_])(a|an|the)([^\\p{{L}}\\p{{N}}_]|$)', '\\1 \\3', 'g')"
+    return _fold(bare)
 
 
-@query(f"select conv_id, turn, md5({_squad('text')}) as digest, {_fold('text')} = text as folded from conversations where not regexp_matches(text, '[^\\x00-\\x7F]')")
+@query(f"select conv_id, turn, md5({_squad('text')}) as digest, coalesce({_fold('text')} = text, false) as folded from conversations")
 def squad_normalize(spark, sf_dir):
-    """Answer normalization of every ASCII turn."""
-    c = table(spark, sf_dir, "conversations").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
-    return c.select("conv_id", "turn", F.md5(scoring.squad_normalized(F.col("text")).cast("binary")).alias("digest"), (scoring.fold_spaces(F.col("text")) == F.col("text")).alias("folded"))
-
-
-@query()
-def squad_normalize_all(spark, sf_dir):
     """Answer normalization of every turn in any script; of a null one, an empty text."""
     c = table(spark, sf_dir, "conversations")
     return c.select("conv_id", "turn", F.md5(scoring.squad_normalized(F.col("text")).cast("binary")).alias("digest"), F.coalesce(scoring.fold_spaces(F.col("text")) == F.col("text"), F.lit(False)).alias("folded"))
@@ -401,30 +366,28 @@ def running_minimum(spark, sf_dir):
     return metrics.running_minimum(c, "conv_id", "turn", "n").select("conv_id", "turn", "least")
 
 
-@query("""with d as (select doc_id, text[:40] as head, sha256(text) as digest from documents)
-select md5(head) as head, count(distinct digest) as n from d group by head having count(distinct digest) > 1""")
-def surface_collisions(spark, sf_dir):
-    """Beginnings of 40 characters that several different documents share."""
-    d = _documents(spark, sf_dir).select(F.md5(F.substring("text", 1, 40).cast("binary")).alias("head"), F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
-    return d.groupBy("head").agg(F.count_distinct("digest").alias("n")).where("n > 1")
+_BASE_KEY = r"case when length(ltrim(base, ' ')) = 0 then null when regexp_matches(base, '\p{L}') and not regexp_matches(base, '[\p{Ll}\p{Lt}\p{Lm}\p{Lo}]') then ltrim(base, ' ') else lower(ltrim(base, ' ')) end"
+_STATE = f"""case when {_UPPERS.format('base')} = 0 then 'none' when {_UPPERS.format('base')} = length({_LETTERS.format('base')}) and {_UPPERS.format('base')} > 1 then 'all_caps'
+ when regexp_matches({_LETTERS.format('base')}[1], '\\p{{Lu}}') and {_UPPERS.format('base')} = 1 then 'first_cap' else 'all_caps_literal' end"""
 
 
-@query()
-def modifier_collisions(spark, sf_dir):
+def _collision_sql() -> str:
+    every = "lines as (select word as line from surfaces union select line from (select distinct unnest(string_split(text, chr(10))) as line from documents) where line is not null)"
+    stripped = _strip_sql().replace(LINES, f"{SURFACES}, {every}").replace("md5(line) as line", "line")
+    keys = "base_key, space_prefix, prefix_punct, prep, prep_cap, article, article_cap, suffix_punct, capitalization"
+    return f"""with b as ({stripped}), k as (select *, {_BASE_KEY} as base_key, {_STATE} as capitalization from b)
+select {keys}, count(distinct line) as n, min(line) as first from k where coalesce(base_key, '') <> '' group by {keys} having count(distinct line) > 1"""
+
+
+@query(_collision_sql())
+def surface_collisions(spark, sf_dir):
     """Bases and modifiers that several different words or lines of the corpus decompose to."""
     surfaces = _surfaces(spark, sf_dir).select(F.col("word").alias("surface")).union(_lines(spark, sf_dir).where("line is not null")).distinct()
     return metadata.surface_collisions(surfaces, "surface")
 
 
-@query(f"with {SURFACES} select word, array_to_string(string_split_regex(regexp_replace(regexp_replace(word, '([a-z])([A-Z])', '\\1|\\2', 'g'), '([A-Z])([A-Z][a-z])', '\\1|\\2', 'g'), '\\|'), ' ') as parts from surfaces where regexp_full_match(word, '[A-Za-z]+')")
+@query(f"with {SURFACES} select word, replace(regexp_replace(regexp_replace(word, '(\\p{{Ll}})(\\p{{Lu}})', '\\1' || chr(1) || '\\2', 'g'), '(\\p{{Lu}})(\\p{{Lu}}\\p{{Ll}})', '\\1' || chr(1) || '\\2', 'g'), chr(1), ' ') as parts from surfaces")
 def camel_case(spark, sf_dir):
-    """Parts of every ASCII word at its changes of case."""
-    w = _surfaces(spark, sf_dir).where(F.col("word").rlike("^[A-Za-z]+$"))
-    return w.select("word", F.array_join(affixes.camel_parts(F.col("word")), " ").alias("parts"))
-
-
-@query()
-def camel_case_all(spark, sf_dir):
     """Parts of every word of any script at its changes of case."""
     return _surfaces(spark, sf_dir).select("word", F.array_join(affixes.camel_parts(F.col("word")), " ").alias("parts"))
 
@@ -436,28 +399,8 @@ def file_digests(spark, sf_dir):
 
 
 def _base_sql(before: str = " ") -> str:
-    """The stripped surfaces: ASCII words, behind a space or not, in place of lines."""
-    return _strip_sql().replace(LINES, f"{SURFACES}, lines as (select '{before}' || word as line from surfaces where regexp_full_match(word, '[!-~]+'))").replace("md5(line) as line", "line")
-
-
-_BASE_KEY = "case when length(ltrim(base, ' ')) = 0 then null when regexp_matches(base, '[A-Z]') and not regexp_matches(base, '[a-z]') then ltrim(base, ' ') else lower(ltrim(base, ' ')) end"
-
-
-def _ascii_vocabulary(spark, sf_dir, before: str = " "):
-    word = F.concat(F.lit(before), "word")
-    return _surfaces(spark, sf_dir).where(F.col("word").rlike("^[!-~]+$")).select(word.alias("surface"), word.alias("id"))
-
-
-@query(f"with b as ({_base_sql()}), k as (select line, {_BASE_KEY} as base_key from b) select base_key, min(line) as first_id, count(distinct line) as n_variants from k where coalesce(base_key, '') <> '' group by base_key")
-def vocab_bases(spark, sf_dir):
-    """Bases of the corpus's ASCII words, with the first word and the number of words that decompose to each."""
-    return metadata.bases(_ascii_vocabulary(spark, sf_dir), "id", "surface")
-
-
-@query(f"with b as ({_base_sql('')}), k as (select line, {_BASE_KEY} as base_key from b) select line as id from k where coalesce(base_key, '') = '' or base_key = line")
-def vocab_survivors(spark, sf_dir):
-    """Words that decompose to nothing else."""
-    return metadata.survivors(_ascii_vocabulary(spark, sf_dir, ""), "id", "surface")
+    """The stripped surfaces: words, behind a space or not, in place of lines."""
+    return _strip_sql().replace(LINES, f"{SURFACES}, lines as (select '{before}' || word as line from surfaces)").replace("md5(line) as line", "line")
 
 
 def _vocabulary(spark, sf_dir, before: str = " "):
@@ -465,14 +408,14 @@ def _vocabulary(spark, sf_dir, before: str = " "):
     return _surfaces(spark, sf_dir).select(word.alias("surface"), word.alias("id"))
 
 
-@query()
-def vocab_bases_all(spark, sf_dir):
+@query(f"with b as ({_base_sql()}), k as (select line, {_BASE_KEY} as base_key from b) select base_key, min(line) as first_id, count(distinct line) as n_variants from k where coalesce(base_key, '') <> '' group by base_key")
+def vocab_bases(spark, sf_dir):
     """Bases of all the corpus's words, with the first word and the number of words that decompose to each."""
     return metadata.bases(_vocabulary(spark, sf_dir), "id", "surface")
 
 
-@query()
-def vocab_survivors_all(spark, sf_dir):
+@query(f"with b as ({_base_sql('')}), k as (select line, {_BASE_KEY} as base_key from b) select line as id from k where coalesce(base_key, '') = '' or base_key = line")
+def vocab_survivors(spark, sf_dir):
     """Words of any script that decompose to nothing else."""
     return metadata.survivors(_vocabulary(spark, sf_dir, ""), "id", "surface")
 
@@ -484,27 +427,19 @@ def _word_lengths(spark, sf_dir):
     return _documents(spark, sf_dir).select("doc_id", F.transform(F.split("text", " "), lambda w: F.length(w)).alias("ids"))
 
 
-@query(f"with {_IDS} select doc_id, list_sum(ids[:65]) as total, list_sum(ids[-50:]) as tail, len(ids) as n, coalesce(list_position(ids, 9) - 1, len(ids)) as kept, len(ids) - 1 as targets, coalesce(list_sum(ids[2:]), 0) as target_sum from ids")
+@query(f"""with {_IDS} select doc_id, (select max(len(ids)) from ids) as padded, list_sum(ids) as total, list_sum(ids[-50:]) as tail, len(ids) as n,
+coalesce(list_position(ids, 9) - 1, len(ids)) as kept, len(ids) - 1 as targets, coalesce(list_sum(ids[2:]), 0) as target_sum from ids""")
 def pad_tail_stop_shift(spark, sf_dir):
-    """Word lengths of every document padded to 65, their last 50, those before the first 9, and the targets of a shift."""
-    ids = F.col("ids")
+    """Word lengths of every document padded to the longest, their last 50, those before the first 9, and the targets of a shift."""
     total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + x)
-    _, targets = sequences.shifted(ids)
-    return _word_lengths(spark, sf_dir).select(
-        "doc_id", total(sequences.padded(ids, 65)).alias("total"), total(sequences.tail(ids, 50)).alias("tail"), F.size(ids).alias("n"),
-        F.size(sequences.before_stop(ids, [9])).alias("kept"), F.size(targets).alias("targets"), total(targets).alias("target_sum"),
+    p = sequences.stacked(_word_lengths(spark, sf_dir).withColumn("real", F.col("ids")), "ids", -1)
+    kept = F.filter("ids", lambda x: x >= 0)
+    return p.select(
+        "doc_id", F.size("ids").alias("padded"), total(kept).alias("total"), total(sequences.tail(F.col("real"), 50)).alias("tail"), F.size(kept).alias("n"),
+        F.size(sequences.before_stop(F.col("real"), [9])).alias("kept"), F.size(sequences.shifted(F.col("real"))[1]).alias("targets"), total(sequences.shifted(F.col("real"))[1]).alias("target_sum"),
     )
 
 
-@query()
-def pad_to_longest(spark, sf_dir):
-    """Word lengths of every document padded with -1 to the longest: padded size, real elements and their sum."""
-    p = sequences.stacked(_word_lengths(spark, sf_dir), "ids", -1)
-    real = F.filter("ids", lambda x: x >= 0)
-    total = F.aggregate(real, F.lit(0).cast("long"), lambda s, x: s + x)
-    return p.select("doc_id", F.size("ids").alias("padded"), F.size(real).alias("n"), total.alias("total"))
-
-
 @query("""with w as (select conv_id, turn, string_split(text, ' ') as a, lead(string_split(text, ' ')) over (partition by conv_id order by turn) as b from conversations)
 select conv_id, turn, len(list_filter(range(1, least(len(a), len(b)) + 1), lambda i: a[1:i] = b[1:i])) as shared from w where b is not null""")
 def common_prefixes(spark, sf_dir):
