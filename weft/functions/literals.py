@@ -46,5 +46,10 @@ SPECIAL_TOKENS = (
 )
 #: Punctuation that text normalization for answers drops.
 ASCII_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-#: Garbled quotation marks and what they stand for.
-MOJIBAKE = (("â€™", "’"), ("â€˜", "‘"), ("â€œ", "“"), ("â€¦", "…"), ("â€”", "—"), ("â€“", "–"))
+#: Garbled quotation marks and dashes and what they stand for, in the order in which they are replaced.
+MOJIBAKE = (
+    ("\u00e2\u0122\u013b", "\u2019"), ("\u00e2\u0122\u013a", "\u2018"), ("\u00e2\u0122\u013e", "\u201c"), ("\u00e2\u0122\u013f", "\u201d"),
+    ("\u00e2\u0122\u00a6", "\u2026"), ("\u00e2\u0122\u0094", "\u2014"), ("\u00e2\u0122\u0093", "\u2013"),
+    ("\u00e2\u20ac\u2122", "\u2019"), ("\u00e2\u20ac\u02dc", "\u2018"), ("\u00e2\u20ac\u0153", "\u201c"), ("\u00e2\u20ac\u009d", "\u201d"),
+    ("\u00e2\u20ac\u00a6", "\u2026"), ("\u00e2\u20ac\u201d", "\u2014"), ("\u00e2\u20ac\u201c", "\u2013"),
+)

@@ -102,6 +102,13 @@ def collisions(df: DataFrame, keys: list[str], value: str, most: int | None = No
     return out if most is None else out.orderBy(F.desc("n"), *keys).limit(most)
 
 
+def first_surfaces(df: DataFrame, keys: list[str], surface: str, order: list[str]) -> DataFrame:
+    """The first surface of each key in an order, and how many rows differ from it."""
+    first = df.groupBy(*keys).agg(F.min_by(surface, F.struct(*order)).alias("_first"))
+    out = df.join(first, keys).groupBy(*keys, "_first").agg(F.count_if(F.col(surface) != F.col("_first")).alias("n_differing"))
+    return out.withColumnRenamed("_first", surface)
+
+
 def compression(df: DataFrame, raw: str, compressed: str) -> DataFrame:
     """Positions before and after, their ratio and what was saved."""
     out = df.agg(F.sum(raw).alias("raw"), F.sum(compressed).alias("compressed"))

@@ -74,6 +74,19 @@ def rendered(shots: Column, context: Column, delimiter: str = " ") -> Column:
     return F.array_join(F.concat(shown, F.array(context)), "\n\n")
 
 
+def choice_prompt(shots: Column, context: Column, answer: Column, delimiter: str = " ") -> Column:
+    """The shots, then a context and one of its answers: a prompt for each choice, or for each context of one continuation."""
+    return rendered(shots, F.concat(context, F.lit(delimiter), answer), delimiter)
+
+
+def continuation_prompts(shots: Column, context: Column, continuation: Column, delimiter: str = " ") -> tuple[Column, Column]:
+    """(without, with) the continuation; contexts are trimmed, and so is the whole prompt that ends without."""
+    blank = " \t\n\r"
+    shots = F.transform(shots, lambda s: F.struct(F.btrim(s["context"], F.lit(blank)).alias("context"), s["answer"].alias("answer")))
+    head = rendered(shots, F.concat(F.btrim(context, F.lit(blank)), F.lit(delimiter)), delimiter)
+    return F.btrim(head, F.lit(blank)), F.concat(head, continuation)
+
+
 def seeded_shuffle(ids: list, seed: int, most: int = 0) -> list:
     """A shuffle as Python's generator makes it, cut to `most` where that is above 0."""
     out = list(ids)

@@ -15,9 +15,13 @@ def resolve_dir(given: str | None = None, default: str = "data/base", variable:
 
 
 def shards(spark: SparkSession, folder: str) -> DataFrame:
-    """Parquet files of a folder with their place in the order of names; Spark's readers report a missing or empty one."""
-    rows = spark.read.parquet(folder).select(F.col("_metadata.file_name").alias("file"))
-    return rows.groupBy("file").agg(F.count("*").alias("n_rows"))
+    """(file, place) of the Parquet files of a folder, from its listing; a missing or empty one is an error."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = sorted(x.getPath().getName() for x in fs.listStatus(at) if x.getPath().getName().endswith(".parquet"))
+    if not names:
+        raise FileNotFoundError(f"no Parquet files in {folder}")
+    return spark.createDataFrame(list(enumerate(names)), "place long, file string").select("file", "place")
 
 
 def split(spark: SparkSession, folder: str, which: str, text: str = "text") -> DataFrame:
@@ -25,7 +29,7 @@ def split(spark: SparkSession, folder: str, which: str, text: str = "text") -> D
     if which not in ("train", "val"):
         raise ValueError("split must be train or val")
     rows = spark.read.parquet(folder).select(text, F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
-    ends = rows.agg(F.min("file").alias("lo"), F.max("file").alias("hi")).first()
+    ends = shards(spark, folder).agg(F.min("file").alias("lo"), F.max("file").alias("hi")).first()
     if which == "train" and ends["lo"] == ends["hi"]:
         raise ValueError("training needs at least two files")
     # A literal file name prunes whole files in the scan.
@@ -59,6 +63,17 @@ def ranked(rows: DataFrame, groups: DataFrame, rank: int, world: int) -> DataFra
     return rows.join(mine, (rows["file"] == mine["file"]) & rows["row"].between(mine["first"], mine["last"])).drop(mine["file"])
 
 
+def document_batches(rows: DataFrame, groups: DataFrame, rank: int, world: int, epochs: int = 1, resume: tuple[int, int] | None = None) -> DataFrame:
+    """Rows of a rank's row groups over some epochs, with epoch and group; `resume` names the (epoch, group) after which it goes on.
+
+    Every epoch reads the same rows again: an epoch is a column of the plan, not a pass of the driver.
+    """
+    mine = ranked(rows, groups, rank, world).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
+    if resume is not None:
+        mine = mine.where((F.col("epoch") > resume[0]) | ((F.col("epoch") == resume[0]) & (F.col("group") > resume[1])))
+    return mine
+
+
 def jsonl(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     reader = spark.read.option("mode", "FAILFAST")
     return (reader.schema(schema) if schema else reader).json(path)
@@ -89,12 +104,12 @@ def compositions(spark: SparkSession, path: str) -> DataFrame:
     return each.select("e.token_ids", "e.base_ids", rows.alias("modifier_rows"), "e.surface")
 
 
-def em_rows(rows: DataFrame) -> DataFrame:
+def em_rows(rows: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """(context, continuation, answers) of rows in any of three shapes; blank answers go, a gold index out of range is an error."""
     gold = F.try_element_at("choices", F.col("gold") + 1)
     chosen = F.when(F.col("choices").isNotNull() & gold.isNull(), F.raise_error(F.lit("gold index out of range"))).otherwise(gold)
     answers = F.coalesce("answers", F.array(F.coalesce("answer", "continuation", chosen)))
-    return rows.select(F.coalesce("context", "query").alias("context"), F.coalesce("continuation", F.lit("")).alias("continuation"), F.filter(answers, lambda a: F.trim(a) != "").alias("answers"))
+    return rows.select(*keep, F.coalesce("context", "query").alias("context"), F.coalesce("continuation", F.lit("")).alias("continuation"), F.filter(answers, lambda a: F.trim(a) != "").alias("answers"))
 
 
 def write_jsonl(df: DataFrame, text: str, path: str) -> None:
