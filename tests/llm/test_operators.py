@@ -79,6 +79,29 @@ def test_substring_removal(docs, empty):
     assert substring_dedup.without_repeats(empty).count() == 0
 
 
+def test_automata_locate_runs_of_words():
+    words = [b"w%d" % i for i in range(30)]
+    join = b" ".join
+    got = substring_dedup.located([(5, join(words)), (3, join(words[4:20])), (9, b"a a a a")], [join(words[2:9]), b"x " + join(words[10:14]) + b"  " + words[14], b"a a a", b"w1w2 w3 w4 w5", b""], 4)
+    assert got == [[(0, 5), (1, 5), (2, 3), (3, 3)], [(1, 3), (2, 3)], [], [], []]
+    many = [b"%x" % i for i in range(70_000)]  # more words than one plane of characters
+    assert substring_dedup.located([(1, join(many))], [join(many[-5:])], 4) == [[(0, 1), (1, 1)]]
+
+
+def test_removal_is_what_the_automata_locate(docs, monkeypatch):
+    seen = []
+    plain = substring_dedup.located
+    monkeypatch.setattr(substring_dedup, "located", lambda p, s, w: seen.append(len(p)) or [[] for _ in s])
+    run = substring_dedup._locator(3)
+    import pyarrow as pa
+
+    left = pa.table({"doc_id": [1], "words": [b"a b c d"]})
+    right = pa.table({"doc_id": [2], "h": [0], "at": [5], "words": [b"a b c d"]})
+    assert run(left, right).num_rows == 0 and seen == [1]
+    monkeypatch.setattr(substring_dedup, "located", plain)
+    assert run(left, right).to_pylist() == [{"doc_id": 2, "h": 0, "lo": 5, "hi": 9}]
+
+
 def jaccard_components(rows, k, lower, percent=80):
     table = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)}) if lower else {}
     sets: dict = {}

@@ -59,7 +59,7 @@ def slabs(batch: pa.RecordBatch, text: int, most: int = SLAB) -> Iterator[pa.Rec
         i = j
 
 
-def words_of(data: np.ndarray, places: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words_of(data: np.ndarray, places: np.ndarray, lower: bool = False, hashed: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, start, end) of every word, and the n+1 places where each text's words start among them."""
     if lower:
         data = LOWER[data]
@@ -70,7 +70,7 @@ def words_of(data: np.ndarray, places: np.ndarray, lower: bool = False) -> tuple
     before[1:], after[:-1] = inside[:-1], inside[1:]
     start = np.flatnonzero(inside & (cut[:-1] | ~before))
     end = np.flatnonzero(inside & (cut[1:] | ~after)) + 1
-    return hashes(data, start, end), start, end, np.searchsorted(start, places)
+    return hashes(data, start, end) if hashed else np.zeros(0, np.uint64), start, end, np.searchsorted(start, places)
 
 
 def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
