@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm.scratch import Scratch
-from weft.llm.words import U, bytes_of, grams, mix, signed, slabs, words_of
+from weft.llm.words import U, bytes_of, grams, joined, mix, signed, slabs, sliding_least, words_of
 
 #: Words of an anchor phrase.
 PHRASE = 6
@@ -46,33 +46,32 @@ class Slab:
         self.phrase = min(PHRASE, window)
         self.doc = np.repeat(np.arange(batch.num_rows), np.diff(self.first))
         self.phrases = grams(self.words, self.phrase)
+        #: Places where a run of `window` words of one document starts, and the hash of its anchor.
+        self.runs = np.zeros(0, np.int64)
         if n >= window:
-            inside = np.flatnonzero(self.doc[: n - window + 1] == self.doc[window - 1 :])
-            seen = np.lib.stride_tricks.sliding_window_view(self.phrases, window - self.phrase + 1)
-            self.anchor = inside + np.concatenate([seen[a].argmin(1) for a in np.array_split(inside, max(1, len(inside) // 65536))]) if len(inside) else inside
+            self.runs = np.flatnonzero(self.doc[: n - window + 1] == self.doc[window - 1 :])
+            self.anchors = sliding_least(self.phrases, window - self.phrase + 1)[self.runs]
         else:
-            inside = np.zeros(0, np.int64)
-            self.anchor = inside
-        #: Places where a run of `window` words of one document starts.
-        self.runs = inside
+            self.anchors = np.zeros(0, np.uint64)
+        #: A run is covered by its phrases at these places.
+        self.offsets = [*range(0, window - self.phrase, self.phrase), window - self.phrase]
 
-    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
-        """(document, phrase hash), once for each."""
-        at = np.unique(self.anchor)
-        return self.doc[at], self.phrases[at]
-
-    def digests(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return tuple(grams(self.words, self.window, seed)[runs] for seed in (17, 29))
+    def digest(self, runs: np.ndarray, seed: int = 0) -> np.ndarray:
+        """A 64-bit hash of each of the runs that start at these places."""
+        return joined(self.phrases if not seed else grams(self.words, self.phrase, seed), runs, self.offsets)
 
 
 def _anchor_rows(window: int):
+    """(document, anchor) of all runs; neighbouring runs with one anchor give a row."""
+
     def run(batches):
         for whole in batches:
             for batch in slabs(whole, 1):
                 s = Slab(batch, 1, window)
-                doc, phrase = s.anchors()
-                pairs = np.unique(np.stack([doc.astype(np.uint64), phrase]), axis=1) if len(doc) else np.zeros((2, 0), np.uint64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(pairs[0].astype(np.int64))), signed(pairs[1])], names=["doc_id", "phrase"])
+                doc = s.doc[s.runs]
+                new = np.ones(len(doc), bool)
+                new[1:] = (doc[1:] != doc[:-1]) | (s.anchors[1:] != s.anchors[:-1])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc[new])), signed(s.anchors[new])], names=["doc_id", "phrase"])
 
     return run
 
@@ -86,14 +85,13 @@ def _list_of(column: pa.Array, i: int, *fields: str) -> list[np.ndarray]:
 def _confirmed_runs(s: Slab, phrases: pa.Array, shards: int) -> tuple[np.ndarray, np.ndarray]:
     """The runs of a slab whose anchors are confirmed, as indices of s.runs, and the shard of each."""
     bounds = np.searchsorted(s.runs, s.first)
-    anchors = s.phrases[s.anchor]
     at, shard = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for i in range(len(s.first) - 1):
         phrase, lo = _list_of(phrases, i, "phrase", "lo")
         if len(phrase):
             order = np.argsort(phrase.view(np.uint64))
             known = phrase.view(np.uint64)[order]
-            own = anchors[bounds[i] : bounds[i + 1]]
+            own = s.anchors[bounds[i] : bounds[i + 1]]
             place = np.minimum(np.searchsorted(known, own), len(known) - 1)
             hit = np.flatnonzero(known[place] == own)
             at.append(hit + bounds[i])
@@ -109,10 +107,8 @@ def _candidate_rows(window: int):
             for batch in slabs(whole, 1):
                 s = Slab(batch, 1, window)
                 runs = s.runs[_confirmed_runs(s, batch.column(2), 1)[0]]
-                d1, d2 = s.digests(runs)
-                doc = s.doc[runs]
-                _, once = np.unique(np.stack([doc.astype(np.uint64), d1]), axis=1, return_index=True) if len(runs) else (None, np.zeros(0, np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc[once])), signed(d1[once]), signed(d2[once])], schema=schema)
+                if len(runs):
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(s.doc[runs])), signed(s.digest(runs)), signed(s.digest(runs, 1))], schema=schema)
 
     return run
 
@@ -127,7 +123,7 @@ def _stretches(window: int, shards: int):
                 s = Slab(batch, 1, window)
                 at, shard = _confirmed_runs(s, batch.column(2), shards)
                 runs = s.runs[at]
-                d1 = grams(s.words, window, 17)[runs] if len(runs) else np.zeros(0, np.uint64)
+                d1 = s.digest(runs) if len(runs) else np.zeros(0, np.uint64)
                 doc, own = s.doc[runs], np.zeros(len(runs), bool)
                 bounds = np.searchsorted(doc, np.arange(batch.num_rows + 1))
                 for i in range(batch.num_rows):

@@ -95,11 +95,11 @@ def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 
 def grams(words: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
-    """Hash of every run of k words (len(words) - k + 1 of them, none if there are fewer)."""
+    """Hash of every run of k words (len(words) - k + 1 of them, none if there are fewer); a function of its own for each seed."""
     n = len(words) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out = np.zeros(n, np.uint64)
+    out = np.full(n, seed * _ODD & _MASK, np.uint64)
     for j in range(k):
         out += words[j : j + n]
         out *= U(_ODD)
@@ -107,6 +107,26 @@ def grams(words: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
     return mix(out, seed + k)
 
 
+def joined(runs: np.ndarray, at: np.ndarray, offsets: list[int]) -> np.ndarray:
+    """Hash of what the runs at each place and those offsets from it hash to."""
+    out = np.zeros(len(at), np.uint64)
+    for o in offsets:
+        out += runs[at + o]
+        out *= U(_ODD)
+        out ^= out >> U(29)
+    return mix(out, len(offsets))
+
+
+def sliding_least(x: np.ndarray, k: int) -> np.ndarray:
+    """The least of every k neighbours (len(x) - k + 1 of them), by doubling."""
+    p = 1
+    out = x
+    while 2 * p <= k:
+        out = np.minimum(out[:-p], out[p:])
+        p *= 2
+    return np.minimum(out[: len(x) - k + 1], out[k - p :]) if k > p else out
+
+
 def signed(x: np.ndarray) -> pa.Array:
     """64-bit numbers as Spark's long."""
     return pa.array(x.view(np.int64))
