@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from weft.functions import affixes, surfaces
 from weft.operators import evaluation, sequences
+from weft.plans import bpe, rows
+from weft.streaming import documents
 from weft.sources import corpus, datasets, sinks
 
 
@@ -96,3 +98,28 @@ def test_small_rules(spark):
     assert [r[0] for r in tokens.select(surfaces.lossy_bytes(F.col("x"))).collect()] == [2, 3, 1]
     variant = one.select(surfaces.relative_transforms(F.lit(True), F.lit("none"), F.lit(False), F.lit("first_cap"))).first()[0]
     assert variant == ["with_space_prefix", "remove_base_capitalization"]
+
+
+def test_training_rows(spark):
+    df = spark.createDataFrame([(1, list(range(10, 17))), (2, [20, 21]), (3, [30]), (4, list(range(40, 60)))], "id long, ids array<int>")
+    got = rows.training_rows(df, "id", "ids", 4, 1, 9).orderBy("row_no").collect()
+    assert got and all(len(r["inputs"]) == len(r["targets"]) == 4 and r["inputs"][1:] == r["targets"][:-1] and r["inputs"][0] == 9 for r in got)
+    docs = {r["id"]: [9, *r["ids"]] for r in df.collect()}
+    for r in got:
+        whole = [*r["inputs"], r["targets"][-1]]
+        cuts = [i for i, x in enumerate(whole) if x == 9] + [len(whole)]
+        assert all(any(d[: b - a] == whole[a:b] for d in docs.values()) for a, b in zip(cuts, cuts[1:]))
+
+
+def test_callables_keys_and_checks(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (2, None)], "id long, prompt string")
+    assert [tuple(r) for r in evaluation.generated(df, "prompt", lambda x: [(t or "") + "!" for t in x]).orderBy("id").collect()] == [(1, "a", "a!"), (2, None, "!")]
+    assert evaluation.settings_key({"a": 1, "b": 2}) == evaluation.settings_key({"b": 2, "a": 1}) != evaluation.settings_key({"a": 1})
+    for bad in ((300, 200, "baseline"), (300, 301, "baseline"), (300, 260, "isolating")):
+        with pytest.raises(ValueError):
+            bpe.check_superwords(*bad)
+    df.write.parquet(f"{tmp_path}/in")
+    stream = documents.documents(spark, f"{tmp_path}/in", df.schema)
+    for _ in range(2):
+        documents.append_results(stream, f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 2

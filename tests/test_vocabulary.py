@@ -34,7 +34,7 @@ def test_single_tokens_and_passes(tokens):
     assert [tuple(r) for r in vocabulary.capital_aliases(tokens).collect()] == [([1], [0])]
     assert {tuple(r["base_ids"]) for r in vocabulary.pure_merges(tokens.where(F.length("surface") > 1), split).collect()} == {(9,), (10,)}
     owners = tokens.sparkSession.createDataFrame([("cat", "kitty")], "variant string, owner string")
-    assert [(r["surface"], r["base"], r["transforms"][-1]) for r in vocabulary.affix_entries(tokens, encode, owners).collect()] == [("cat.", "kitty", "suffix_punct_.")]
+    assert sorted((r["surface"], r["base"], r["transforms"][-1]) for r in vocabulary.affix_entries(tokens, encode, owners).collect()) == [("...", "..", "suffix_punct_."), ("cat.", "kitty", "suffix_punct_.")]
     assert vocabulary.has_spaced_words(tokens) and not vocabulary.has_spaced_words(tokens, 3)
     with pytest.raises(ValueError):
         vocabulary.closed(tokens, tokens.limit(2))

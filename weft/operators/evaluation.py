@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +35,25 @@ def weighted_loss(df: DataFrame, keys: list[str], base: Column, groups: Column,
     return out.withColumn("loss", base_weight * F.col("base_loss") + modifier_weight * F.col("modifier_loss"))
 
 
+def generated(df: DataFrame, prompt: str, generate, out: str = "predicted") -> DataFrame:
+    """`df` with what a callable makes of its prompts: a function of a list of texts, called on Arrow batches in the executors."""
+    import pyarrow as pa
+
+    at = df.columns.index(prompt)
+    schema = df.withColumn(out, F.lit("")).schema
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(generate(b.column(at).to_pylist()), pa.string())], names=[*b.schema.names, out])
+
+    return df.mapInArrow(run, schema)
+
+
+def settings_key(settings: dict) -> str:
+    """A digest of settings, whatever the order in which they are given."""
+    return hashlib.sha256(json.dumps(settings, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
+
+
 def task_accuracy(df: DataFrame, task: str, correct: str) -> DataFrame:
     return df.groupBy(task).agg(F.avg(F.col(correct).cast("double")).alias("accuracy"), F.count("*").alias("n"))
 

@@ -210,11 +210,22 @@ def fitted(docs: DataFrame, text: str, size: int, pattern: str = "isolating") ->
     return trained(chunk_counts(docs, text, pattern), size)
 
 
-def superwords(docs: DataFrame, text: str, size: int, stage1: int) -> Merges:
+def superwords(docs: DataFrame, text: str, size: int, stage1: int, pattern: str = "baseline") -> Merges:
     """Two stages: rules inside words up to `stage1` tokens, then, inheriting those, rules across them."""
+    check_superwords(size, stage1, pattern)
+    first = fitted(docs, text, stage1, pattern)
+    out = trained(chunk_counts(docs, text, "stage2"), size, first)
+    if out[: len(first)] != first:
+        raise ValueError("the second stage has not inherited the rules of the first")
+    return out
+
+
+def check_superwords(size: int, stage1: int, pattern: str = "baseline") -> None:
+    """Two stages need the baseline pattern, and a first one between the bytes and the whole size (without the specials)."""
+    if pattern != "baseline":
+        raise ValueError("superwords need the baseline pattern")
     if not 256 <= stage1 <= size:
         raise ValueError("stage1 must lie between 256 and the vocabulary size")
-    return trained(chunk_counts(docs, text, "stage2"), size, fitted(docs, text, stage1, "baseline"))
 
 
 def token_bytes(merges: Merges) -> list[bytes]:
@@ -266,30 +277,30 @@ class Encoder(dict):
         return ids
 
 
-def encoded(docs: DataFrame, key: str, text: str, merges: Merges, pattern: str = "isolating") -> DataFrame:
-    """(key, chunks, ids); the split runs in the JVM, a worker merges a chunk that recurs only once."""
-    schema = docs.select(key).withColumn("ids", F.array(F.lit(0))).schema
+def encoded(docs: DataFrame, key: str, text: str, merges: Merges, pattern: str = "isolating", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, kept columns, ids); the split runs in the JVM, a worker merges a chunk that recurs only once."""
+    schema = docs.select(key, *keep).withColumn("ids", F.array(F.lit(0))).schema
 
     def run(batches):
         encoder = Encoder(merges)
         for b in batches:
-            ids = [[i for c in chunks or () for i in encoder[c]] for chunks in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], names=[key, "ids"])
+            ids = [[i for c in chunks or () for i in encoder[c]] for chunks in b.column(b.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(ids, pa.list_(pa.int32()))], names=[key, *keep, "ids"])
 
-    return docs.select(key, pretokens(F.col(text), pattern).alias("chunks")).mapInArrow(run, schema)
+    return docs.select(key, *keep, pretokens(F.col(text), pattern).alias("chunks")).mapInArrow(run, schema)
 
 
-def decoded(df: DataFrame, key: str, ids: str, merges: Merges) -> DataFrame:
-    """(key, text); bytes that aren't UTF-8 become replacement characters."""
+def decoded(df: DataFrame, key: str, ids: str, merges: Merges, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, kept columns, text); bytes that aren't UTF-8 become replacement characters."""
     tokens = token_bytes(merges)
-    schema = df.select(key).withColumn("text", F.lit("")).schema
+    schema = df.select(key, *keep).withColumn("text", F.lit("")).schema
 
     def run(batches):
         for b in batches:
-            texts = [b"".join(tokens[i] for i in x or ()).decode(errors="replace") for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=[key, "text"])
+            texts = [b"".join(tokens[i] for i in x or ()).decode(errors="replace") for x in b.column(b.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string())], names=[key, *keep, "text"])
 
-    return df.select(key, ids).mapInArrow(run, schema)
+    return df.select(key, *keep, ids).mapInArrow(run, schema)
 
 
 def vocabulary(spark, merges: Merges) -> DataFrame:

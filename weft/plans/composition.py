@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import functools
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -63,20 +64,35 @@ def _capital(word: str) -> tuple[str, int] | None:
     return None
 
 
+#: Units that a worker remembers.
+REMEMBERED = 100_000
+_known: dict[str, tuple[str, tuple[int, ...]]] = {}
+
+
+def _parsed(m: re.Match) -> tuple[str, tuple[int, ...]]:
+    """(base, modifiers) of a unit; the unit itself as a literal where modifiers can't give it back."""
+    prep, det, cap = _function_word(m["prep"], _AT[4]), _function_word(m["det"], _AT[2]), _capital(m["word"])
+    if prep is None or det is None or cap is None:
+        return m[0], DEFAULT
+    row = (len(m["space"]), cap[1], det[0], det[1], prep[0], prep[1], _AT[6][m["prefix"]], _AT[7][m["suffix"]])
+    return (cap[0], row) if synthesize(cap[0], row) == m[0] else (m[0], DEFAULT)
+
+
 def compose(text: str) -> list[tuple[str, tuple[int, ...]]]:
-    """(base, modifiers) of a text, in order."""
+    """(base, modifiers) of a text, in order. A unit's parse rests on its own characters only, so it is remembered."""
     out: list[tuple[str, tuple[int, ...]]] = []
     at = 0
     for m in _unit().finditer(text):
         if m.start() > at:
             out.append((text[at : m.start()], DEFAULT))
         at = m.end()
-        prep, det, cap = _function_word(m["prep"], _AT[4]), _function_word(m["det"], _AT[2]), _capital(m["word"])
-        if prep is None or det is None or cap is None:
-            out.append((m[0], DEFAULT))
-            continue
-        row = (len(m["space"]), cap[1], det[0], det[1], prep[0], prep[1], _AT[6][m["prefix"]], _AT[7][m["suffix"]])
-        out.append((cap[0], row) if synthesize(cap[0], row) == m[0] else (m[0], DEFAULT))
+        unit = m[0]
+        found = _known.get(unit)
+        if found is None:
+            found = _parsed(m)
+            if len(_known) < REMEMBERED and len(unit) <= 64:
+                _known[unit] = found
+        out.append(found)
     if at < len(text):
         out.append((text[at:], DEFAULT))
     return out
@@ -123,30 +139,32 @@ def merged_rows(rows: list[tuple[int, ...]], default: tuple[int, ...] = DEFAULT)
     return tuple(next((r[g] for r in reversed(rows) if r[g] != default[g]), default[g]) for g in range(len(default)))
 
 
-def composed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, n_units, n_words, n_active, n_multi, usage, round_trip) of every text, encoded and decoded in one pass.
+def composed(docs: DataFrame, key: str, text: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, kept columns, n_units, n_words, n_active, n_multi, usage, round_trip) of every text, encoded and decoded in one pass.
 
     n_words: pieces of the same text without composition (words, function words, marks and spaces apart).
     """
-    kind = docs.select(key).schema[0].dataType.simpleString()
     plain = re.compile(r" ?[^\W\d_]+|\d{1,2}|[^\s\w]+|\s|_")
+    names = ["n_units", "n_words", "n_active", "n_multi", "usage", "round_trip"]
+    schema = docs.select(key, *keep, *(F.lit(0).cast("long").alias(n) for n in names[:4]), F.array(F.lit(0).cast("long")).alias("usage"), F.lit(True).alias("round_trip")).schema
 
     def run(batches):
         for b in batches:
-            out: list[list] = [[] for _ in range(6)]
-            for x in b.column(1):
+            out: list[list] = [[] for _ in names]
+            for x in b.column(b.num_columns - 1):
                 t = x.as_py() or ""
                 units = compose(t)
-                active = [sum(1 for v in r if v) for _, r in units]
-                usage = [sum(1 for _, r in units if r[g]) for g in range(len(GROUPS))]
-                literal = sum(len(plain.findall(base)) for (base, r), n in zip(units, active) if not n)
-                composed_units = sum(1 for n in active if n)
-                for column, v in zip(out, (composed_units + literal, len(plain.findall(t)), composed_units, sum(1 for n in active if n > 1), usage, decompose(units) == t)):
+                rows = Counter(r for _, r in units)
+                active = sum(n for r, n in rows.items() if any(r))
+                multi = sum(n for r, n in rows.items() if len(r) - r.count(0) > 1)
+                usage = [sum(n for r, n in rows.items() if r[g]) for g in range(len(GROUPS))]
+                literal = sum(len(plain.findall(base)) for base, r in units if not any(r))
+                for column, v in zip(out, (active + literal, len(plain.findall(t)), active, multi, usage, decompose(units) == t)):
                     column.append(v)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(out, kinds))], names=[key, "n_units", "n_words", "n_active", "n_multi", "usage", "round_trip"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(c, k) for c, k in zip(out, kinds))], names=[key, *keep, *names])
 
-    return docs.select(key, text).mapInArrow(run, f"{key} {kind}, n_units long, n_words long, n_active long, n_multi long, usage array<long>, round_trip boolean")
+    return docs.select(key, *keep, text).mapInArrow(run, schema)
 
 
 def modifier_values(spark) -> DataFrame:

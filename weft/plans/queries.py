@@ -508,18 +508,24 @@ def _trained(spark, sf_dir):
 @query()
 def bpe_encode_counts(spark, sf_dir):
     """Tokens and bytes per token of each language under a vocabulary trained on the corpus."""
-    d = _documents(spark, sf_dir)
-    e = bpe.encoded(d, "doc_id", "text", _trained(spark, sf_dir))
-    both = d.select("doc_id", "lang", F.octet_length("text").alias("bytes")).join(e.select("doc_id", F.size("ids").alias("tokens")), "doc_id")
-    return both.groupBy("lang").agg(F.sum("bytes").alias("bytes"), F.sum("tokens").alias("tokens")).withColumn("bytes_per_token", F.try_divide("bytes", "tokens"))
+    d = _documents(spark, sf_dir).withColumn("bytes", F.octet_length("text"))
+    e = bpe.encoded(d, "doc_id", "text", _trained(spark, sf_dir), keep=("lang", "bytes"))
+    return e.groupBy("lang").agg(F.sum("bytes").alias("bytes"), F.sum(F.size("ids")).alias("tokens")).withColumn("bytes_per_token", F.try_divide("bytes", "tokens"))
 
 
-@query()
+@query("select doc_id, md5(coalesce(text, '')) as digest from documents")
 def bpe_roundtrip(spark, sf_dir):
-    """Whether decoding gives every document back."""
-    d, m = _documents(spark, sf_dir), _trained(spark, sf_dir)
-    out = bpe.decoded(bpe.encoded(d, "doc_id", "text", m), "doc_id", "ids", m)
-    return d.select("doc_id", F.col("text").alias("t")).join(out, "doc_id").select("doc_id", (F.col("t") == F.col("text")).alias("same"))
+    """Digest of every document, encoded and decoded."""
+    m = _trained(spark, sf_dir)
+    out = bpe.decoded(bpe.encoded(_documents(spark, sf_dir), "doc_id", "text", m), "doc_id", "ids", m)
+    return out.select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query("select doc_id, true as same, length(text) > 0 as some from documents")
+def compose_identity(spark, sf_dir):
+    """Whether every document is its units' surfaces, end to end, and has any unit."""
+    c = composition.composed(_documents(spark, sf_dir), "doc_id", "text")
+    return c.select("doc_id", F.col("round_trip").alias("same"), (F.col("n_units") > 0).alias("some"))
 
 
 @query()
@@ -531,8 +537,7 @@ def compose_roundtrip(spark, sf_dir):
 @query()
 def compression_stats(spark, sf_dir):
     """Positions with and without composition, and how often each group is used, in each language."""
-    d = _documents(spark, sf_dir)
-    c = composition.composed(d, "doc_id", "text").join(d.select("doc_id", "lang"), "doc_id")
+    c = composition.composed(_documents(spark, sf_dir), "doc_id", "text", keep=("lang",))
     usage = [F.sum(F.col("usage")[g]).alias(name) for g, (name, _) in enumerate(composition.GROUPS)]
     out = c.groupBy("lang").agg(F.sum("n_words").alias("raw"), F.sum("n_units").alias("compressed"), F.sum("n_active").alias("active"), F.sum("n_multi").alias("multi"), F.bool_and("round_trip").alias("round_trip"), *usage)
     return out.withColumn("ratio", F.try_divide("compressed", "raw"))

@@ -6,7 +6,7 @@ import bisect
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -43,6 +43,24 @@ def fill(lengths: Iterator[tuple[int, int]], capacity: int, look_ahead: int) ->
             row, left = [], capacity
 
 
+def _batch(out: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
+    part = list(zip(*out))
+    return pa.RecordBatch.from_arrays([pa.array(part[0], pa.int32()), *(pa.array(x, pa.int64()) for x in part[1:])], names=["rank", "row_no", "doc", "taken"])
+
+
+def training_rows(docs: DataFrame, key: str, ids: str, capacity: int, ranks: int, bos: int, look_ahead: int = 1000) -> DataFrame:
+    """(rank, row_no, inputs, targets): rows of `capacity` + 1 tokens, each document behind its first id, shifted by one.
+
+    The packing sees lengths only; the tokens join the places that it gives. A document without its first id is an error.
+    """
+    whole = docs.select(F.col(key).cast("long").alias("doc"), F.concat(F.array(F.lit(bos)), F.col(ids)).alias("t"))
+    placed = packed_rows(whole.select("doc", F.size("t").alias("n")), "doc", "n", capacity + 1, ranks, look_ahead)
+    ordered = placed.withColumn("place", F.row_number().over(Window.partitionBy("rank", "row_no").orderBy(F.desc("taken"), "doc")))
+    parts = ordered.join(whole, "doc").select("rank", "row_no", "place", F.slice("t", F.lit(1), F.col("taken").cast("int")).alias("t"))
+    rows = parts.groupBy("rank", "row_no").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("place", "t"))), lambda x: x["t"])).alias("t"))
+    return rows.select("rank", "row_no", F.slice("t", 1, capacity).alias("inputs"), F.slice("t", 2, capacity).alias("targets"))
+
+
 def packed_rows(docs: DataFrame, key: str, length: str, capacity: int, ranks: int, look_ahead: int = 1000) -> DataFrame:
     """(rank, row_no, doc, taken): documents are dealt to the ranks by a hash, each rank's in the order of the key.
 
@@ -65,10 +83,14 @@ def packed_rows(docs: DataFrame, key: str, length: str, capacity: int, ranks: in
                         nxt.append(x)
 
             nxt: list = []
-            out = [(rank, i, d, n) for i, row in enumerate(fill(own(), capacity, look_ahead)) for d, n in row]
-            for lo in range(0, len(out), 10_000):
-                part = list(zip(*out[lo : lo + 10_000]))
-                yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.int32()), *(pa.array(x, pa.int64()) for x in part[1:])], names=["rank", "row_no", "doc", "taken"])
+            out: list[tuple[int, int, int, int]] = []
+            for i, row in enumerate(fill(own(), capacity, look_ahead)):
+                out += ((rank, i, d, n) for d, n in row)
+                if len(out) >= 10_000:  # as rows fill, not when the rank ends
+                    yield _batch(out)
+                    out = []
+            if out:
+                yield _batch(out)
             head = nxt[0] if nxt else None
 
     dealt = docs.where(F.col(length) > 0).select(F.pmod(F.xxhash64(key), F.lit(ranks)).cast("int").alias("rank"), F.col(key).cast("long").alias("doc"), F.col(length).cast("long").alias("n"))

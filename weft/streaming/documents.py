@@ -21,3 +21,8 @@ def chunk_totals(docs: DataFrame, key: str, text: str, pattern: str = "isolating
 def start(df: DataFrame, name: str, checkpoint: str, mode: str = "complete"):
     """To an in-memory table; the checkpoint folder holds the resume state."""
     return df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def append_results(df: DataFrame, folder: str, checkpoint: str):
+    """Results of a stream as they come, appended as Parquet; what a restarted stream has written already isn't written again."""
+    return df.writeStream.format("parquet").option("path", folder).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
