@@ -10,7 +10,7 @@ from weft.functions.literals import PREPOSITIONS
 from weft.operators import evaluation, metrics, sequences
 from weft.plans import metadata
 from weft.plans import queries as core
-from weft.plans.queries import _BASE_KEY, _LETTERS, _STATE, LINES, LOSSES, SURFACES, _base_sql, _documents, _fold, _lines, _losses, _quoted, _squad, _strip_sql, _surfaces, _vocabulary, table
+from weft.plans.queries import _BASE_KEY, _LETTERS, _STATE, LOSSES, SURFACES, _base_sql, _documents, _fold, _lines, _losses, _quoted, _squad, _strip_sql, _surfaces, _vocabulary, table
 from weft.sources import corpus, datasets
 
 QUERIES: dict = {}

@@ -465,18 +465,6 @@ def longest_prefix_join(spark, sf_dir):
     return metrics.longest_prefix_entries(stream, entries, "k", "ids", 3)
 
 
-@query("""with c as (select conv_id, turn, text, lag(text) over w as p1, lag(text, 2) over w as p2 from conversations window w as (partition by conv_id order by turn))
-select conv_id, turn, md5(p2 || ' ' || p1 || chr(10) || chr(10) || text) as prompt from c where p2 is not null""")
-def prompts(spark, sf_dir):
-    """A one-shot prompt of each turn's two predecessors and itself."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    c = table(spark, sf_dir, "conversations").withColumn("p1", F.lag("text").over(w)).withColumn("p2", F.lag("text", 2).over(w)).where("p2 is not null")
-    shots = F.array(F.struct(F.col("p2").alias("context"), F.col("p1").alias("answer")))
-    return c.select("conv_id", "turn", F.md5(sequences.rendered(shots, F.col("text")).cast("binary")).alias("prompt"))
-
-
 @query()
 def few_shot_samples(spark, sf_dir):
     """Four other turns for each turn of the roles' tasks, drawn by a seeded generator."""

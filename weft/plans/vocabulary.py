@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from weft.functions import affixes, surfaces
 from weft.operators import corpus, evaluation
-from weft.plans import metadata
 from weft.plans.queries import _STATE, LINES, SURFACES, _quoted, _strip_sql, _surfaces, _upper
 
 Encoder = Callable[[DataFrame, str, str], DataFrame]

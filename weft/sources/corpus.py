@@ -14,14 +14,19 @@ def resolve_dir(given: str | None = None, default: str = "data/base", variable:
     return given or os.environ.get(variable) or default
 
 
-def shards(spark: SparkSession, folder: str) -> DataFrame:
-    """(file, place) of the Parquet files of a folder, from its listing; a missing or empty one is an error."""
+def _listed(spark: SparkSession, folder: str) -> list[tuple[str, object]]:
+    """(name, path) of the Parquet files of a folder, or of the one file that it is, in the order of names."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    names = sorted(x.getPath().getName() for x in fs.listStatus(at) if x.getPath().getName().endswith(".parquet"))
+    names = sorted(((x.getPath().getName(), x.getPath()) for x in fs.listStatus(at) if x.getPath().getName().endswith(".parquet")), key=lambda t: t[0])
     if not names:
         raise FileNotFoundError(f"no Parquet files in {folder}")
-    return spark.createDataFrame(list(enumerate(names)), "place long, file string").select("file", "place")
+    return names
+
+
+def shards(spark: SparkSession, folder: str) -> DataFrame:
+    """(file, place) of the Parquet files of a folder, from its listing; a missing or empty one is an error."""
+    return spark.createDataFrame([(name, i) for i, (name, _) in enumerate(_listed(spark, folder))], "file string, place long")
 
 
 def split(spark: SparkSession, folder: str, which: str, text: str = "text") -> DataFrame:
@@ -37,24 +42,20 @@ def split(spark: SparkSession, folder: str, which: str, text: str = "text") -> D
 
 
 def row_groups(spark: SparkSession, folder: str) -> DataFrame:
-    """(file, group, first, last) from the files' footers, read where Spark can open them."""
-    def footers(batches):
-        import pyarrow as pa
-        import pyarrow.parquet as pq
-
-        for b in batches:
-            out = [[], [], [], []]
-            for path, content in zip(b.column(0).to_pylist(), b.column(1)):
-                meta, at = pq.ParquetFile(pa.BufferReader(content.as_buffer())).metadata, 0
-                for g in range(meta.num_row_groups):
-                    n = meta.row_group(g).num_rows
-                    for column, x in zip(out, (path.rsplit("/", 1)[-1], g, at, at + n - 1)):
-                        column.append(x)
-                    at += n
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), *(pa.array(x, pa.int64()) for x in out[1:])], names=["file", "group", "first", "last"])
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(folder)
-    return files.select("path", "content").mapInArrow(footers, "file string, group long, first long, last long")
+    """(file, group, first, last) from the files' footers: no more of a file is read, wherever Spark's readers find it."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for name, path in _listed(spark, folder):
+        reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(path, conf))
+        try:
+            at = 0
+            for g, block in enumerate(reader.getFooter().getBlocks()):
+                n = block.getRowCount()
+                out.append((name, g, at, at + n - 1))
+                at += n
+        finally:
+            reader.close()
+    return spark.createDataFrame(out, "file string, group long, first long, last long")
 
 
 def ranked(rows: DataFrame, groups: DataFrame, rank: int, world: int) -> DataFrame:
