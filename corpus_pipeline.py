@@ -1,6 +1,8 @@
 """From raw documents to packed training sequences, in stages that are written and read again.
 
-Every stage but the last returns the columns of `documents`; n_chars follows the text.
+Every stage but the last returns the columns of `documents`; n_chars follows the text. A stage of an empty table
+returns an empty one. Rows with a null doc_id, a null or empty text or equal rows go through every stage by its rule
+below; further columns, whatever their names, are carried along.
 """
 
 from __future__ import annotations
@@ -14,14 +16,17 @@ from weft.llm.scratch import Scratch
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score at least 0.3; learnt from `labels` outside the held-out fifth."""
+    """Documents that score at least 0.3; learnt from `labels` outside the held-out fifth.
+
+    A null text scores as an empty one; a score of 0.3 stays; without labels to learn from, all stay.
+    """
     return quality.keep_good(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate component (five-word shingles, similarity 0.8): that of smallest doc_id.
 
-    Rows that repeat a doc_id stay or go together; rows with a null doc_id stay.
+    Rows that repeat a doc_id stay or go together; rows with a null doc_id stay, and so do texts without words.
     """
     found = near_duplicates(docs)
     gone = found.where("not kept").select("doc_id").distinct()
@@ -29,7 +34,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Spans of personal data replaced by their kind."""
+    """Spans of personal data replaced by their kind; null and empty texts stay as they are."""
     return pii.mask(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
@@ -37,7 +42,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """A row for each time that the mix takes a document; where a source's budget cuts one, its first words only.
 
     A cut text's words are joined by single spaces. Documents of which nothing is taken go. Rows that repeat a
-    doc_id and have as many words count with the most that is taken of any of them.
+    doc_id and have as many words count with the most that is taken of any of them. A text without words gives nothing
+    to the mix and goes.
     """
     taken = mixing.mixed(docs).groupBy("doc_id", "size").agg(F.max("taken").alias("taken")).where("taken > 0")
     each = F.expr("concat(array_repeat(size, cast(taken div size as int)), if(taken % size > 0, array(taken % size), array()))")
@@ -50,7 +56,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of what is left and their places in sequences of 4096 tokens."""
+    """The pieces of what is left and their places in sequences of 4096 tokens; equal pieces are interchangeable."""
     return packing.packed(docs)
 
 
