@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.functions import affixes, surfaces
+from weft.functions.literals import ARTICLES, DEMONSTRATIVES, POSSESSIVE_DETERMINERS, PREPOSITIONS, QUANTIFIERS
 from weft.operators import corpus, evaluation
 from weft.plans.queries import _STATE, LINES, SURFACES, _quoted, _strip_sql, _surfaces, _upper
 
@@ -275,7 +276,7 @@ def merge_and_letter_passes(spark, sf_dir):
     return merges.union(capital_aliases(v))
 
 
-_LITERALS = [("determiners", x) for x in ("the", "a", "an", "my", "his")] + [("prepositions", x) for x in ("by", "at", "of", "to", "in", "on", "with", "for", "from")] + [("suffix_punctuation", x) for x in (".", ",", "!", "?")]
+_LITERALS = [("determiners", x) for x in (*ARTICLES, *POSSESSIVE_DETERMINERS, *DEMONSTRATIVES, *QUANTIFIERS)] + [("prepositions", x) for x in PREPOSITIONS["full"]] + [("suffix_punctuation", x) for x in (".", ",", "!", "?")]
 
 
 @query(f"""with {VOCABULARY}, l("group", literal) as (values {', '.join(f'({_quoted(g)}, {_quoted(x)})' for g, x in _LITERALS)}),
