@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import language, mixing, packing, pii, quality, token_counts
+from weft.llm import collocations, fill_middle, language, mixing, packing, pii, quality, token_counts
 from weft.llm.ivfpq import near_duplicate_vectors, search
 from weft.llm.near_dedup import near_duplicates
+from weft.llm.sharding import shuffled
 from weft.llm.substring_dedup import without_repeats
 
 
@@ -74,8 +75,27 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-_ALL = (op1_substring_dedup, op2_quality_classifier, op3_ann_search, op4_minhash_near_dedup, op5_best_fit_packing, op6_token_counts, op7_embedding_near_dedup, op8_pii, op9_language_id, op10_mixing)
+def op11_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All `documents` in a random order of seed 42, cut into 40 shards of equally many rows."""
+    out = shuffled(_table(spark, sf_dir, "documents"), shards=40, seed=42)
+    crc = F.crc32(F.coalesce("record.text", F.lit("")).cast("binary")).alias("text_crc32")
+    return out.select("record.doc_id", "size", crc, F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 strongest phrases of two to four words in each language of `documents`."""
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All `documents` transformed for filling in the middle, and restored, as digests."""
+    out = fill_middle.filled(_table(spark, sf_dir, "documents"))
+    back = fill_middle.restored(F.col("output"), F.col("form"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+_ALL = (op1_substring_dedup, op2_quality_classifier, op3_ann_search, op4_minhash_near_dedup, op5_best_fit_packing, op6_token_counts, op7_embedding_near_dedup, op8_pii, op9_language_id, op10_mixing, op11_two_pass_shuffle, op12_collocations, op13_fill_in_middle)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 #: DuckDB SQL for those queries that SQL can express over whole tables.
-ORACLE_SQL: dict[str, str] = {"op10_mixing": mixing.SQL}
+ORACLE_SQL: dict[str, str] = {"op10_mixing": mixing.SQL, "op12_collocations": collocations.SQL, "op13_fill_in_middle": fill_middle.SQL}
