@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import heapq
-import os
-import tempfile
 import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterable
@@ -16,6 +14,7 @@ from pyspark.sql import functions as F
 
 from weft.functions.literals import SPECIAL_TOKENS
 from weft.functions.text import pretokens
+from weft.sources.shared import shared_folder
 
 Merges = list[tuple[int, int]]
 #: Chunks that a worker remembers the ids of.
@@ -169,8 +168,7 @@ def _settled(top: list[tuple[int, int, int]], complete: bool, most: int) -> Merg
 def trained(counted: DataFrame, size: int, start: Merges | None = None) -> Merges:
     """What `train` makes of (chunk, n), with the chunks left on the executors: a round counts the pairs of all of them."""
     spark = counted.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "weft-checkpoints")
-    folder = f"{folder.rstrip('/')}/weft-bpe-{uuid.uuid4().hex[:12]}"
+    folder = f"{shared_folder(spark)}/weft-bpe-{uuid.uuid4().hex[:12]}"
     merges: Merges = list(start or ())
 
     def spelled(batches):
@@ -235,6 +233,26 @@ def token_bytes(merges: Merges) -> list[bytes]:
     return out
 
 
+def recovered(ranks: dict[bytes, int]) -> Merges:
+    """Merge rules, in this module's numbers, of a vocabulary that gives ranks only: each token's two parts are what the
+    rules before it make of its bytes.
+
+    All 256 bytes must have a rank, which is their seed; a token that earlier rules don't bring down to two parts is an error.
+    """
+    if any(bytes([i]) not in ranks for i in range(256)):
+        raise ValueError("every byte needs a rank")
+    out: Merges = []
+    encoder = Encoder(out)
+    for token in sorted((t for t in ranks if len(t) > 1), key=ranks.__getitem__):
+        parts = encoder.merged(list(token))
+        if len(parts) != 2:
+            raise ValueError(f"{token!r} has {len(parts)} parts")
+        pair = (parts[0], parts[1])
+        encoder.rank[pair] = len(out)
+        out.append(pair)
+    return out
+
+
 def finalized(merges: Merges, survivors: set[int], target: int) -> list[bytes]:
     """The bytes and, by rank, survivors that two kept tokens make, until there are exactly `target`; then specials follow."""
     tokens = token_bytes(merges)
@@ -254,8 +272,8 @@ class Encoder(dict):
     def __init__(self, merges: Merges):
         self.rank = {p: i for i, p in enumerate(merges)}
 
-    def __missing__(self, chunk: str) -> list[int]:
-        ids = list(chunk.encode())
+    def merged(self, ids: list[int]) -> list[int]:
+        """Ids of bytes, or of what some rules made of them, after all rules."""
         rank = self.rank
         while len(ids) > 1:
             best = min(zip(ids, ids[1:]), key=lambda p: rank.get(p, 1 << 60))
@@ -270,6 +288,10 @@ class Encoder(dict):
                     out.append(ids[at])
                     at += 1
             ids = out
+        return ids
+
+    def __missing__(self, chunk: str) -> list[int]:
+        ids = self.merged(list(chunk.encode()))
         if len(chunk) <= 64:
             if len(self) > REMEMBERED:
                 self.clear()
