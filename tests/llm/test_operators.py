@@ -276,6 +276,32 @@ def test_vector_near_duplicates(vectors):
     assert ivfpq.near_duplicate_vectors(vectors.where("false")).count() == 0
 
 
+def test_vectors_with_one_id_stand_each_for_itself(spark):
+    """Repeated ids with other vectors or labels: brute force over rows, not ids."""
+    v1, v2 = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    near1 = [1.0, 0.01, 0.0]
+
+    def run(rows):
+        got = ivfpq.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
+        return sorted(map(tuple, got.select("vec_id", "n_links", "component_id", "kept").collect()))
+
+    # No pair of one label is near.
+    assert run([(7, v1, 1), (7, v2, 2), (1, v2, 1), (2, v1, 2)]) == [(1, 0, 1, True), (2, 0, 2, True), (7, 0, 7, True), (7, 0, 7, True)]
+    # One of the two rows of 7 is.
+    assert run([(7, v1, 1), (7, v2, 1), (1, near1, 1)]) == [(1, 1, 1, True), (7, 0, 7, True), (7, 1, 1, False)]
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(6, 8))
+    rows = [(int(rng.integers(0, 25)), [float(x) for x in centres[rng.integers(0, 6)] + rng.normal(size=8) * 0.12], int(rng.integers(0, 2))) for _ in range(120)]
+    rows += rows[:10]
+    u = [np.array(v) / np.linalg.norm(v) for _, v, _ in rows]
+    links = [{j for j in range(len(rows)) if j != i and rows[i][2] == rows[j][2] and u[i] @ u[j] >= 0.98} for i in range(len(rows))]
+    comp = [r[0] for r in rows]
+    for _ in rows:
+        comp = [min([comp[i], *(comp[j] for j in links[i])]) for i in range(len(rows))]
+    assert run(rows) == sorted((r[0], len(links[i]), comp[i], r[0] == comp[i]) for i, r in enumerate(rows))
+    assert max(map(len, links)) > 3
+
+
 def test_packing(docs, empty):
     from tokenizers import Tokenizer
 

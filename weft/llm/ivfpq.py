@@ -249,12 +249,14 @@ def near_duplicate_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: st
     centroids, each row's own quantisation error), so that no link is missed. Links are counted where they are
     found; of a block's links only a spanning forest goes on to the components.
     A null label, a null, zero or non-finite vector: no links, its own component. Vectors of different dimensions
-    aren't linked. A null vec_id has null as its component, no links, and is kept. Rows that repeat a vec_id are
-    counted as they stand, and are one node.
+    aren't linked. A null vec_id has null as its component, no links, and is kept. Rows that repeat a vec_id stand
+    each for itself: with other vectors or labels they have other links and, it may be, another component.
     """
     tmp = Scratch(df.sparkSession, "vecdup")
     rows = tmp.keep(vectors(df.where(F.col(label_col).isNotNull()), id_col, vector_col, F.col(label_col).cast("string").alias("label")), "rows")
-    classes = tmp.keep(rows.groupBy("label", "v").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies")).withColumn("d", F.size("v")), "classes")
+    # A class has a number of its own as its vec_id here, since the ids of its rows may stand in other classes too.
+    classes = rows.groupBy("label", "v").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
+    classes = tmp.keep(classes.withColumn("d", F.size("v")).withColumn("vec_id", F.monotonically_increasing_id()), "classes")
     own = df.select(F.col(id_col).cast("long").alias("vec_id"))
     found = None
     for d in dimensions(classes):
@@ -264,8 +266,10 @@ def near_duplicate_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: st
         return own.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     comp = components(found.where("other is not null"), "vec_id", "other", tmp)
     degree = found.where("other is null").groupBy("vec_id").agg(F.sum("links").alias("links"))
-    known = classes.join(degree, "vec_id", "left").join(comp.withColumnRenamed("node", "vec_id"), "vec_id", "left")
-    known = known.select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
+    least = comp.join(classes.select(F.col("vec_id").alias("node"), "least"), "node").groupBy("component").agg(F.min("least").alias("component_id"))
+    comp = comp.join(tmp.keep(least, "least"), "component").select(F.col("node").alias("vec_id"), "component_id")
+    known = classes.join(degree, "vec_id", "left").join(comp, "vec_id", "left")
+    known = known.select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "least").alias("component_id"))
     linked = rows.join(tmp.keep(known, "known"), ["label", "v"]).select("vec_id", "n_links", "component_id")
     unlinked = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v"), F.col(label_col).alias("label"))
     unlinked = unlinked.where(F.col("label").isNull() | F.col("vec_id").isNull() | ~usable(F.col("v")))
