@@ -63,6 +63,16 @@ SCENARIOS = {
     "a token behind a space after a line feed": ({1: "\n", 7: " Mat", 17: "mat"}, {**SPACE, **CAP}, [entry([7], [17], [1, 1], " Mat")], {}, [1, 7], ([1, 17], [(0, 0), (1, 1)])),
     "an entry ending inside a word": ({1: "cat", 2: "ch", 11: "CAT"}, {**SPACE, **CAP}, [entry([1], [11], [0, 0], "cat")], {}, [1, 2], ([1, 2], [(0, 0), (0, 0)])),
     "an entry over words apart": ({1: "new", 2: " york", 11: "new york"}, SPACE, [entry([1, 2], [11], [0], "new york")], {}, [1, 2], ([1, 2], [(0,), (1,)])),
+    "marks in one token": ({1: "end", 2: '."', 3: '"', 4: "."}, {**SPACE, "suffix_punctuation": ["punct_suffix_."]}, (), {'"': [3]}, [1, 2], ([1, 3], [(0, 1), (0, 0)])),
+    "marks in one token after a space": ({1: "end", 2: '."', 3: '"', 4: " "}, {**SPACE, "suffix_punctuation": ["punct_suffix_."]}, (), {'"': [3]}, [1, 4, 2], None),
+    "a postposition": ({1: "two", 2: " ", 3: "years", 4: " ago", 5: "."}, {**SPACE, "postpositions": ["postp_ago"], "suffix_punctuation": ["punct_suffix_."]}, (), {}, [1, 2, 3, 4, 5], ([1, 3], [(0, 0, 0), (1, 1, 1)])),
+    "the longest postposition": ({1: "day", 2: " ", 3: "after", 4: " the", 5: "fact", 6: " facts"}, {**SPACE, "postpositions": ["postp_after", "postp_after the fact"]}, (), {}, [1, 2, 3, 4, 2, 5], ([1], [(0, 2)])),
+    "a shorter postposition": ({1: "day", 2: " ", 3: "after", 4: " the", 5: "fact", 6: " facts"}, {**SPACE, "postpositions": ["postp_after", "postp_after the fact"]}, (), {}, [1, 2, 3, 4, 6], ([1, 4, 6], [(0, 1), (1, 0), (1, 0)])),
+    "a postposition in other letters": ({1: "day", 2: " ", 3: "AGO"}, {**SPACE, "postpositions": ["postp_ago"]}, (), {}, [1, 2, 3], ([1, 3], [(0, 0), (1, 0)])),
+    "a postposition after nothing": ({1: " ago"}, {**SPACE, "postpositions": ["postp_ago"]}, (), {}, [1], ([1], [(1, 0)])),
+    "no postposition at a function word": ({1: "the", 2: " ", 3: "ago"}, {**SPACE, "determiners": ["det_the"], "postpositions": ["postp_ago"]}, (), {}, [1, 2, 3], None),
+    "no postposition after two spaces or a mark": ({1: "day", 2: " ", 3: "ago", 4: ","}, {**SPACE, "postpositions": ["postp_ago"], "suffix_punctuation": ["punct_suffix_,"]}, (), {}, [1, 2, 2, 3, 4, 2, 3], None),
+    "a postposition in two tokens after title case": ({1: "Da", 2: "ys", 3: " a", 4: "go", 5: "days"}, {**SPACE, **CAP, "postpositions": ["postp_ago"]}, (), {"days": [5]}, [1, 2, 3, 4], ([5], [(0, 1, 1)])),
     "nothing": ({1: "a"}, SPACE, (), {}, [], ([], [])),
 }
 
@@ -115,9 +125,9 @@ def test_documents_that_are_no_metadata():
 def test_random_streams_come_back():
     """Any order of words, marks, spaces and bytes, in whatever tokens."""
     spelled = dict(enumerate([" ", "  ", "\n", "\t", " the", "the", "The", "T", "he", " on", "On", "on", "ON", '"', ' "', "(", ".", " .", "'s", "dog", " dog", "Dog", " Dog", "DOG", "s", b"\xc3", b"\xa9", b" \xc3", "é", "É", " É", "7", " ", "mat", " ma", "t", " \tx", "ǆ", "ß", "İ"]))
-    groups = {g: v[1:] for g, v in ids.groups()["group_value_names"].items()}
+    groups = {**{g: v[1:] for g, v in ids.groups()["group_value_names"].items()}, "postpositions": ["postp_dog", "postp_mat the dog"]}
     lower = {"dog": [19], "mat": [33], "é": [28], "the": [5], "on": [11], "t": [35], "ma": [34]}
-    entries = [entry([20], [19], [1, 0, 0, 0, 0, 0, 0, 0], " dog"), entry([22], [19], [1, 1, 0, 0, 0, 0, 0, 0], " Dog"), entry([34, 35], [33], [1, 0, 0, 0, 0, 0, 0, 0], " mat"), entry([30], [28], [1, 1, 0, 0, 0, 0, 0, 0], " É")]
+    entries = [entry([20], [19], [1, *[0] * 8], " dog"), entry([22], [19], [1, 1, *[0] * 7], " Dog"), entry([34, 35], [33], [1, *[0] * 8], " mat"), entry([30], [28], [1, 1, *[0] * 7], " É")]
     c = composer(spelled, groups, entries, lower)
     rng, changed = random.Random(3), 0
     for _ in range(6000):

@@ -1,13 +1,14 @@
 """Adapters, sinks, guarded vocabularies and score rules on small rows."""
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from weft.functions import affixes, surfaces
 from weft.operators import evaluation, sequences
-from weft.plans import bpe, rows
+from weft.plans import bpe, contextual, rows
 from weft.streaming import documents
 from weft.sources import corpus, datasets, sinks
 
@@ -58,8 +59,14 @@ def test_sinks(spark, tmp_path):
     sinks.merge_lines(spark, [("a", "b"), ("ab", "c")], f"{tmp_path}/merges.txt")
     assert [tuple(r) for r in corpus.merges(spark, f"{tmp_path}/merges.txt").collect()] == [("a", "b"), ("ab", "c")]
     entries = spark.createDataFrame([([1], [2], [[0]], "x")], "token_ids array<int>, base_ids array<int>, modifier_rows array<array<int>>, surface string")
-    sinks.write_compositions(entries, f"{tmp_path}/c", {"sizes": [3], "names": ["space"]})
-    assert spark.read.parquet(f"{tmp_path}/c/entries").count() == 1 and json.loads((tmp_path / "c/groups.json").read_text())["version"] == 1
+    sinks.write_compositions(entries, f"{tmp_path}/c.json", {"modifier_group_sizes": [3], "group_names": ["space"]})
+    assert [tuple(r) for r in corpus.compositions(spark, f"{tmp_path}/c.json").collect()] == [([1], [2], [[0]], "x")]
+    document = json.loads((tmp_path / "c.json").read_text())
+    assert list(document) == ["entries", "group_names", "modifier_group_sizes", "version"]
+    assert contextual.Metadata.read(document).entries == [contextual.Entry((1,), (2,), ((0,),), "x")]
+    (tmp_path / "s/x").write_text("3")
+    sinks.commit(spark, f"{tmp_path}/s", f"{tmp_path}/t", ["x"])
+    assert (tmp_path / "t/x").read_text() == "3" and not (tmp_path / "s/x").exists()
     assert sinks.sections("T", {"b": [("x", 1)], "a": []}) == "# T\n\n## a\n\n\n## b\n\n- x: 1\n"
     assert sinks.evaluation_csv([("a", 0.5, 0.25)], 0.25).splitlines()[-1] == "CORE,,0.250000"
 
@@ -74,7 +81,8 @@ def test_readers_of_shards(spark, tmp_path):
     assert {r["text"][0] for r in corpus.split(spark, folder, "val").collect()} == {"2"}
     rows, groups = corpus.split(spark, folder, "train"), corpus.row_groups(spark, folder)
     both = corpus.document_batches(rows, groups, 0, 1, epochs=2)
-    assert both.count() == 16 and corpus.document_batches(rows, groups, 0, 1, epochs=2, resume=(0, 0)).count() == 8
+    assert both.count() == 16 and corpus.document_batches(rows, groups, 0, 1, epochs=2, resume=(0, "shard_1.parquet", 0)).count() == 8
+    assert corpus.document_batches(rows, groups, 0, 1, epochs=2, resume=(0, "shard_0.parquet", 0)).count() == 12
     (tmp_path / "none").mkdir()
     with pytest.raises(FileNotFoundError):
         corpus.shards(spark, f"{tmp_path}/none")
@@ -111,6 +119,71 @@ def test_training_rows(spark):
         assert all(any(d[: b - a] == whole[a:b] for d in docs.values()) for a, b in zip(cuts, cuts[1:]))
 
 
+def test_training_rows_keep_the_packing_order_and_their_modifiers(spark):
+    # A short document first, then one that is cropped to what is left.
+    df = spark.createDataFrame([(0, [1, 2], [[1], [2]]), (1, list(range(10, 20)), [[i] for i in range(10, 20)])], "id long, ids array<int>, m array<array<int>>")
+    one = rows.training_rows(df, "id", "ids", 9, 1, 99, rows="m", default=[0]).collect()
+    assert [tuple(r)[2:] for r in one] == [([99, 1, 2, 99, 10, 11, 12, 13, 14], [1, 2, 99, 10, 11, 12, 13, 14, 15], [[0], [1], [2], [0], [10], [11], [12], [13], [14]], [[1], [2], [0], [10], [11], [12], [13], [14], [15]])]
+    short = spark.createDataFrame([(0, [10, 11], [[1], [2]])], df.schema)
+    assert tuple(rows.training_rows(short, "id", "ids", 2, 1, 99, 1, "m", [0]).first()) == (0, 0, [99, 10], [10, 11], [[0], [1]], [[1], [2]])
+    with pytest.raises(Exception, match="differ in number"):
+        rows.training_rows(spark.createDataFrame([(0, [10, 11], [[1]])], df.schema), "id", "ids", 2, 1, 99, 1, "m", [0]).collect()
+    # Repeated and null keys are documents each.
+    many = spark.createDataFrame([(5, [1]), (5, [2]), (5, [2]), (None, [3]), (None, None)], "id long, ids array<int>")
+    got = rows.training_rows(many, "id", "ids", 8, 1, 9).collect()
+    assert len(got) == 1 and sorted([*got[0]["inputs"], got[0]["targets"][-1]]) == [1, 2, 2, 3, 9, 9, 9, 9, 9]
+
+
+def test_endless_documents_go_on_where_they_stopped(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    (tmp_path / "d e").mkdir()
+    for k in range(2):
+        pq.write_table(pa.table({"text": [f"{k}-{i}" for i in range(12)], "x": range(12)}), tmp_path / f"d e/f{k}.parquet", row_group_size=3)
+    folder, seen = f"{tmp_path}/d e", []
+
+    def some(batches, rank, world, checkpoint, after=None):
+        """Until so many more micro-batches are done."""
+        start = len(seen)
+        stream = documents.endless(spark, folder, rank, world, 3, after, rows=2)
+        query = stream.writeStream.foreachBatch(lambda df, n: seen.append((n, sorted(map(tuple, df.collect()))))).option("checkpointLocation", f"{tmp_path}/{checkpoint}").start()
+        for _ in range(600):
+            if len(seen) >= start + batches or query.exception():
+                break
+            time.sleep(0.1)
+        query.stop()
+        assert query.exception() is None
+        return [tuple(r[:3]) + (r[3], list(r[4])) for _, part in seen[start:] for r in part]
+
+    def all_of(rank, world, epochs):
+        return [(e, f"f{k}.parquet", g, n, [f"{k}-{i}" for i in range(12)][3 * g + 2 * n : 3 * g + min(3, 2 * n + 2)]) for e in range(1, epochs + 1) for k in range(2) for g in range(rank, 4, world) for n in range(2)]
+
+    first = some(2, 0, 1, "a")
+    done = first + some(2, 0, 1, "a")
+    numbers = sorted({n for n, _ in seen})
+    assert numbers == list(range(len(numbers)))
+    once = list(dict.fromkeys((e, f, g, n, tuple(t)) for e, f, g, n, t in done))  # a batch that was stopped comes again
+    want = [(e, f, g, n, tuple(t)) for e, f, g, n, t in all_of(0, 1, 9)]
+    assert len(once) >= 24 and sorted(once) == sorted(want[: len(once)])
+    seen.clear()
+    assert some(1, 1, 2, "b", after=(2, "f0.parquet", 1))[:2] == [(2, "f0.parquet", 3, n, t) for _, f, g, n, t in all_of(1, 2, 1) if (f, g) == ("f0.parquet", 3)]
+    with pytest.raises(ValueError):
+        documents.endless(spark, folder, 9, 10)
+
+
+def test_written_vocabulary_is_read_back(spark, tmp_path):
+    merges = bpe.train([("the cat sat é", 5), ("that hat", 7)], 270)
+    sinks.write_vocabulary(spark, merges, f"{tmp_path}/v")
+    assert sinks.read_vocabulary(spark, f"{tmp_path}/v") == merges
+    assert len(json.loads((tmp_path / "v/vocab.json").read_text())) == 270
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w/vocab.json").write_text((tmp_path / "v/vocab.json").read_text())
+    (tmp_path / "w/merges.txt").write_text("#version: 0.2\nt h\nx y\n")
+    with pytest.raises(ValueError):
+        sinks.read_vocabulary(spark, f"{tmp_path}/w")
+
+
 def test_callables_keys_and_checks(spark, tmp_path):
     df = spark.createDataFrame([(1, "a"), (2, None)], "id long, prompt string")
     assert [tuple(r) for r in evaluation.generated(df, "prompt", lambda x: [(t or "") + "!" for t in x]).orderBy("id").collect()] == [(1, "a", "a!"), (2, None, "!")]

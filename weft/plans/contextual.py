@@ -218,6 +218,9 @@ class Composer:
         self.suffixes = metadata.at.get("suffix_punctuation")
         self.detached = [metadata.at[g] for g in DETACHED_GROUPS if g in metadata.at]
         self.marks = {x.lower() for kind in ("prefix", "suffix") for x in metadata.literals[kind]}
+        #: Postpositions by their words, and those of one word.
+        self.after = Tries((x.split(" "), found) for x, found in metadata.literals["postposition"].items())
+        self.single_after = {x for x in metadata.literals["postposition"] if " " not in x}
         self.function = {k: metadata.literals[k] for k in ("determiner", "preposition", "pronoun")}
         self._surfaces: dict[tuple[str, Row], str] = {}
 
@@ -250,9 +253,11 @@ class Composer:
             elif t.fragment:
                 s.component()
             else:
-                for rule in marks if t.canon in self.marks else words:
+                for rule in marks if t.canon in self.marks or not t.word else words:
                     if rule():
                         break
+                if self.after.edges:
+                    s.postposition()
         s.flush()
         if self.restore(s.ids, s.rows) != self.text(ids):
             return list(ids), [self.meta.default] * len(ids)
@@ -469,17 +474,64 @@ class _Stream:
     # Rules; each says whether it has dealt with the place
 
     def suffix(self) -> bool:
-        """A mark right after a word joins its row, if spelled as the metadata spells it."""
+        """A mark right after a word joins its row, if spelled as the metadata spells it; of marks in one token the first."""
         i, t, g = self.i, self.t[self.i], self.c.suffixes
         known = self.c.meta.literals["suffix"]
-        if g is None or t.text not in known or not self.rows or not self.open or self.taken or i == 0 or self.t[i - 1].blank:
+        if g is None or not self.rows or not self.open or self.taken or i == 0 or self.t[i - 1].blank or self.rows[-1][g] != self.c.meta.default[g]:
             return False
-        if self.rows[-1][g] != self.c.meta.default[g]:
-            return False
-        self.rows[-1] = self.row(known[t.text], over=self.rows[-1])
+        rest: list[int] = []
+        mark = t.text
+        if mark not in known:
+            if t.word or t.space:
+                return False
+            mark = max((x for x in known if t.text.startswith(x)), key=len, default="")
+            rest = list(self.c.words[t.text[len(mark) :]]) if mark else []
+            if not rest or self.c.text(rest) != t.text[len(mark) :]:
+                return False
+        self.rows[-1] = self.row(known[mark], over=self.rows[-1])
+        if rest:
+            self.give(rest, [self.c.meta.default] * len(rest))
         self.i += 1
         return True
 
+    def postposition(self) -> None:
+        """Words after a host, each behind one space, that are a postposition join the host's last row: the longest one.
+
+        Function words and postpositions themselves are no hosts.
+        """
+        i, c = self.i, self.c
+        if not 0 < i < self.n or self.taken or self.lead or not self.open or not self.word[i - 1] or self.joins[i]:
+            return
+        start = i - 1
+        while start > 0 and self.joins[start] and self.word[start - 1]:
+            start -= 1
+        host = c.text(self.raw[start:i]).strip().lower()
+        if host in c.single_after or any(host in words for words in c.function.values()):
+            return
+        spans: list[tuple[str, int]] = []
+
+        def word(k: int) -> str | None:
+            """The k-th word from here, as it is spelled; none where another space or mark comes first."""
+            while len(spans) <= k:
+                at = spans[-1][1] if spans else i
+                if at < self.n and self.t[at].text == " " and at + 1 < self.n and not self.t[at + 1].space:
+                    at += 1
+                elif at >= self.n or not self.t[at].space or self.t[at].odd:
+                    return None
+                if not self.word[at] or self.t[at].fragment:
+                    return None
+                spans.append((c.text(self.raw[at : self.word_end(at)]).lstrip(" "), self.word_end(at)))
+            return spans[k][0]
+
+        hit = None
+        for hit in c.after.walk(word, 0, self.n):
+            pass
+        if hit:
+            count, (g, value) = hit
+            if self.rows[-1][g] == c.meta.default[g] and (c.suffixes is None or self.rows[-1][c.suffixes] == c.meta.default[c.suffixes]):
+                self.rows[-1] = self.row((g, value), over=self.rows[-1])
+                self.i = spans[count - 1][1]
+
     def opening(self) -> bool:
         """A mark right before a word waits for it; it stands before all that waits, so nothing can wait already."""
         i, t = self.i, self.t[self.i]

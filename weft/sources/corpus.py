@@ -64,14 +64,16 @@ def ranked(rows: DataFrame, groups: DataFrame, rank: int, world: int) -> DataFra
     return rows.join(mine, (rows["file"] == mine["file"]) & rows["row"].between(mine["first"], mine["last"])).drop(mine["file"])
 
 
-def document_batches(rows: DataFrame, groups: DataFrame, rank: int, world: int, epochs: int = 1, resume: tuple[int, int] | None = None) -> DataFrame:
-    """Rows of a rank's row groups over some epochs, with epoch and group; `resume` names the (epoch, group) after which it goes on.
+def document_batches(rows: DataFrame, groups: DataFrame, rank: int, world: int, epochs: int = 1, resume: tuple[int, str, int] | None = None) -> DataFrame:
+    """Rows of a rank's row groups over some epochs, with epoch and group; `resume` names the (epoch, file, group) after which it goes on.
 
-    Every epoch reads the same rows again: an epoch is a column of the plan, not a pass of the driver.
+    Epochs come in order, within one the files by name, within one its groups. Every epoch reads the same rows again: an epoch is a column of the plan, not a pass of the driver.
     """
     mine = ranked(rows, groups, rank, world).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
     if resume is not None:
-        mine = mine.where((F.col("epoch") > resume[0]) | ((F.col("epoch") == resume[0]) & (F.col("group") > resume[1])))
+        epoch, file, group = resume
+        later = (F.col("file") > file) | ((F.col("file") == file) & (F.col("group") > group))
+        mine = mine.where((F.col("epoch") > epoch) | ((F.col("epoch") == epoch) & later))
     return mine
 
 
