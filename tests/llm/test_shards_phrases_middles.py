@@ -183,6 +183,7 @@ def some_phrases(seed):
 @pytest.mark.parametrize("seed", range(3))
 def test_collocations_against_brute_force(spark, monkeypatch, seed):
     monkeypatch.setattr(collocations, "BLOCK", 700)
+    monkeypatch.setattr(collocations, "BUCKET", 3000)
     rows = some_phrases(seed)
     got = collocations.collocations(make(spark, rows).repartition(3), least=4, top=25).collect()
     assert sorted(map(tuple, got)) == strongest(rows, 4, 4, 80, 25)
@@ -194,3 +195,11 @@ def test_collocations_of_other_lengths_and_of_nothing(spark):
     assert sorted(map(tuple, collocations.collocations(make(spark, rows), least=3, longest=5, percent=30).collect())) == strongest(rows, 3, 5, 30, 2000)
     assert collocations.collocations(make(spark, rows).limit(0)).collect() == []
     assert collocations.collocations(make(spark, [(1, None, None), (2, "", "en")])).collect() == []
+
+
+def test_packed_columns_come_back():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 7, 1000):
+        columns = [np.arange(n), rng.integers(-(2**62), 2**62, n), rng.integers(0, 3, n)]
+        got, tail = collocations._unpack(collocations._pack(columns, b"a\nb"))
+        assert tail == b"a\nb" and all((x == y).all() for x, y in zip(got, columns))

@@ -1,10 +1,13 @@
 """Phrase collocations by hierarchical naming of pairs.
 
-Texts become blocks: sequences of word numbers of their own, with breaks between pieces, and a list of the block's
-distinct words. Joined counts of all blocks name the frequent words; in each block, two neighbouring names make a pair,
-the joined counts of the pairs name the frequent ones, and those names replace the pairs' first places. So the names of
-k words are pairs of names of k - 1 words that overlap, and what was no frequent phrase is a break. A block tells each
-distinct pair once, however often it has it, and is told the names of its own pairs only.
+Texts of one language become blocks: sequences of word numbers of the block's own, with breaks between pieces. A block
+tells each distinct word once, with its count, dealt by a hash into buckets; a bucket sums what all blocks tell it, names
+the frequent words, and answers each block with the names of its own words. Then two neighbouring names in a block make a
+pair, pairs are told, summed and named in the same way, and their names replace the pairs' first places. So the names of
+k words are pairs of names of k - 1 words that overlap, and what was no frequent phrase is a break.
+
+What a block tells a bucket is one row, packed; the number of buckets grows with the input, and the most frequent pair
+is told once a block like any other, so no bucket is larger than the rest.
 
 A name's two parents are its first and its last k - 1 words: along them, counts of all beginnings and endings are handed
 on, which gives the cuts, and a phrase lies inside a longer one with the same count just if it does in one that has it
@@ -15,99 +18,185 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.llm.scratch import Scratch
-from weft.llm.words import LOWER, bytes_of, slabs
+from weft.llm.words import LOWER, bytes_of, hashes, mix, slabs
 
 #: Characters that end a piece; space and tab part words.
 STOPS = b".,;:!?\x0a\x0b\x0c\x0d"
-#: Bytes of text in a block; a longer text is a block of its own.
-BLOCK = 8 << 20
+#: Bytes of text in a block (a longer text is a block of its own), and bytes of all texts for each bucket.
+BLOCK, BUCKET = 8 << 20, 16 << 20
 
 _STOP, _BLANK = np.zeros(256, bool), np.zeros(256, bool)
 _STOP[list(STOPS)] = True
 _BLANK[[0x20, 0x09]] = True
+U = np.uint64
+
+#: Of a block: its sequence (bucket -1) with its number of words, and what it tells each bucket.
+_TOLD = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("bucket", pa.int32()), ("n", pa.int64()), ("data", pa.binary())])
+_TOLD_DDL = "block long, lang string, bucket int, n long, data binary"
+#: Of a bucket: answers to blocks, and names.
+_NAMED = pa.schema([("block", pa.int64()), ("data", pa.binary()), ("lang", pa.string()), ("id", pa.int64()), ("first", pa.int64()), ("rest", pa.int64()), ("word", pa.string()), ("a", pa.int64())])
+_NAMED_DDL = "block long, data binary, lang string, id long, first long, rest long, word string, a long"
+
+
+def _pack(columns: list[np.ndarray], tail: bytes = b"") -> bytes:
+    """Columns of equal length, and bytes; one of small numbers or small steps takes little."""
+    head = np.array([len(columns), len(columns[0])], "<i8").tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([head, *(np.diff(c, prepend=0).astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes() for c in columns), tail]))
+
+
+def _unpack(data: bytes) -> tuple[list[np.ndarray], bytes]:
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    k, n = np.frombuffer(raw[:16], "<i8").tolist()
+    steps = np.frombuffer(raw, np.uint8, 8 * k * n, 16).reshape(k, 8, n).transpose(0, 2, 1)
+    return [np.cumsum(np.ascontiguousarray(x).view("<i8").ravel()) for x in steps], raw[16 + 8 * k * n :]
+
+
+def _batch(block: int, lang: str, rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    """Rows (bucket, n, data) of a block."""
+    buckets, n, data = zip(*rows)
+    return pa.RecordBatch.from_arrays([pa.array([block] * len(rows), pa.int64()), pa.array([lang] * len(rows)), pa.array(buckets, pa.int32()), pa.array(n, pa.int64()), pa.array(data, pa.binary())], schema=_TOLD)
+
+
+def _dealt(bucket: np.ndarray) -> list[tuple[int, int, int]]:
+    """(bucket, start, end) of the runs of equal buckets."""
+    cuts = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist()
+    return [(int(bucket[lo]), lo, hi) for lo, hi in zip(cuts, [*cuts[1:], len(bucket)])]
+
+
+def _blocks(buckets: int, size: int):
+    """Blocks of (lang, text) rows: sequences of numbers of words, and the words."""
+
+    def run(batches):
+        block = TaskContext.get().partitionId() << 32
+        for whole in batches:
+            for lang in whole.column(0).unique():
+                for b in slabs(whole.filter(pa.compute.equal(whole.column(0), lang)), 1, size):
+                    made = words(*bytes_of(b.column(1)))
+                    if made is not None:
+                        block += 1
+                        yield _batch(block, lang.as_py(), told(*made))
 
+    def words(data: np.ndarray, places: np.ndarray):
+        """(dictionary, number of each word's in it, whether a word begins a piece); none without words."""
+        data = LOWER[data]
+        stop = _STOP[data]
+        inside = ~(stop | _BLANK[data])
+        edge = np.zeros(len(data) + 1, bool)
+        edge[places] = True
+        start = np.flatnonzero(inside & (edge[:-1] | ~np.concatenate([[False], inside[:-1]])))
+        end = np.flatnonzero(inside & (edge[1:] | ~np.concatenate([inside[1:], [False]]))) + 1
+        if not len(start):
+            return None
+        piece = np.cumsum(stop)[start] + np.searchsorted(places, start, "right")
+        offsets = np.concatenate([[0], np.cumsum(end - start)])
+        return pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(data[inside])]).dictionary_encode(), np.diff(piece, prepend=piece[0]) != 0
 
-def _packed(numbers: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(numbers.astype("<i4").tobytes())
-
-
-def _unpacked(data: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), "<i4")
-
-
-def _table(block: int, sequence: np.ndarray | None, kind: pa.Schema, columns: list) -> pa.Table:
-    """A row with the sequence, under the number -1, and one for each distinct word or pair, under its own."""
-    n, own = len(columns[0]), int(sequence is not None)
-    number = np.arange(-own, n, dtype=np.int32)
-    payload = pa.array(([_packed(sequence)] if own else []) + [None] * n, pa.binary())
-    rest = [pa.concat_arrays([pa.nulls(own, f.type), pa.array(c).cast(f.type)]) for c, f in zip(columns, list(kind)[3:])]
-    return pa.Table.from_arrays([pa.array(np.full(n + own, block, np.int64)), payload, pa.array(number), *rest], schema=kind)
-
-
-_WORDS = pa.schema([("block", pa.int64()), ("sequence", pa.binary()), ("number", pa.int32()), ("lang", pa.string()), ("word", pa.string()), ("count", pa.int64())])
-_PAIRS = pa.schema([("block", pa.int64()), ("sequence", pa.binary()), ("number", pa.int32()), ("first", pa.int64()), ("rest", pa.int64()), ("count", pa.int64())])
-_WORDS_DDL = "block long, sequence binary, number int, lang string, word string, count long"
-_PAIRS_DDL = "block long, sequence binary, number int, first long, rest long, count long"
-
-
-def _blocks(batches):
-    """Blocks of (lang, text) rows as rows of _WORDS."""
-    block = TaskContext.get().partitionId() << 32
-    for whole in batches:
-        for b in slabs(whole, 1, BLOCK):
-            block += 1
-            data, places = bytes_of(b.column(1))
-            data = LOWER[data]
-            stop = _STOP[data]
-            inside = ~(stop | _BLANK[data])
-            edge = np.zeros(len(data) + 1, bool)
-            edge[places] = True
-            start = np.flatnonzero(inside & (edge[:-1] | ~np.concatenate([[False], inside[:-1]])))
-            end = np.flatnonzero(inside & (edge[1:] | ~np.concatenate([inside[1:], [False]]))) + 1
-            if not len(start):
-                continue
-            text = np.searchsorted(places, start, "right") - 1
-            piece = np.cumsum(stop)[start] + text
-            lengths = end - start
-            words = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(lengths)])), pa.py_buffer(data[inside])]).dictionary_encode()
-            langs = b.column(0).dictionary_encode()
-            many = max(1, len(langs.dictionary))
-            key = words.indices.to_numpy().astype(np.int64) * many + langs.indices.to_numpy()[text]
-            kinds, number, count = np.unique(key, return_inverse=True, return_counts=True)
-            broken = np.concatenate([[False], np.diff(piece) != 0])
-            at = np.arange(len(start)) + np.cumsum(broken)
-            sequence = np.full(len(start) + int(broken.sum()), -1, np.int32)
-            sequence[at] = number
-            spelled = words.dictionary.take(pa.array(kinds // many)).cast(pa.binary()).cast(pa.string())
-            yield from _table(block, sequence, _WORDS, [langs.dictionary.take(pa.array(kinds % many)), spelled, count]).to_batches(max_chunksize=1 << 16)
-
-
-def _pairs(last: bool):
+    def told(spelled: pa.DictionaryArray, broken: np.ndarray):
+        known = spelled.dictionary
+        places = np.frombuffer(known.buffers()[1], np.int64, len(known) + 1)
+        letters = np.frombuffer(known.buffers()[2], np.uint8, places[-1])
+        bucket = (mix(hashes(letters, places[:-1], places[1:]), 5) % U(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        number = np.empty(len(order), np.int32)
+        number[order] = np.arange(len(order))
+        own = number[spelled.indices.to_numpy()]
+        count = np.bincount(own, minlength=len(order))
+        sequence = np.full(len(own) + int(broken.sum()), -1, np.int32)
+        sequence[np.arange(len(own)) + np.cumsum(broken)] = own
+        known = known.take(pa.array(order))
+        rows = [(-1, len(own), _pack([sequence]))]
+        # Words hold no line feed.
+        return rows + [(k, hi - lo, _pack([np.arange(lo, hi), count[lo:hi]], b"\n".join(known.slice(lo, hi - lo).to_pylist()))) for k, lo, hi in _dealt(bucket[order])]
+
+    return run
+
+
+def _sums(key: np.ndarray, count: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a place of each key of at least that count, its count, and for each place the key's number, or -1)."""
+    _, first, number = np.unique(key, return_index=True, return_inverse=True)
+    total = np.zeros(len(first), np.int64)
+    np.add.at(total, number, count)
+    often = total >= least
+    renumbered = np.where(often, np.cumsum(often) - 1, -1)
+    return first[often], total[often], renumbered[number]
+
+
+def _named(of_words: bool, least: int, buckets: int):
+    """Names of what all blocks tell one bucket, unique within the language, and the answers to the blocks."""
+
+    def run(key: tuple, told: pa.Table) -> pa.Table:
+        lang, bucket = key[0].as_py(), key[1].as_py()
+        parts = [_unpack(x) for x in told.column("data").to_pylist()]
+        sizes = [len(c[0]) for c, _ in parts]
+        columns = [np.concatenate(x) for x in zip(*(c for c, _ in parts))]
+        number, count = columns[0], columns[1]
+        if of_words:
+            words = [w for _, tail in parts for w in tail.split(b"\n")]
+            at, a, name = _sums(pa.array(words, pa.binary()).dictionary_encode().indices.to_numpy(), count, least)
+            about = [pa.nulls(len(at), pa.int64())] * 2 + [pa.array([words[i].decode() for i in at], pa.string())]
+        else:
+            first, rest = columns[2], columns[3]
+            # A number for each pair, by the places of its two names among those that are here.
+            seconds, second = np.unique(rest, return_inverse=True)
+            at, a, name = _sums(np.unique(first, return_inverse=True)[1] * len(seconds) + second, count, least)
+            about = [pa.array(first[at]), pa.array(rest[at]), pa.nulls(len(at), pa.string())]
+        ids = name * buckets + bucket
+        out, lo = [], 0
+        for n, block in zip(sizes, told.column("block").to_pylist()):
+            hit = np.flatnonzero(name[lo : lo + n] >= 0) + lo
+            if len(hit):
+                out.append((block, _pack([number[hit], ids[hit]])))
+            lo += n
+        k, m = len(out), len(at)
+        lists = [
+            pa.concat_arrays([pa.array([b for b, _ in out], pa.int64()), pa.nulls(m, pa.int64())]),
+            pa.concat_arrays([pa.array([d for _, d in out], pa.binary()), pa.nulls(m, pa.binary())]),
+            pa.array([lang] * (k + m), pa.string()),
+            pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array(np.arange(m) * buckets + bucket, pa.int64())]),
+            *(pa.concat_arrays([pa.nulls(k, x.type), x]) for x in about),
+            pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array(a)]),
+        ]
+        return pa.Table.from_arrays(lists, schema=_NAMED)
+
+    return run
+
+
+def _pairs(last: bool, buckets: int):
     """What a block makes of the names that it is told: its pairs, and unless `last` the sequence of their numbers."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
-            return _PAIRS.empty_table()
-        sequence = _unpacked(left.column("sequence")[0].as_py())
+            return _TOLD.empty_table()
+        sequence = _unpack(left.column("data")[0].as_py())[0][0]
         names = np.full(int(sequence.max(initial=-1)) + 2, -1, np.int64)
-        names[right.column("number").to_numpy()] = right.column("id").to_numpy()
+        for x in right.column("data").to_pylist():
+            (number, ids), _ = _unpack(x)
+            names[number] = ids
         named = names[sequence] >= 0  # a break, -1, reads the last, which is none
         both = named[:-1] & named[1:]
+        if not both.any():
+            return _TOLD.empty_table()
         base = np.int64(len(names))
-        key = sequence[:-1].astype(np.int64) * base + sequence[1:]
-        kinds, number, count = np.unique(key[both], return_inverse=True, return_counts=True)
-        following = None
+        kinds, which, count = np.unique((sequence[:-1] * base + sequence[1:])[both], return_inverse=True, return_counts=True)
+        first, rest = names[kinds // base], names[kinds % base]
+        bucket = (mix(mix(first.view(U), 3) ^ rest.view(U), 7) % U(buckets)).astype(np.int64)
+        order = np.lexsort((rest, first, bucket))
+        first, rest, count, bucket = first[order], rest[order], count[order], bucket[order]
+        rows = [(k, hi - lo, _pack([np.arange(lo, hi), count[lo:hi], first[lo:hi], rest[lo:hi]])) for k, lo, hi in _dealt(bucket)]
         if not last:
-            following = np.full(len(both), -1, np.int32)
-            following[both] = number
-            following = following[both | np.concatenate([[False], both[:-1]])]  # one break for a run of them
-        return _table(left.column("block")[0].as_py(), following, _PAIRS, [names[kinds // base], names[kinds % base], count])
+            number = np.empty(len(order), np.int64)
+            number[order] = np.arange(len(order))
+            following = np.full(len(both), -1, np.int64)
+            following[both] = number[which]
+            rows.append((-1, 0, _pack([following[both | np.concatenate([[False], both[:-1]])]])))  # one break for a run of them
+        return pa.Table.from_batches([_batch(left.column("block")[0].as_py(), left.column("lang")[0].as_py(), rows)])
 
     return run
 
@@ -115,32 +204,33 @@ def _pairs(last: bool):
 def phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = 30, longest: int = 4) -> tuple[list[DataFrame], DataFrame]:
     """Frequent phrases by number of words, and the words of each language.
 
-    The first is a table for each k from 1 to `longest`: id, first and rest (ids of its first and last k - 1 words),
-    lang, phrase, a (occurrences), heads and tails (occurrences of its first and of its last 1, 2, ... k words). The
-    second: lang, n. Words are lower-cased in A-Z only. A null lang is `und`; a null text has no words.
+    The first is a table for each k from 1 to `longest`: lang, id (unique in its language), first and rest (ids of its
+    first and last k - 1 words), phrase, a (occurrences), heads and tails (occurrences of its first and of its last 1, 2,
+    ... k words). The second: lang, n. Words are lower-cased in A-Z only. A null lang is `und`; a null text has no words.
     """
     tmp = Scratch(docs.sparkSession, "phrases")
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("string").alias("text"))
-    blocks = tmp.keep(rows.mapInArrow(_blocks, _WORDS_DDL), "blocks-1")
-    told = blocks.where("number >= 0")
-    words = told.groupBy("lang").agg(F.sum("count").alias("n"))
-
-    counted = told.groupBy("lang", "word").agg(F.sum("count").alias("a")).where(F.col("a") >= least)
-    named = tmp.keep(counted.withColumn("id", F.monotonically_increasing_id()), "names-1")
-    out = [named.select("id", F.lit(None).cast("long").alias("first"), F.lit(None).cast("long").alias("rest"), "lang", F.col("word").alias("phrase"), F.col("word").alias("final"), "a", F.array("a").alias("heads"), F.array("a").alias("tails"))]
-    on = ["lang", "word"]
-    for k in range(2, longest + 1):
-        names = told.join(named, on).select(F.col("block").alias("of"), "number", "id")
-        sequences = blocks.where("number < 0").select("block", "sequence")
-        made = sequences.groupBy("block").cogroup(names.groupBy("of")).applyInArrow(_pairs(k == longest), _PAIRS_DDL)
-        blocks = tmp.keep(made, f"blocks-{k}")
-        told, on = blocks.where("number >= 0"), ["first", "rest"]
-        counted = told.groupBy(*on).agg(F.sum("count").alias("a")).where(F.col("a") >= least)
-        named = tmp.keep(counted.withColumn("id", F.monotonically_increasing_id()), f"names-{k}")
-        head = out[-1].select(F.col("id").alias("first"), "lang", "phrase", "heads")
-        tail = out[-1].select(F.col("id").alias("rest"), "final", "tails")
-        known = named.join(head, "first").join(tail, "rest")
-        known = known.select("id", "first", "rest", "lang", F.concat_ws(" ", "phrase", "final").alias("phrase"), "final", "a", *(F.concat(x, F.array("a")).alias(x) for x in ("heads", "tails")))
+    weight = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = 1 + weight // BUCKET
+    blocks = tmp.keep(rows.mapInArrow(_blocks(buckets, BLOCK), _TOLD_DDL), "blocks-1")
+    words = tmp.keep(blocks.where("bucket < 0").groupBy("lang").agg(F.sum("n").alias("n")), "words")
+    out: list[DataFrame] = []
+    for k in range(1, longest + 1):
+        if k > 1:
+            sequences = blocks.where("bucket < 0").select("block", "lang", "data")
+            made = sequences.groupBy("block").cogroup(named.where("block is not null").select(F.col("block").alias("of"), "data").groupBy("of"))
+            blocks = tmp.keep(made.applyInArrow(_pairs(k == longest, buckets), _TOLD_DDL), f"blocks-{k}")
+            tmp.drop(f"blocks-{k - 1}")
+        told = blocks.where("bucket >= 0").groupBy("lang", "bucket")
+        named = tmp.keep(told.applyInArrow(_named(k == 1, least, buckets), _NAMED_DDL), f"named-{k}")
+        own = named.where("id is not null").select("lang", "id", "first", "rest", "word", "a")
+        if k == 1:
+            out.append(own.select("lang", "id", "first", "rest", F.col("word").alias("phrase"), F.col("word").alias("final"), "a", F.array("a").alias("heads"), F.array("a").alias("tails")))
+            continue
+        head = out[-1].select("lang", F.col("id").alias("first"), "phrase", "heads")
+        tail = out[-1].select("lang", F.col("id").alias("rest"), "final", "tails")
+        known = own.join(head, ["lang", "first"]).join(tail, ["lang", "rest"])
+        known = known.select("lang", "id", "first", "rest", F.concat_ws(" ", "phrase", "final").alias("phrase"), "final", "a", *(F.concat(x, F.array("a")).alias(x) for x in ("heads", "tails")))
         out.append(tmp.keep(known, f"phrases-{k}"))
     return out, words
 
@@ -171,8 +261,8 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
         ]
         own = levels[k - 1].withColumn("best", F.array_min(F.array(*cuts)))
         if k < longest:
-            longer = levels[k].select(F.explode(F.array("first", "rest")).alias("id"), F.col("a").alias("held")).groupBy("id").agg(F.max("held").alias("held"))
-            own = own.join(longer, "id", "left").where(F.col("held").isNull() | (exact("held") * 100 < exact("a") * percent))
+            longer = levels[k].select("lang", F.explode(F.array("first", "rest")).alias("id"), F.col("a").alias("held")).groupBy("lang", "id").agg(F.max("held").alias("held"))
+            own = own.join(longer, ["lang", "id"], "left").where(F.col("held").isNull() | (exact("held") * 100 < exact("a") * percent))
         own = own.select("lang", "phrase", "a", "best.l", "best.r", "best.score")
         found = own if found is None else found.union(own)
     order = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
