@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weft.sources.shared import Tables
+
 
 def counts(df: DataFrame, text: str) -> DataFrame:
     """Documents and code points."""
@@ -47,9 +49,19 @@ def last_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return first_wins(df, keys, [F.desc(c) for c in order])
 
 
-def renumbered(df: DataFrame, order: str, out: str) -> DataFrame:
-    """Dense ranks from 0 of a bounded table, a vocabulary."""
-    return df.withColumn(out, F.row_number().over(Window.orderBy(order)) - 1)
+def renumbered(df: DataFrame, order: str | list[str], out: str) -> DataFrame:
+    """Dense ranks from 0 in an order: rows are sorted into ranges once and written, and each range starts after those before it.
+
+    Rows that tie are ranked in whatever order they were written.
+    """
+    order = [order] if isinstance(order, str) else order
+    ranges = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    sorted_rows = Tables(df.sparkSession, "ranks").keep(ranges.withColumn("_at", F.monotonically_increasing_id()), "sorted")
+    part, nth = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit(2**33 - 1))
+    sizes = sorted_rows.groupBy(part.alias("_part")).agg((F.max(nth) + 1).alias("_n"))
+    # A row for each range, not for each of its rows.
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    return sorted_rows.withColumn("_part", part).join(F.broadcast(before), "_part").select(*df.columns, (F.col("_before") + nth).alias(out))
 
 
 def normalized_list(values: Column) -> Column:

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weft.operators.corpus import renumbered
+
 
 def token_byte_stats(df: DataFrame, size: str) -> DataFrame:
     """Of the byte lengths above 0: least, most, mean and sample deviation."""
@@ -31,7 +33,8 @@ def accuracy(df: DataFrame, keys: list[str], prediction: str, target: str, size:
 
 def equivalence(df: DataFrame, id_col: str, surface: str, key: Column) -> DataFrame:
     """Each id's canonical id: of the surfaces with one key, the key itself, then it after a space, then the rest, by least id."""
-    keyed = df.withColumn("_key", key)
+    # The generator keeps the optimizer from working the key out once for each of its uses.
+    keyed = df.select("*", F.explode(F.array(key)).alias("_key"))
     rank = F.when(F.col(surface) == F.col("_key"), 0).when(F.col(surface) == F.concat(F.lit(" "), "_key"), 1).when(F.ltrim(F.col(surface)) == F.col("_key"), 2).otherwise(3)
     best = keyed.where("_key is not null").groupBy("_key").agg(F.min(F.struct(rank.alias("r"), F.col(id_col).alias("i")))["i"].alias("canonical"))
     return keyed.join(best, "_key", "left").select(id_col, surface, F.coalesce("canonical", id_col).alias("canonical_id"))
@@ -73,10 +76,11 @@ def keep_set(df: DataFrame, row: str, token: str, logit: str, k: int, p: float,
 
 
 def debiased_average(df: DataFrame, step: str, value: str, decay: float = 0.9) -> DataFrame:
-    """Exponential mean of a training log, a bounded table, freed of its start at 0."""
-    logged = df.agg(F.array_sort(F.collect_list(F.struct(step, value))).alias("x"))
-    smooth = F.aggregate("x", F.lit(0.0), lambda s, r: decay * s + (1 - decay) * r[value])
-    return logged.select((smooth / (1 - F.pow(F.lit(decay), F.size("x")))).alias("ema"))
+    """Exponential mean of values in the order of their steps, freed of its start at 0: a sum of weights that fall with the distance from the last."""
+    ranked = renumbered(df.select(step, value), [step, value], "_rank")
+    n = ranked.count()
+    total = F.sum((1 - decay) * F.pow(F.lit(decay), F.lit(n - 1) - F.col("_rank")) * F.col(value))
+    return ranked.agg((total / F.nullif(F.lit(1 - decay**n), F.lit(0.0))).alias("ema"))
 
 
 def running_minimum(df: DataFrame, key: str, step: str, value: str) -> DataFrame:

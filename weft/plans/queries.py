@@ -10,6 +10,7 @@ from weft.functions import affixes, scoring, text
 from weft.functions.literals import APOSTROPHES, ARTICLES, ASCII_PUNCTUATION, POSSESSIVE_DETERMINERS, PREFIX_PUNCTUATION, PREPOSITIONS, WORD
 from weft.operators import corpus, metrics, sequences
 from weft.plans import bpe, composition, metadata, rows
+from weft.sources.shared import Tables
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -204,7 +205,7 @@ c as (select k, arg_min(word, (case when word = k then 0 else 3 end, word)) as c
 select word, coalesce(c, word) as canonical from k left join c using (k)""")
 def case_space_equivalence(spark, sf_dir):
     """Canonical word of every word among those of letters that differ by capitals only; any other word is its own."""
-    words = _surfaces(spark, sf_dir).select("word", F.col("word").alias("id"))
+    words = Tables(spark, "words").keep(_surfaces(spark, sf_dir).select("word"), "words").select("word", F.col("word").alias("id"))
     return metrics.equivalence(words, "id", "word", affixes.accuracy_surface(F.col("word"))).select("word", F.col("canonical_id").alias("canonical"))
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from weft.functions import affixes, surfaces
 from weft.functions.literals import ARTICLES, DEMONSTRATIVES, POSSESSIVE_DETERMINERS, PREPOSITIONS, QUANTIFIERS
 from weft.operators import corpus, evaluation
+from weft.sources.shared import Tables
 from weft.plans.queries import _STATE, LINES, SURFACES, _quoted, _strip_sql, _surfaces, _upper
 
 Encoder = Callable[[DataFrame, str, str], DataFrame]
@@ -184,10 +185,12 @@ def _encoded(x: str, alias: str) -> str:
 
 
 def _tokens(spark, sf_dir) -> DataFrame:
+    """The vocabulary of the corpus's frequent words, written once: every pass starts there."""
     s = _surfaces(spark, sf_dir)
     more = spark.createDataFrame([(x,) for x in (" ", "  ", "...", "A", "I", "a", "i", " the", "The", " The", '"')], "surface string")
     words = s.where("n >= 2").select(F.col("word").alias("surface")).union(s.where("n >= 4").select(F.concat(F.lit(" "), "word"))).union(more).distinct()
-    return corpus.renumbered(words, "surface", "id").select("surface", F.col("id").cast("long").alias("id"))
+    ranked = corpus.renumbered(words, "surface", "id").select("surface", F.col("id").cast("long").alias("id"))
+    return Tables(spark, "vocabulary").keep(ranked, "tokens")
 
 
 def _halves(text: Column) -> Column:
@@ -239,8 +242,9 @@ def single_token_map(spark, sf_dir):
 select f.variant_ids as token_ids, f.base_ids, array_to_string(f.transforms, '|') as transforms from found f anti join e on f.variant_ids = e.token_ids""")
 def space_cap_pass(spark, sf_dir):
     """Candidates as entries, but for tokens that an earlier pass has (every third)."""
-    existing = _tokens(spark, sf_dir).where("id % 3 = 0").select(F.array("id").alias("token_ids"))
-    return space_cap_entries(_found(spark, sf_dir), existing).withColumn("transforms", F.array_join("transforms", "|"))
+    v = _tokens(spark, sf_dir)
+    existing = v.where("id % 3 = 0").select(F.array("id").alias("token_ids"))
+    return space_cap_entries(candidates(v, by_vocabulary(v, _halves)), existing).withColumn("transforms", F.array_join("transforms", "|"))
 
 
 @query(f"with {_candidate_sql()} select base_rank, count(distinct variant) as n, md5(string_agg(distinct variant, '|' order by variant)) as variants from found group by base_rank")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+_MADE: list[tuple[SparkSession, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -18,3 +22,32 @@ def shared_folder(spark: SparkSession) -> str:
         folder = os.path.join(tempfile.gettempdir(), "weft-checkpoints")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
+
+
+class Tables:
+    """Tables that are written once and read many times, below the shared folder; removed when the program ends."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark = spark
+        self.path = f"{shared_folder(spark)}/weft-{name}-{uuid.uuid4().hex[:12]}"
+        _MADE.append((spark, self.path))
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """`df` as a written table: what comes after starts at its files, on whichever executors are left."""
+        df.write.parquet(f"{self.path}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
+
+    def remove(self) -> None:
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@atexit.register
+def _clean() -> None:
+    for spark, path in _MADE:
+        try:
+            if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
+                at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # the JVM has gone already; its folders stay for the cluster's own cleaning
+            return
