@@ -59,3 +59,15 @@ def test_stages_of_nothing(spark, tmp_path):
         out = stage(spark, docs, str(tmp_path))
         assert out.count() == 0 and (name == "packing" or out.columns == docs.columns)
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_mixing_takes_the_budget_of_rows_without_or_with_repeated_ids(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _mix_row int, size int, taken int"
+    four = [(i, f"{a} b c d", "en", "s", 7, 1, 1, 1) for i, a in ((1, "x"), (1, "y"), (None, "x"), (None, "x"), (2, "z"))]
+    got = corpus_pipeline.mixing_stage(spark, spark.createDataFrame(four, schema), "").collect()
+    assert sum(len(r["text"].split()) for r in got) == 30
+    assert all(r["n_chars"] == len(r["text"]) and r["_mix_row"] == 1 for r in got)
+    counts: dict = {}
+    for r in got:
+        counts[r["doc_id"], r["text"][0]] = counts.get((r["doc_id"], r["text"][0]), 0) + len(r["text"].split())
+    assert all(n <= (16 if k == (None, "x") else 8) for k, n in counts.items())

@@ -30,7 +30,7 @@ from weft.llm.words import LOWER, bytes_of, hashes, mix, slabs
 #: Characters that end a piece; space and tab part words.
 STOPS = b".,;:!?\x0a\x0b\x0c\x0d"
 #: Bytes of text in a block (a longer text is a block of its own), and bytes of all texts for each bucket.
-BLOCK, BUCKET = 8 << 20, 16 << 20
+BLOCK, BUCKET = 4 << 20, 16 << 20
 
 _STOP, _BLANK = np.zeros(256, bool), np.zeros(256, bool)
 _STOP[list(STOPS)] = True
@@ -94,7 +94,7 @@ def _blocks(buckets: int, size: int):
         end = np.flatnonzero(inside & (edge[1:] | ~np.concatenate([inside[1:], [False]]))) + 1
         if not len(start):
             return None
-        piece = np.cumsum(stop)[start] + np.searchsorted(places, start, "right")
+        piece = np.cumsum(stop, dtype=np.int32)[start] + np.searchsorted(places, start, "right")
         offsets = np.concatenate([[0], np.cumsum(end - start)])
         return pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(data[inside])]).dictionary_encode(), np.diff(piece, prepend=piece[0]) != 0
 
