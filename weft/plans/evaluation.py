@@ -143,12 +143,13 @@ def span_of_change(spark, sf_dir):
     return _turns(spark, sf_dir).select("conv_id", "turn", start.alias("start"), end.alias("end"))
 
 
-@query("""with w as (select conv_id, string_split(text, ' ') as a from conversations), s as (select conv_id, min(len(a)) as least from w group by conv_id),
+@query("""with w as (select conv_id, string_split(repeat('so on ', (conv_id % 3)::int) || text || repeat(' in end', (conv_id % 2)::int), ' ') as a from conversations), s as (select conv_id, min(len(a)) as least from w group by conv_id),
 f as (select conv_id, i, count(distinct a[i]) as f, count(distinct a[len(a) - i + 1]) as b from w join s using (conv_id), unnest(range(1, least + 1)) u(i) group by conv_id, i)
 select s.conv_id, coalesce(min(case when f > 1 then i end) - 1, any_value(least)) as prefix, coalesce(min(case when b > 1 then i end) - 1, any_value(least)) as suffix from s left join f using (conv_id) group by s.conv_id""")
 def shared_ends(spark, sf_dir):
-    """Words that all turns of a conversation begin and end with."""
-    c = table(spark, sf_dir, "conversations").select("conv_id", F.split("text", " ").alias("ids"))
+    """Words that all turns of a conversation begin and end with, with some before and behind each that its turns share."""
+    text = F.concat(F.expr("repeat('so on ', cast(conv_id % 3 as int))"), "text", F.expr("repeat(' in end', cast(conv_id % 2 as int))"))
+    c = table(spark, sf_dir, "conversations").select("conv_id", F.split(text, " ").alias("ids"))
     return metrics.shared_prefix(c, "conv_id", "ids").select("conv_id", "prefix", "suffix")
 
 
@@ -163,14 +164,30 @@ def extracted(spark, sf_dir):
     return c.select("conv_id", "turn", scoring.first_word(F.col("text")).alias("word"), scoring.final_number(worked).alias("number"), F.md5(scoring.code_block(fenced).cast("binary")).alias("code"), F.md5(scoring.code_block(F.col("text")).cast("binary")).alias("plain"))
 
 
-@query(f"""with {TURNS}, x as (select *, case turn % 3 when 0 then 'LAMBADA' when 1 then 'Arithmetic' else 'TriviaQA' end as label, case when turn % 2 = 0 then before else (conv_id % 7)::varchar || ' ' || text end as predicted from turns)
-select conv_id, turn, starts_with({_fold('l')}, {_fold('text')}) and {_fold('l')} <> '' and {_fold('text')} <> '' as prefix from (select *, regexp_extract(coalesce(predicted, ''), '([^\\s](?:[^\\n\\r\\x0b\\x0c]*[^\\s])?)', 1) as l from x) where label = 'TriviaQA'
-union all select conv_id, turn, {_fold('w')} <> '' and {_fold('text')} <> '' and {_fold('w')} = {_fold('text')} from (select *, trim(regexp_extract(regexp_extract(coalesce(predicted, ''), '([^\\s](?:[^\\n\\r\\x0b\\x0c]*[^\\s])?)', 1), '^([^\\s]*)', 1), {_quoted(core.ASCII_PUNCTUATION)}) as w from x) where label = 'LAMBADA'""")
+_LINE = r"regexp_extract(coalesce(predicted, ''), '([^\s](?:[^\n\r\x0b\x0c]*[^\s])?)', 1)"
+_NUMBER = r"nullif(replace(regexp_extract({}, '([-+]?[0-9][0-9,]*(?:\.[0-9]+)?)', 1), ',', ''), '')"
+
+
+@query(f"""with {TURNS}, x as (select *, ['LAMBADA', 'Arithmetic', 'GSM8K', 'TriviaQA'][(conv_id + turn) % 4 + 1] as label, conv_id % 3 as kind, (conv_id * 10 + turn)::varchar as n from turns),
+y as (select *, case label when 'LAMBADA' then string_split(text, ' ')[1] when 'Arithmetic' then case kind when 0 then n || '000' else n || ' in all' end when 'GSM8K' then n || '5' else text end as answer,
+case label when 'LAMBADA' then case when kind = 0 then string_split(text, ' ')[1] || '. ' || before else before end
+ when 'Arithmetic' then case kind when 0 then 'It is ' || n || ',000 or 7' when 1 then 'There are ' || n || '.' else 'nothing' end
+ when 'GSM8K' then case kind when 0 then 'So 3 and #### ' || n || ',5' when 1 then n || '5 in all' else n end else case when kind = 0 then ' ' || text || ' and more' else before end end as predicted from x),
+z as (select *, {_LINE} as line from y), l as (select *, trim(regexp_extract(line, '^([^\\s]*)', 1), {_quoted(core.ASCII_PUNCTUATION)}) as word, {_NUMBER.format('line')} as number, nullif(trim(replace(regexp_extract(line, '####\\s*(-?[0-9.,]+)', 1), ',', '')), '') as final from z),
+m as (select *, case label when 'LAMBADA' then word when 'Arithmetic' then coalesce(number, line) when 'GSM8K' then coalesce(final, number, line) else line end as p, case when label = 'Arithmetic' and number is not null then coalesce({_NUMBER.format('answer')}, answer) else answer end as a from l)
+select conv_id, turn, label, {_fold('p')} <> '' and {_fold('a')} <> '' and case when label = 'TriviaQA' or label = 'Arithmetic' and number is null then starts_with({_fold('p')}, {_fold('a')}) else {_fold('p')} = {_fold('a')} end as match from m""")
 def task_rules(spark, sf_dir):
-    """Matches of turns by the rule of their task: first word for one, prefix of the first line for the rest."""
-    label = F.when(F.col("turn") % 3 == 0, "LAMBADA").when(F.col("turn") % 3 == 1, "Arithmetic").otherwise("TriviaQA")
-    t = _turns(spark, sf_dir).withColumn("label", label).withColumn("predicted", F.when(F.col("turn") % 2 == 0, F.col("before")).otherwise(F.concat((F.col("conv_id") % 7).cast("string"), F.lit(" "), "text")))
-    return t.where("label <> 'Arithmetic'").select("conv_id", "turn", scoring.task_match(F.col("label"), F.col("predicted"), F.array("text")).alias("prefix"))
+    """Matches of made predictions, right and wrong, by the rule of each task: first word, first number, worked answer, prefix of the first line."""
+    label = F.element_at(F.array(*map(F.lit, ("LAMBADA", "Arithmetic", "GSM8K", "TriviaQA"))), ((F.col("conv_id") + F.col("turn")) % 4 + 1).cast("int"))
+    t = _turns(spark, sf_dir).withColumn("label", label)
+    n, kind, first = (F.col("conv_id") * 10 + F.col("turn")).cast("string"), F.col("conv_id") % 3, F.split("text", " ")[0]
+    case = lambda *of: F.when(F.col("label") == "LAMBADA", of[0]).when(F.col("label") == "Arithmetic", of[1]).when(F.col("label") == "GSM8K", of[2]).otherwise(of[3])
+    by = lambda *of: F.when(kind == 0, of[0]).when(kind == 1, of[1]).otherwise(of[-1])
+    c = lambda *of: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in of))
+    text, before = F.col("text"), F.col("before")
+    answer = case(first, by(c(n, "000"), c(n, " in all")), c(n, "5"), text)
+    predicted = case(by(c(first, ". ", before), before), by(c("It is ", n, ",000 or 7"), c("There are ", n, "."), F.lit("nothing")), by(c("So 3 and #### ", n, ",5"), c(n, "5 in all"), n), by(c(" ", text, " and more"), before))
+    return t.select("conv_id", "turn", "label", scoring.task_match(F.col("label"), predicted, F.array(answer)).alias("match"))
 
 
 @query(f"""with {TURNS}, s as (select *, lag(before) over (partition by conv_id order by turn) as q, lag(text) over (partition by conv_id order by turn) as a from turns)

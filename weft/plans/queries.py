@@ -46,6 +46,8 @@ def _surfaces(spark, sf_dir) -> DataFrame:
     return words.where("word <> ''").groupBy("word").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n"))
 
 
+#: Possessives and marks that words are given where a rule on endings is to be seen at work.
+ENDINGS = ("'s", "’s", "s'", "s’", "'s.", "s’,", ".'s", "?")
 LINES = "lines as (select distinct unnest(string_split(text, chr(10))) as line from documents)"
 SURFACES = "surfaces as (select word, min(doc_id) as first_doc, count(*) as n from (select doc_id, unnest(string_split_regex(text, '[ \\n]+')) as word from documents) where word <> '' group by word)"
 
@@ -124,10 +126,14 @@ def pretok_baseline_cover(spark, sf_dir):
     return d.select("doc_id", *(F.size(x).alias(f"{p}_chunks") for p, x in c.items()), *((F.array_join(x, "") == F.col("text")).alias(f"{p}_covers") for p, x in c.items()))
 
 
-@query(f"with {LINES} select prefix, count(*) as n from (select {_case(PREFIX_PUNCTUATION, 'starts_with(line, {q})')} as prefix from lines) group by prefix")
+@query(f"""with {LINES}, opened as (select case when length(line) % 3 = 0 then line else [{', '.join(map(_quoted, PREFIX_PUNCTUATION))}][length(line) % {len(PREFIX_PUNCTUATION)} + 1] || line end as line from lines)
+select prefix, count(*) as n from (select {_case(PREFIX_PUNCTUATION, 'starts_with(line, {q})')} as prefix from opened) group by prefix""")
 def affix_prefix_punct(spark, sf_dir):
-    """How many distinct lines start with each prefix punctuation."""
-    return _lines(spark, sf_dir).groupBy(affixes.prefix_punctuation(F.col("line")).alias("prefix")).agg(F.count("*").alias("n"))
+    """How many distinct lines start with each prefix punctuation, two of three behind one."""
+    marks = F.array(*map(F.lit, PREFIX_PUNCTUATION))
+    n = F.length("line")
+    opened = F.when(n % 3 == 0, F.col("line")).otherwise(F.concat(F.element_at(marks, n % len(PREFIX_PUNCTUATION) + 1), "line"))
+    return _lines(spark, sf_dir).select(opened.alias("line")).groupBy(affixes.prefix_punctuation(F.col("line")).alias("prefix")).agg(F.count("*").alias("n"))
 
 
 @query(f"with {LINES} select suffix, count(*) as n from (select {_case(affixes.suffix_literals(), 'ends_with(line, {q})')} as suffix from lines) group by suffix")
@@ -136,10 +142,20 @@ def affix_suffix_punct(spark, sf_dir):
     return _lines(spark, sf_dir).groupBy(affixes.suffix_punctuation(F.col("line")).alias("suffix")).agg(F.count("*").alias("n"))
 
 
-@query(f"with {SURFACES} select possessive, count(*) as n from (select {_case(affixes.POSSESSIVES, 'ends_with(word, {q})')} as possessive from surfaces) group by possessive")
+#: Words with endings by their length: none, possessives of both kinds, with a mark before or behind.
+ENDED = f"""ended as (select word || ['', {', '.join(map(_quoted, ENDINGS))}][length(word) % {len(ENDINGS) + 1} + 1] as word from surfaces)"""
+
+
+def _ended(spark, sf_dir) -> DataFrame:
+    ending = F.element_at(F.array(F.lit(""), *map(F.lit, ENDINGS)), F.length("word") % (len(ENDINGS) + 1) + 1)
+    # The generator keeps the optimizer from copying this into each use of the word.
+    return _surfaces(spark, sf_dir).select(F.explode(F.array(F.concat("word", ending))).alias("word"))
+
+
+@query(f"with {SURFACES}, {ENDED} select possessive, count(*) as n from (select {_case(affixes.POSSESSIVES, 'ends_with(word, {q})')} as possessive from ended) group by possessive")
 def affix_possessive(spark, sf_dir):
-    """How many distinct words end with each possessive."""
-    return _surfaces(spark, sf_dir).groupBy(affixes.possessive(F.col("word")).alias("possessive")).agg(F.count("*").alias("n"))
+    """How many words end with each possessive, most of them behind one, some with a mark."""
+    return _ended(spark, sf_dir).groupBy(affixes.possessive(F.col("word")).alias("possessive")).agg(F.count("*").alias("n"))
 
 
 @query(f"with {LINES} select determiner, count(*) as n from (select {_case(_longest(DETERMINERS), 'starts_with(lower(line), {s})')} as determiner from lines) group by determiner")
@@ -241,23 +257,29 @@ def squad_normalize(spark, sf_dir):
     return c.select("conv_id", "turn", F.md5(scoring.squad_normalized(F.col("text")).cast("binary")).alias("digest"), F.coalesce(scoring.fold_spaces(F.col("text")) == F.col("text"), F.lit(False)).alias("folded"))
 
 
-@query(f"""with n as (select conv_id, turn, {_fold('text')} as p from conversations),
-j as (select a.conv_id, a.turn, a.p as p, b.p as q from n a join n b on a.conv_id = b.conv_id and b.turn = a.turn - 1)
+@query(f"""with n as (select conv_id, turn, text, {_fold('text')} as p from conversations),
+j as (select a.conv_id, a.turn, a.p as p, {_fold("case a.conv_id % 4 when 0 then ' ' || replace(a.text, ' ', '  ') when 1 then a.text[:12] when 2 then a.text[6:14] else b.text end")} as q from n a join n b on a.conv_id = b.conv_id and b.turn = a.turn - 1)
 select conv_id, turn, p <> '' and q <> '' and p = q as exact, p <> '' and q <> '' and starts_with(p, q) as prefix, p <> '' and q <> '' and contains(p, q) as has from j""")
 def em_match(spark, sf_dir):
-    """Whether a turn equals, starts with or contains the one before it."""
+    """Whether a turn equals, starts with or contains an answer: its own words further apart, its beginning, a part of it, or the turn before."""
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    b = c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("answer"))
-    j = c.join(b, ["conv_id", "turn"])
+    b = c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("before"))
+    kind = F.col("conv_id") % 4
+    own = F.when(kind == 0, F.concat(F.lit(" "), F.replace("text", F.lit(" "), F.lit("  ")))).when(kind == 1, F.substring("text", 1, 12)).when(kind == 2, F.substring("text", 6, 9))
+    j = c.join(b, ["conv_id", "turn"]).withColumn("answer", F.when(kind == 3, F.col("before")).otherwise(own))
     p, a = F.col("text"), F.array("answer")
     return j.select("conv_id", "turn", scoring.em_match(p, a, "exact").alias("exact"), scoring.em_match(p, a, "prefix").alias("prefix"), scoring.em_match(p, a, "contains").alias("has"))
 
 
-@query(r"""select conv_id, turn, nullif(replace(regexp_extract(text, '([-+]?[0-9][0-9,]*(?:\.[0-9]+)?)', 1), ',', ''), '') as number,
-md5(regexp_extract(text, '([^\s](?:[^\n\r\x0b\x0c]*[^\s])?)', 1)) as line from conversations""")
+@query(r"""with c as (select conv_id, turn, case turn % 3 when 0 then text when 1 then text || ' costs -' || (conv_id * 7)::varchar || ',250.5' || turn::varchar || chr(10) || 'or 9' else chr(10) || ' ' || text || ': +' || conv_id::varchar || ' ' || chr(10) || '1' end as text from conversations)
+select conv_id, turn, nullif(replace(regexp_extract(text, '([-+]?[0-9][0-9,]*(?:\.[0-9]+)?)', 1), ',', ''), '') as number,
+md5(regexp_extract(text, '([^\s](?:[^\n\r\x0b\x0c]*[^\s])?)', 1)) as line from c""")
 def first_number_and_line(spark, sf_dir):
-    """The first number and the first line of every turn."""
-    c = table(spark, sf_dir, "conversations")
+    """The first number and the first line of every turn, as it is, with a price and another line behind it, or between blanks with a signed number."""
+    c, n = table(spark, sf_dir, "conversations"), lambda x: x.cast("string")
+    price = F.concat("text", F.lit(" costs -"), n(F.col("conv_id") * 7), F.lit(",250.5"), n(F.col("turn")), F.lit("\nor 9"))
+    signed = F.concat(F.lit("\n "), "text", F.lit(": +"), n(F.col("conv_id")), F.lit(" \n1"))
+    c = c.withColumn("text", F.when(F.col("turn") % 3 == 0, F.col("text")).when(F.col("turn") % 3 == 1, price).otherwise(signed))
     return c.select("conv_id", "turn", scoring.first_number(F.col("text")).alias("number"), F.md5(scoring.first_line(F.col("text")).cast("binary")).alias("line"))
 
 
@@ -373,7 +395,8 @@ _STATE = f"""case when {_UPPERS.format('base')} = 0 then 'none' when {_UPPERS.fo
 
 
 def _collision_sql() -> str:
-    every = "lines as (select word as line from surfaces union select line from (select distinct unnest(string_split(text, chr(10))) as line from documents) where line is not null)"
+    inner = "select word[:2] || upper(word[i]) || word[4:] as line from surfaces, (values (3)) v(i) where regexp_full_match(word, '[a-z]{5,}') union select word[:3] || upper(word[4]) || word[5:] from surfaces where regexp_full_match(word, '[a-z]{5,}')"
+    every = f"lines as (select word as line from surfaces union {inner} union select line from (select distinct unnest(string_split(text, chr(10))) as line from documents) where line is not null)"
     stripped = _strip_sql().replace(LINES, f"{SURFACES}, {every}").replace("md5(line) as line", "line")
     keys = "base_key, space_prefix, prefix_punct, prep, prep_cap, article, article_cap, suffix_punct, capitalization"
     return f"""with b as ({stripped}), k as (select *, {_BASE_KEY} as base_key, {_STATE} as capitalization from b)
@@ -382,8 +405,11 @@ select {keys}, count(distinct line) as n, min(line) as first from k where coales
 
 @query(_collision_sql())
 def surface_collisions(spark, sf_dir):
-    """Bases and modifiers that several different words or lines of the corpus decompose to."""
-    surfaces = _surfaces(spark, sf_dir).select(F.col("word").alias("surface")).union(_lines(spark, sf_dir).where("line is not null")).distinct()
+    """Bases and modifiers that several different words or lines decompose to; words come with a capital inside as well, which no modifier tells apart."""
+    words = _surfaces(spark, sf_dir).select(F.col("word").alias("surface"))
+    inner = lambda i: F.concat(F.substring("surface", 1, i - 1), F.upper(F.substring("surface", i, 1)), F.expr(f"substring(surface, {i + 1})"))
+    capital = words.where(F.col("surface").rlike("^[a-z]{5,}$")).select(F.explode(F.array(inner(3), inner(4))).alias("surface"))
+    surfaces = words.union(capital).union(_lines(spark, sf_dir).where("line is not null")).distinct()
     return metadata.surface_collisions(surfaces, "surface")
 
 
@@ -441,13 +467,14 @@ def pad_tail_stop_shift(spark, sf_dir):
     )
 
 
-@query("""with w as (select conv_id, turn, string_split(text, ' ') as a, lead(string_split(text, ' ')) over (partition by conv_id order by turn) as b from conversations)
+@query("""with c as (select conv_id, turn, repeat('so on ', (conv_id % 3)::int) || text as text from conversations), w as (select conv_id, turn, string_split(text, ' ') as a, lead(string_split(text, ' ')) over (partition by conv_id order by turn) as b from c)
 select conv_id, turn, len(list_filter(range(1, least(len(a), len(b)) + 1), lambda i: a[1:i] = b[1:i])) as shared from w where b is not null""")
 def common_prefixes(spark, sf_dir):
-    """Words that a turn and the next one start with alike."""
+    """Words that a turn and the next one start with alike, behind a beginning that a conversation's turns share."""
     from pyspark.sql import Window
 
-    w = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.split("text", " ").alias("a"))
+    text = F.concat(F.expr("repeat('so on ', cast(conv_id % 3 as int))"), "text")
+    w = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.split(text, " ").alias("a"))
     w = w.withColumn("b", F.lead("a").over(Window.partitionBy("conv_id").orderBy("turn"))).where("b is not null")
     return w.select("conv_id", "turn", sequences.common_prefix(F.col("a"), F.col("b")).alias("shared"))
 

@@ -9,7 +9,7 @@ from weft.functions import affixes
 from weft.functions.literals import ARTICLES, PREPOSITIONS
 from weft.operators import metrics
 from weft.plans import metadata, vocabulary
-from weft.plans.queries import SURFACES, _case, _documents, _longest, _surfaces, table
+from weft.plans.queries import ENDED, SURFACES, _case, _ended, _documents, _longest, _surfaces, table
 from weft.sources import corpus
 from weft.plans.vocabulary import VOCABULARY, _affix_sql, _candidate_sql, _tokens
 
@@ -159,7 +159,7 @@ def character_bytes(spark, sf_dir):
 def _possessive_sql() -> str:
     poss = lambda x: _case(affixes.POSSESSIVES, f"ends_with({x}, {{q}})")
     mark = lambda x: _case(affixes.suffix_literals(False), f"ends_with({x}, {{q}})")
-    return f"""with {SURFACES}, a as (select word, {poss('word')} as direct from surfaces), b as (select *, case when direct is null then word else word[:length(word) - length(direct)] end as inside from a),
+    return f"""with {SURFACES}, {ENDED}, a as (select word, {poss('word')} as direct from ended), b as (select *, case when direct is null then word else word[:length(word) - length(direct)] end as inside from a),
 c as (select *, case when direct is not null then {mark('inside')} end as mark_inside, {mark('word')} as mark from b), d as (select *, case when mark is null then word else word[:length(word) - length(mark)] end as bare from c),
 e as (select *, case when direct is null and mark is not null then {poss('bare')} end as behind from d)
 select word, coalesce(direct, behind) as possessive, case when direct is not null then mark_inside else mark end as mark,
@@ -168,9 +168,9 @@ case when direct is not null then case when mark_inside is null then inside else
 
 @query(_possessive_sql())
 def possessive_groups(spark, sf_dir):
-    """Possessive and mark at the end of every word, as groups of their own."""
+    """Possessive and mark at the end of every word, most of them behind one, as groups of their own."""
     found, mark, rest = possessive_stripped(F.col("word"))
-    return _surfaces(spark, sf_dir).select("word", found.alias("possessive"), mark.alias("mark"), rest.alias("rest"))
+    return _ended(spark, sf_dir).select("word", found.alias("possessive"), mark.alias("mark"), rest.alias("rest"))
 
 
 @query(f"with {SURFACES} select word, replace(replace(word, 'a', chr(8217)), 'e', chr(8221)) as fixed from surfaces")
