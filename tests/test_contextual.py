@@ -168,3 +168,25 @@ def test_odd_documents_as_ids(spark):
     back = {r["doc_id"]: r["text"] for r in contextual.restored_text(made, "doc_id", "base_ids", "rows", own).collect()}
     assert back == {i: t or "" for i, t in enumerate(texts)}
     assert contextual.composed_ids(bpe.encoded(docs.limit(0), "doc_id", "text", merges, ids.PATTERN), "doc_id", "ids", own).collect() == []
+
+
+def test_metadata_of_all_passes(spark):
+    """Entries of the passes over a real vocabulary: several ids and several bases, and composition with them is still exact."""
+    _, merges = ids.shared(spark)
+    entries = ids.metadata_passes_of(spark, merges)
+    merged = ids.merged_passes(entries)
+    assert merged.count() == merged.select("token_ids").distinct().count()
+    by_pass = {r["pass"]: r["count"] for r in merged.groupBy("pass").count().collect()}
+    assert {"single_tokens", "space_capital", "affixes", "bridges", "capital_letters"} <= set(by_pass)
+    rows = [r.asDict() for r in ids.with_rows(merged).collect()]
+    assert sum(len(r["token_ids"]) > 1 for r in rows) > 10_000 and sum(len(r["base_ids"]) > 1 for r in rows) > 100
+    assert all(len(r["base_ids"]) == len(r["modifier_rows"]) for r in rows)
+    c = contextual.Composer(contextual.Metadata.read({**ids.groups(), "entries": rows}), dict(enumerate(bpe.token_bytes(merges))), bpe.Encoder(merges))
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(40)
+    raw = bpe.encoded(docs, "doc_id", "text", merges, ids.PATTERN, ("text",)).collect()
+    made = [c.compose(r["ids"]) for r in raw]
+    assert [c.restore(*m) for m in made] == [r["text"] for r in raw]
+    assert sum(len(m[0]) for m in made) < 0.95 * sum(len(r["ids"]) for r in raw)
+    # Most entries say of their ids just what these are: composing their own ids gives their text back.
+    some = rows[:: len(rows) // 300]
+    assert all(c.restore(*c.compose(r["token_ids"])) == c.text(r["token_ids"]) for r in some)

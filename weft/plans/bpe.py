@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import itertools
 import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterable
@@ -23,6 +24,8 @@ REMEMBERED = 200_000
 ROUND_PAIRS = 8192
 #: Merges after which the chunk table is written anew.
 WRITTEN = 16
+#: The chunk table: a row for each block of chunks, their ids (32 bits) each ended by -1, and their counts (64 bits).
+STATE = "ids binary, n binary"
 
 
 def chunk_counts(docs: DataFrame, text: str, pattern: str = "isolating") -> DataFrame:
@@ -80,14 +83,19 @@ def train(counted: Iterable[tuple[str, int]], size: int, start: Merges | None =
     return merges
 
 
-def _flat(ids: pa.Array, n: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all chunks in a row, each chunk ended by -1, and the count of each id's chunk."""
-    sizes = np.diff(ids.offsets.to_numpy()) + 1
-    out = np.full(sizes.sum(), -1, np.int64)
-    inside = np.ones(len(out), bool)
-    inside[np.cumsum(sizes) - 1] = False
-    out[inside] = ids.flatten().to_numpy()
-    return out, np.repeat(n.to_numpy(), sizes)
+def _flat(ids: bytes, n: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of a block's chunks in a row, each chunk ended by -1, and at each id the count of its chunk."""
+    out = np.frombuffer(ids, "<i4").astype(np.int64)
+    return out, np.repeat(np.frombuffer(n, "<i8"), np.diff(np.flatnonzero(out < 0), prepend=-1))
+
+
+def _block(ids: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """A row of the chunk table: a block of chunks, without those of one id, which hold no pair."""
+    ends = np.flatnonzero(ids < 0)
+    sizes = np.diff(ends, prepend=-1)
+    keep = np.repeat(sizes > 2, sizes)
+    flat = [ids[keep].astype("<i4").tobytes(), n[ends][sizes > 2].astype("<i8").tobytes()]
+    return pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in flat], names=["ids", "n"])
 
 
 def _apply(ids: np.ndarray, n: np.ndarray, merges: Merges, first: int) -> tuple[np.ndarray, np.ndarray]:
@@ -106,17 +114,14 @@ def _apply(ids: np.ndarray, n: np.ndarray, merges: Merges, first: int) -> tuple[
 
 
 def _rewritten(state: DataFrame, merges: Merges, first: int) -> DataFrame:
-    """The chunk table after `merges`, without the chunks of one id, which hold no pair."""
+    """The chunk table after `merges`."""
 
     def run(batches):
         for b in batches:
-            ids, n = _apply(*_flat(b.column(0), b.column(1)), merges, first)
-            ends = np.flatnonzero(ids < 0)
-            offsets = np.concatenate(([0], np.cumsum(np.diff(ends, prepend=-1) - 1)))
-            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids[ids >= 0], pa.int32()))
-            yield pa.RecordBatch.from_arrays([lists, pa.array(n[ends])], names=["ids", "n"])
+            for ids, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                yield _block(*_apply(*_flat(ids, n), merges, first))
 
-    return state.mapInArrow(run, "ids array<int>, n long").where(F.size("ids") > 1)
+    return state.mapInArrow(run, STATE)
 
 
 def _pair_counts(state: DataFrame, merges: Merges, first: int) -> DataFrame:
@@ -125,10 +130,11 @@ def _pair_counts(state: DataFrame, merges: Merges, first: int) -> DataFrame:
     def run(batches):
         seen = []
         for batch in batches:
-            ids, n = _apply(*_flat(batch.column(0), batch.column(1)), merges, first)
-            ok = (ids[:-1] >= 0) & (ids[1:] >= 0)
-            pairs = pa.table({"p": (ids[:-1] << 32 | ids[1:])[ok], "n": n[:-1][ok]})
-            seen.append(pairs.group_by("p", use_threads=False).aggregate([("n", "sum")]))
+            for block, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                ids, n = _apply(*_flat(block, counts), merges, first)
+                ok = (ids[:-1] >= 0) & (ids[1:] >= 0)
+                pairs = pa.table({"p": (ids[:-1] << 32 | ids[1:])[ok], "n": n[:-1][ok]})
+                seen.append(pairs.group_by("p", use_threads=False).aggregate([("n", "sum")]))
         if seen:
             every = pa.concat_tables(seen).group_by("p", use_threads=False).aggregate([("n_sum", "sum")])
             p = every["p"].to_numpy()
@@ -174,8 +180,8 @@ def trained(counted: DataFrame, size: int, start: Merges | None = None) -> Merge
     def spelled(batches):
         encoder = Encoder(merges)
         for b in batches:
-            ids = [encoder[c] if merges else list(c.encode()) for c in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.list_(pa.int32())), b.column(1)], names=["ids", "n"])
+            ids = [[*(encoder[c] if merges else c.encode()), -1] for c in b.column(0).to_pylist()]
+            yield _block(np.fromiter(itertools.chain.from_iterable(ids), np.int64), np.repeat(b.column(1).to_numpy(), [len(x) for x in ids]))
 
     def remove(path: str) -> None:
         at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -183,11 +189,11 @@ def trained(counted: DataFrame, size: int, start: Merges | None = None) -> Merge
 
     def written(df: DataFrame, name: int) -> DataFrame:
         df.write.parquet(f"{folder}/{name}")
-        return spark.read.schema("ids array<int>, n long").parquet(f"{folder}/{name}")
+        return spark.read.schema(STATE).parquet(f"{folder}/{name}")
 
     try:
         at = len(merges)
-        state = written(counted.select("chunk", "n").mapInArrow(spelled, "ids array<int>, n long").where(F.size("ids") > 1), at)
+        state = written(counted.select("chunk", "n").mapInArrow(spelled, STATE), at)
         while 256 + len(merges) < size:
             if len(merges) - at >= WRITTEN:
                 state = written(_rewritten(state, merges[at:], 256 + at), len(merges))
