@@ -6,6 +6,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from weft.operators import sequences
 from weft.plans import bpe, composition, contextual, ids
 
 NAMES = {
@@ -138,6 +139,20 @@ def test_random_streams_come_back():
     assert changed > 3000
 
 
+def test_sequences_with_rows_are_framed_and_stacked(spark):
+    df = spark.createDataFrame([(1, [5, 6], [[1, 0], [0, 2]]), (2, [], []), (3, [7], [[3, 3]])], "id int, ids array<int>, rows array<array<int>>")
+    a, b = contextual.framed(F.col("ids"), F.col("rows"), (0, 9), 50, 51)
+    framed = df.select("id", a.alias("ids"), b.alias("rows"))
+    assert [tuple(r) for r in framed.orderBy("id").collect()][1:] == [(2, [50, 51], [[0, 9], [0, 9]]), (3, [50, 7, 51], [[0, 9], [3, 3], [0, 9]])]
+    got = {r["id"]: (r["ids"], r["rows"]) for r in sequences.stacked(df, "ids", 4, "rows", [0, 9]).collect()}
+    assert got == {1: ([5, 6], [[1, 0], [0, 2]]), 2: ([4, 4], [[0, 9], [0, 9]]), 3: ([7, 4], [[3, 3], [0, 9]])}
+    with pytest.raises(ValueError):
+        sequences.stacked(df, "ids", 4, "rows")
+    with pytest.raises(Exception, match="as many modifier rows"):
+        sequences.stacked(df.withColumn("rows", F.when(F.col("id") > 1, F.col("rows"))), "ids", 4, "rows", [0, 9]).collect()
+    assert sequences.stacked(df.limit(0), "ids", 4, "rows", [0, 9]).collect() == []
+
+
 def test_rules_recovered_from_ranks():
     merges = bpe.train([("the cat sat", 5), ("that hat", 7), ("aaaa", 3)], 275)
     tokens = bpe.token_bytes(merges)

@@ -14,11 +14,22 @@ def padded(ids: Column, n: int, pad: int = 0) -> Column:
     return F.slice(F.concat(ids, F.array_repeat(F.lit(pad), n)), 1, n)
 
 
-def stacked(df: DataFrame, ids: str, pad: int = 0) -> DataFrame:
-    """Every sequence filled up on the right to the longest one; none loses an element."""
-    longest = df.agg(F.max(F.size(ids)).alias("_longest"))
-    fill = F.array_repeat(F.lit(pad), F.col("_longest") - F.size(ids))
-    return df.crossJoin(F.broadcast(longest)).withColumn(ids, F.concat(ids, fill)).drop("_longest")
+def stacked(df: DataFrame, ids: str, pad: int = 0, rows: str | None = None, default: list[int] | None = None) -> DataFrame:
+    """Every sequence filled up on the right to the longest one; none loses an element.
+
+    `rows` are modifier rows beside the ids, filled up with the default row: to stack them without one, or to give rows
+    for some sequences only or in another number than the ids, is an error.
+    """
+    if rows is not None and default is None:
+        raise ValueError("stacking modifier rows needs the default row")
+    longest = df.agg(F.max(F.size(ids))).first()[0] or 0
+    left = F.lit(longest) - F.size(ids)
+    if rows is not None:
+        same = F.coalesce(F.size(rows) == F.size(ids), F.lit(False))
+        fill = F.array_repeat(F.array(*map(F.lit, default)).cast(df.schema[rows].dataType.elementType), left)
+        checked = F.when(same, F.concat(rows, fill)).otherwise(F.raise_error(F.lit("every sequence needs as many modifier rows as ids")).cast(df.schema[rows].dataType))
+        df = df.withColumn(rows, checked)
+    return df.withColumn(ids, F.concat(ids, F.array_repeat(F.lit(pad), left)))
 
 
 def tail(ids: Column, n: int) -> Column:

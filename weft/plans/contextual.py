@@ -17,7 +17,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.plans.composition import merged_rows
@@ -309,11 +309,13 @@ class Composer:
         return self.meta.surface(e.surface, row)
 
     def length(self, i: int, row: Row) -> int:
-        """Bytes of one token under a row; part of a character counts its own bytes."""
+        """Bytes of one token under a row; part of a character counts its own bytes, but for spaces that the row says."""
         t = self.tokens[i]
         if not t.fragment:
             return len(self.surface(t.text, row).encode())
-        return len(t.bytes) + len(self.meta.surface("x", row).encode()) - 1
+        if row == self.meta.default:
+            return len(t.bytes)
+        return len(t.bytes.lstrip(b" ")) + len(self.meta.surface("x", row).encode()) - 1
 
 
 def component_end(parts: list[bytes]) -> int:
@@ -710,3 +712,24 @@ def restored_text(df: DataFrame, key: str, base_ids: str, rows: str, shared: Sha
             yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(texts, pa.string())], names=[key, *keep, "text"])
 
     return df.select(key, *keep, base_ids, rows).mapInArrow(run, schema)
+
+
+def byte_lengths(df: DataFrame, key: str, base_ids: str, rows: str, shared: Shared, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, kept columns, lengths): the bytes that each base id stands for under its row; parts of a character count their own."""
+    schema = df.select(key, *keep, F.array(F.lit(0)).alias("lengths")).schema
+
+    def run(batches):
+        c = shared.composer()
+        for b in batches:
+            ids, own = b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist()
+            lengths = [[c.length(i, tuple(r)) for i, r in zip(x or [], y or [])] for x, y in zip(ids, own)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(lengths, pa.list_(pa.int32()))], names=[key, *keep, "lengths"])
+
+    return df.select(key, *keep, base_ids, rows).mapInArrow(run, schema)
+
+
+def framed(base_ids: Column, rows: Column, default: Row, before: int | None = None, after: int | None = None) -> tuple[Column, Column]:
+    """(ids, rows) with an id before and behind, under the default row."""
+    one = lambda i: ([F.array(F.lit(i).cast("int"))], [F.array(F.array(*map(F.lit, default)))]) if i is not None else ([], [])
+    (a, x), (b, y) = one(before), one(after)
+    return F.concat(*a, base_ids, *b), F.concat(*x, rows, *y)

@@ -198,6 +198,14 @@ def id_roundtrip(spark, sf_dir):
     return back.select("doc_id", F.md5(F.col("text").cast("binary")).alias("restored"))
 
 
+@query("select doc_id, strlen(coalesce(text, ''))::bigint as bytes from documents")
+def id_bytes(spark, sf_dir):
+    """Bytes of every document, summed over its base ids under their rows."""
+    made, own = _composed(spark, sf_dir)
+    lengths = contextual.byte_lengths(made, "doc_id", "base_ids", "rows", own)
+    return lengths.select("doc_id", F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x).alias("bytes"))
+
+
 @query()
 def id_composition(spark, sf_dir):
     """By language: ids before and after composition, rows that say something, and how often each group does."""
