@@ -355,7 +355,36 @@ def test_packing_plan_holds_every_length():
         for size, k in contents.items():
             back[size] = back.get(size, 0) + k * n
     assert back == histogram
-    assert sum(n for _, n in made) <= 1.002 * sum(s * n for s, n in histogram.items()) / 4096 + 1
+    assert sum(n for _, n in made) <= -(-sum(s * n for s, n in histogram.items()) // 4096) + 1
+    assert share > 0.8
+
+
+@pytest.mark.parametrize("table", ["sf0.001", "sf0.01"])
+def test_packing_meets_the_bound_on_documents(spark, table):
+    """As few sequences as the tokens fill, most pieces placed by the program."""
+    lengths = [r["length"] for r in packing.packed(spark.read.parquet(f"/root/testdata/{table}/documents.parquet")).select("length", "sequence_id").collect()]
+    made, share = packing.plan(dict(Counter(lengths)))
+    assert sum(n for _, n in made) == -(-sum(lengths) // 4096) and share > 0.8
+
+
+def test_packing_plans_of_odd_histograms():
+    rng = random.Random(3)
+    uniform = dict(Counter(rng.randint(1, 4096) for _ in range(4000)))
+    for histogram, most in (({}, 0), ({5: 1}, 1), ({4096: 1000}, 1000), ({2048: 999}, 500), ({3000: 500, 1096: 500, 1097: 20}, 507), ({1: 100_000}, 25), ({1366: 9}, 5), (uniform, 1.05 * sum(s * n for s, n in uniform.items()) / 4096)):
+        made, _ = packing.plan(dict(histogram))
+        back: Counter = Counter()
+        for contents, n in made:
+            assert n > 0 and sum(size * k for size, k in contents.items()) <= 4096
+            for size, k in contents.items():
+                back[size] += k * n
+        assert back == Counter(histogram) and sum(n for _, n in made) <= most
+
+
+def test_quality_brings_bounded_pieces_to_the_driver():
+    long = bytes(range(256)) * 40_000
+    assert len(quality.spread_pieces(long)) == quality.MOST * quality.PIECE
+    assert quality.spread_pieces(long)[: quality.PIECE] == long[: quality.PIECE] and quality.spread_pieces(long)[-quality.PIECE :].rstrip() == long[-(len(long) % quality.PIECE or quality.PIECE) :].rstrip()
+    assert quality.spread_pieces(b"short") == b"short" and quality.spread_pieces(b"") == b""
 
 
 def test_token_counts(docs, empty):

@@ -3,13 +3,18 @@
 A configuration is a multiset of lengths that fits one sequence; the program covers every length's count with as
 few configurations as possible. Lengths are grouped upward to `UNITS` classes for it. It is solved by multiplicative
 weights: each step prices a configuration by a knapsack dynamic program over the current dual weights - a length's
-tokens, discounted by the share of its count that is covered already - and uses it a whole number of times, as often
-as its step allows and the counts that are left bear; so the solution is rounded as it is made, and the counts that
-a rounded step leaves are what the next one prices. Of each of its sequences the program places all but the shortest
-piece; those, and the shortest lengths of all, which it doesn't see, go through best fit on the exact lengths, which
-closes what room the classes leave. Only the histogram (at most `capacity` rows) and the plan come to the driver. The plan's rows grow with the
-number of different lengths and configurations, not with the number of documents; places are dealt to the pieces by
-distributed ranks.
+tokens, more for long ones, discounted by the share of its count that is covered already - and uses it a whole number of times; so the
+solution is rounded as it is made, and the next step prices what is left. A use takes exact lengths of the classes, the
+most plentiful ones, and closes with two that fill the sequence to the last token, or else leave the least room.
+
+The shortest lengths of all, which the program doesn't see, and its last few pieces go through best fit on the exact
+lengths, which closes what room is left. With a price for each length that is its tokens, the dual bound is the number
+of full sequences that the tokens make. A plan above it is mended: the sequences with room, and ever more of
+the full ones with the most pieces, are solved again as a whole, until the bound is met.
+
+Only the histogram (at most `capacity` rows) and the plan come to the driver. The plan's rows grow with the number of
+different lengths and configurations, not with the number of documents; places are dealt to the pieces by distributed
+ranks.
 """
 
 from __future__ import annotations
@@ -30,10 +35,12 @@ CAPACITY = 4096
 END_ID = 1
 #: Words, and parts of words, that a worker remembers the ids of: about 20 MB of each.
 REMEMBERED = 150_000
-#: Classes of lengths in the program, steps of its solution, and the rate at which what is covered loses its weight.
-UNITS, STEPS, RATE = 512, 192, 1.0
-#: Share of the tokens, in the shortest pieces, that the program doesn't see: best fit closes gaps with them.
-SHORT = 0.02
+#: Classes of lengths in the program, steps of its solution, the rate at which what is covered loses its weight, and the
+#: weight that a token of a piece as long as a sequence has above one of a short piece: long ones fit in fewer places.
+UNITS, STEPS, RATE, BIAS = 512, 192, 0.1, 1.0
+#: Share of the tokens, in the shortest pieces, that the program doesn't see: best fit closes gaps with them. It also
+#: gets the share that the program leaves at its end, and a plan is mended by at most one sequence in so many.
+SHORT, TAIL, MENDED = 0.02, 0.005, 2
 #: Rows of a batch that a worker gives back at once.
 ROWS = 4096
 
@@ -154,63 +161,92 @@ def priced(lengths: np.ndarray, counts: np.ndarray, worth: np.ndarray, capacity:
     return out
 
 
-def covered(sizes: np.ndarray, counts: np.ndarray, capacity: int, steps: int) -> list[tuple[np.ndarray, int]]:
-    """Configurations of the classes and how often each is used; no class is used beyond its count.
+def closing(left: np.ndarray, room: int, low: int, high: int) -> tuple[int, int] | None:
+    """Two lengths that are left, one of them between low and high, that fill a room, or else leave least; the most plentiful."""
+    for gap in range(room):
+        a = np.arange(max(1, low), min(high, room - gap - 1) + 1)
+        if not len(a):
+            return None
+        b = room - gap - a
+        both = np.where(a == b, left[a] // 2, np.minimum(left[a], left[b]))
+        i = int(both.argmax())
+        if both[i] > 0:
+            return int(a[i]), int(b[i])
+    return None
 
-    Weights start in proportion to the tokens of a class, so that a size's price is its tokens, and fall with the
-    share of the class that is covered. Steps are equal shares of the tokens, of one use at least; they end with the
-    counts.
+
+def realized(classes: list[int], often: int, left: np.ndarray, unit: int, capacity: int) -> list[tuple[Counter, int]]:
+    """Sequences of exact lengths for so many uses of a configuration, its largest class first; what they take is taken from `left`.
+
+    Uses of the same lengths are one; they end early where a class has run out, since closing takes lengths of any class.
     """
-    left, out = counts.copy(), []
-    step = max(1, int((sizes * counts).sum()) // (capacity * steps))
-    while left.any():
-        some = np.flatnonzero(left)
-        done = 1 - left[some] / counts[some]
-        config = priced(sizes[some], left[some], sizes[some] * np.exp(-RATE * (done - done.min())), capacity)
-        inside = np.flatnonzero(config)
-        n = min(step, int((left[some[inside]] // config[inside]).min()))
-        own = np.zeros(len(sizes), np.int64)
-        own[some] = config
-        left -= n * own
-        out.append((own, n))
+    out: list[tuple[Counter, int]] = []
+    while often:
+        taken: Counter = Counter()
+        for c in classes[:-2] if len(classes) > 1 else classes:
+            low = (c - 1) * unit + 1
+            there = left[low : min(c * unit, capacity) + 1]
+            i = int(there.argmax())
+            if not there[i]:
+                break
+            taken[low + i] += 1
+            there[i] -= 1
+        found = sum(taken.values()) == (len(classes) - 2 if len(classes) > 1 else 1)
+        if found and len(classes) > 1:
+            room = capacity - sum(n * k for n, k in taken.items())
+            # What the classes were rounded up by, in further pieces of the smallest.
+            low = (classes[-1] - 1) * unit + 1
+            n = low + int(left[low : classes[-1] * unit + 1].argmax())
+            k = min(int(left[n]), max(0, room - (classes[-2] + classes[-1]) * unit) // n)
+            if k > 0:
+                taken[n] += k
+                left[n] -= k
+                room -= n * k
+            last = closing(left, room, (classes[-2] - 1) * unit + 1, classes[-2] * unit)
+            found = last is not None
+        for n, k in taken.items():
+            left[n] += k
+        if not found:
+            break
+        if len(classes) > 1:
+            taken.update(last)
+        q = min(often, *(int(left[n]) // k for n, k in taken.items()))
+        for n, k in taken.items():
+            left[n] -= q * k
+        out.append((taken, q))
+        often -= q
     return out
 
 
 def placed(histogram: dict[int, int], capacity: int, steps: int = STEPS) -> list[tuple[Counter, int]]:
-    """Sequences by the program, each with room for the shortest piece of its configuration, in exact lengths."""
+    """Sequences by the program, in exact lengths.
+
+    Weights start in proportion to the tokens of a class, rising for long pieces, and fall with the share of the class
+    that is covered. Steps are equal shares of the tokens, of one use at least; they end when the
+    share `TAIL` of the tokens is left.
+    """
     unit = -(-capacity // UNITS)
-    stock: dict[int, list[list[int]]] = {}  # exact lengths of each class, the longest last
-    short, fill = SHORT * sum(n * k for n, k in histogram.items()), 0
-    for n in sorted(histogram):
-        fill += n * histogram[n]
-        if fill <= short:
-            continue
-        stock.setdefault(-(-n // unit), []).append([n, histogram[n]])
-    sizes = np.array(sorted(stock), np.int64)
-    counts = np.array([sum(k for _, k in stock[int(x)]) for x in sizes], np.int64)
-    out = []
-    for config, often in covered(sizes, counts, capacity // unit, steps):
-        want = [(int(sizes[i]), int(config[i])) for i in np.flatnonzero(config)]
-        if sum(k for _, k in want) > 1:
-            want[0] = (want[0][0], want[0][1] - 1)
-        while often:  # as many sequences at once as have the same exact lengths
-            n, contents = often, Counter()
-            for size, k in want:
-                if k:
-                    have = stock[size][-1][1]
-                    n = min(n, have // k if have >= k else 1)
-            for size, k in want:
-                need = n * k
-                while need:
-                    top = stock[size][-1]
-                    q = min(need, top[1])
-                    contents[top[0]] += q if n == 1 else k
-                    top[1] -= q
-                    need -= q
-                    if not top[1]:
-                        stock[size].pop()
-            out.append((contents, n))
-            often -= n
+    lengths = np.arange(capacity + 1)
+    left = np.zeros(capacity + 1, np.int64)
+    left[list(histogram)] = list(histogram.values())
+    tokens = int((lengths * left).sum())
+    left[np.cumsum(lengths * left) <= SHORT * tokens] = 0
+    classes = -(-lengths // unit)
+    count = lambda: np.bincount(classes, left, UNITS + 1).astype(np.int64)
+    whole = count()
+    step = max(1, tokens // (capacity * steps))
+    out: list[tuple[Counter, int]] = []
+    while (lengths * left).sum() > TAIL * tokens:
+        counts = count()
+        some = np.flatnonzero(counts)
+        done = 1 - counts[some] / whole[some]
+        config = priced(some, counts[some], some * (1 + BIAS * some / (capacity // unit)) * np.exp(-RATE * (done - done.min())), capacity // unit)
+        inside = np.flatnonzero(config)[::-1]
+        often = min(step, int((counts[some[inside]] // config[inside]).min()))
+        made = realized(np.repeat(some[inside], config[inside]).tolist(), often, left, unit, capacity)
+        if not made:
+            break
+        out += made
     return out
 
 
@@ -263,6 +299,30 @@ def best_fit(lengths: np.ndarray, counts: np.ndarray, capacity: int, begun: list
     return out
 
 
+def mended(made: list[tuple[Counter, int]], bound: int, capacity: int) -> tuple[list[tuple[Counter, int]], int]:
+    """(a plan of the same pieces in fewer sequences, if one is found, pieces in sequences that were solved again)."""
+    room = lambda x: capacity - sum(n * k for n, k in x[0].items())
+    every = sum(n for _, n in made)
+    order = sorted(made, key=lambda x: (room(x) == 0, -sum(x[0].values())))
+    some = sum(n for c, n in made if room((c, n)))
+    best, again = made, 0
+    while every > bound and some <= every // MENDED + 64:
+        at = taken = 0
+        pieces: Counter = Counter()
+        while at < len(order) and taken < some:
+            contents, n = order[at]
+            for size, k in contents.items():
+                pieces[size] += n * k
+            taken += n
+            at += 1
+        lengths = np.array(sorted(pieces), np.int64)
+        solved = order[at:] + best_fit(lengths, np.array([pieces[int(x)] for x in lengths]), capacity)
+        if sum(n for _, n in solved) < every:
+            every, best, again = sum(n for _, n in solved), solved, sum(pieces.values())
+        some *= 2
+    return best, again
+
+
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[Counter, int]], float]:
     """(contents, number of such sequences) that hold the whole histogram, and the share of pieces that the program placed."""
     begun = placed(histogram, capacity)
@@ -272,9 +332,10 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tupl
         for size, k in contents.items():
             left[size] -= n * k
     total = sum(histogram.values())
-    share = 1 - int(left.sum()) / total if total else 1.0
     lengths = np.flatnonzero(left)
-    return best_fit(lengths, left[lengths], capacity, begun), share
+    bound = -(-sum(n * k for n, k in histogram.items()) // capacity)
+    out, again = mended(best_fit(lengths, left[lengths], capacity, begun), bound, capacity)
+    return out, 1 - (int(left.sum()) + again) / total if total else 1.0
 
 
 def _places(made: list[tuple[Counter, int]]) -> tuple[np.ndarray, ...]:

@@ -16,9 +16,13 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weft.llm.scratch import Scratch
+
 PIECE = 1024
 LEVEL = 3
 DICTIONARY = 1 << 17
+#: Pieces of a text that go into a dictionary's sample.
+MOST = 16
 #: A text shorter than this counts as this long, so that a few bytes' chance doesn't decide.
 SHORT = 64
 
@@ -77,31 +81,31 @@ class Classifier:
         return float(1 / (1 + math.exp(-min(max(at, -30.0), 30.0))))
 
 
-def fit(good: list[bytes], bad: list[bytes]) -> Classifier | None:
-    """Half of each list makes the dictionaries, the other half calibrates. None if a list is too short to split."""
-    if min(len(good), len(bad)) < 4:
-        return None
+def dictionary(sample: list[bytes]) -> bytes:
+    try:
+        return zstandard.train_dictionary(DICTIONARY, sample).as_bytes()
+    except zstandard.ZstdError:  # too little text to train on: the text itself serves
+        return b"".join(sample)[-DICTIONARY:] or b" " * 8
 
-    def dictionary(texts: list[bytes]) -> bytes:
-        sample = [p for t in texts for p in pieces(t)]
-        try:
-            return zstandard.train_dictionary(DICTIONARY, sample).as_bytes()
-        except zstandard.ZstdError:  # too little text to train on: the text itself serves
-            return b"".join(sample)[-DICTIONARY:] or b" " * 8
 
-    model = Classifier(dictionary(good[::2]), dictionary(bad[::2]))
-    rest = [(t, 1.0) for t in good[1::2]] + [(t, 0.0) for t in bad[1::2]]
-    model.calibrate(np.array([model.features(t) for t, _ in rest]), np.array([y for _, y in rest]))
-    return model
+def spread_pieces(text: bytes) -> bytes:
+    """Up to `MOST` pieces of a text, evenly from its start to its end, as one run of bytes; short texts whole."""
+    n = -(-len(text) // PIECE)
+    if n <= MOST:
+        return text
+    return b"".join(text[i * PIECE : (i + 1) * PIECE].ljust(PIECE) for i in np.linspace(0, n - 1, MOST).astype(int).tolist())
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_class: int = 3000) -> Classifier | None:
-    """Fit on the whole texts of a bounded sample of the labelled rows that aren't held out.
+    """Fit on a bounded sample of the labelled rows that aren't held out; None with fewer than four texts of a class.
 
-    `per_class` labelled ids of each class, chosen by a hash: at most 2 * per_class texts come to the driver, one for
-    each id (of rows that repeat an id, the least text), however large the tables are. Rows with a null id, text or
-    label are not learnt from; an id with both labels is left out.
+    `per_class` labelled ids of each class, chosen by a hash, one text for each id (of rows that repeat an id, the least).
+    Half of them makes the dictionaries, from at most `MOST` pieces of each text, which come to the driver: so many bytes
+    at most, however long the texts are. The other half calibrates: whole texts are compressed on the executors, and
+    three numbers of each come back. Rows with a null id, text or label are not learnt from; an id with both labels is
+    left out.
     """
+    spark, tmp = docs.sparkSession, Scratch(docs.sparkSession, "quality")
     seen = labels.select(F.col(id_col).cast("long").alias("id"), F.col("quality").cast("int").alias("quality"))
     seen = seen.where(F.col("quality").isin(0, 1) & F.col("id").isNotNull() & ~held_out(F.col("id")))
     seen = seen.groupBy("id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most")).where("quality = most").drop("most")
@@ -110,10 +114,32 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     for label in (0, 1):
         one = seen.where(F.col("quality") == label).orderBy(F.xxhash64("id"), "id").limit(per_class)
         chosen = one if chosen is None else chosen.union(one)
-    rows = texts.join(F.broadcast(chosen), "id").groupBy("id", "quality").agg(F.min("text").alias("text"))
+    rows = tmp.keep(texts.join(F.broadcast(chosen), "id").groupBy("id", "quality").agg(F.min("text").alias("text")), "texts")
     # In hash order: whether a text goes to a dictionary or to the calibration has nothing to do with its place.
-    found = sorted(((hash_of(r["id"]), r["id"], r["quality"], r["text"].encode()) for r in rows.toLocalIterator()), key=lambda r: r[:2])
-    return fit([t for _, _, q, t in found if q], [t for _, _, q, t in found if not q])
+    ids = sorted(((hash_of(r["id"]), r["id"], r["quality"]) for r in rows.select("id", "quality").collect()), key=lambda r: r[:2])
+    classes = [[i for _, i, q in ids if q == label] for label in (0, 1)]
+    if min(map(len, classes)) < 4:
+        return None
+    halves = spark.createDataFrame([(i, k % 2) for of in classes for k, i in enumerate(of)], "id long, half int")
+    rows = rows.join(F.broadcast(halves), "id").select("id", "quality", "half", F.col("text").cast("binary").alias("text"))
+
+    def sampled(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([spread_pieces(x) for x in b.column(2).to_pylist()], pa.binary())], names=["id", "quality", "text"])
+
+    found = rows.where("half = 0").select("id", "quality", "text").mapInArrow(sampled, "id long, quality int, text binary")
+    found = sorted(((hash_of(r["id"]), r["id"], r["quality"], bytes(r["text"])) for r in found.toLocalIterator()), key=lambda r: r[:2])
+    bad, good = (dictionary([p for _, _, q, t in found if q == label for p in pieces(t)]) for label in (0, 1))
+    model = Classifier(good, bad)
+
+    def measured(batches):
+        for b in batches:
+            values = [model.features(x) for x in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([list(v) for v in values], pa.list_(pa.float64()))], names=["id", "quality", "x"])
+
+    found = rows.where("half = 1").select("id", "quality", "text").mapInArrow(measured, "id long, quality int, x array<double>").orderBy("id").collect()
+    model.calibrate(np.array([r["x"] for r in found]), np.array([float(r["quality"]) for r in found]))
+    return model
 
 
 def hash_of(i: int) -> int:
