@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from weft.functions import surfaces
 from weft.operators import corpus, metrics
 from weft.plans import bpe, composition, queries, rows
 from weft.sources import corpus as sources
@@ -124,10 +125,14 @@ def test_budget_and_selection(spark):
     df = spark.createDataFrame([(1, "abcd"), (2, ""), (3, "efghij"), (4, "kl"), (5, "m")], "id long, t string")
     assert sorted(r["id"] for r in corpus.within_budget(df, "id", "t", 8, 5, width=2).collect()) == [1, 3]
     assert sorted(r["id"] for r in corpus.within_budget(df, "id", "t", 9, 5, width=2).collect()) == [1, 3, 4]
-    assert df.select(corpus.normalized_list(F.array(F.lit(" By"), F.lit("by"), F.lit(""), F.lit("at")))).first()[0] == ["by", "at"]
+    assert df.select(surfaces.normalized_list(F.array(F.lit(" By"), F.lit("by"), F.lit(""), F.lit("at")))).first()[0] == ["by", "at"]
+    assert [r["n"] for r in corpus.renumbered(df, ["t", "id"], "n").orderBy("id").collect()] == [1, 0, 2, 3, 4]
     tasks = spark.createDataFrame([("SQuAD",), ("PIQA",)], "name string")
     wanted = spark.createDataFrame([(0, "piqa"), (1, "squad"), (2, "PIQA")], "pos int, name string")
     assert [r["name"] for r in corpus.requested(tasks, wanted, "name").orderBy("pos").collect()] == ["PIQA", "SQuAD"]
+    assert [r["name"] for r in corpus.requested(tasks, wanted, "name", spark.createDataFrame([("PiQa",)], "name string")).collect()] == ["SQuAD"]
+    with pytest.raises(Exception, match="unknown task"):
+        corpus.requested(tasks, wanted, "name", spark.createDataFrame([("nope",)], "name string")).collect()
     with pytest.raises(Exception, match="unknown task"):
         corpus.requested(tasks, spark.createDataFrame([(0, "nope")], "pos int, name string"), "name").collect()
 

@@ -64,17 +64,16 @@ def renumbered(df: DataFrame, order: str | list[str], out: str) -> DataFrame:
     return sorted_rows.withColumn("_part", part).join(F.broadcast(before), "_part").select(*df.columns, (F.col("_before") + nth).alias(out))
 
 
-def normalized_list(values: Column) -> Column:
-    """Trimmed, lower-cased, without empties and repeats, in order of first appearance."""
-    return F.array_distinct(F.filter(F.transform(values, lambda v: F.lower(F.trim(v))), lambda v: v != ""))
+def requested(tasks: DataFrame, wanted: DataFrame, name: str, excluded: DataFrame | None = None) -> DataFrame:
+    """Tasks in the order in which they are asked for, whatever the case, each once, but for excluded ones; a name that is unknown, asked for or excluded, is an error."""
 
+    def known(names: DataFrame, *keep) -> DataFrame:
+        asked = names.groupBy(F.lower(F.trim(name)).alias("_k")).agg(*keep)
+        found = asked.join(tasks.withColumn("_k", F.lower(name)), "_k", "left")
+        return found.withColumn(name, F.when(F.col(name).isNull(), F.raise_error(F.concat(F.lit("unknown task: "), F.col("_k")))).otherwise(F.col(name)))
 
-def requested(tasks: DataFrame, wanted: DataFrame, name: str) -> DataFrame:
-    """Tasks in the order in which they are asked for, whatever the case, each once; an unknown name is an error."""
-    asked = wanted.groupBy(F.lower(F.trim(name)).alias("_k")).agg(F.min("pos").alias("pos"))
-    found = asked.join(tasks.withColumn("_k", F.lower(name)), "_k", "left")
-    known = F.when(F.col(name).isNull(), F.raise_error(F.concat(F.lit("unknown task: "), F.col("_k")))).otherwise(F.col(name))
-    return found.withColumn(name, known).drop("_k")
+    found = known(wanted, F.min("pos").alias("pos")).drop("_k")
+    return found if excluded is None else found.join(known(excluded, F.count("*").alias("_n")).select(name), name, "left_anti")
 
 
 def sample_by_hash(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:

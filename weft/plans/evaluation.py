@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weft.functions import affixes, scoring, surfaces
 from weft.functions.literals import PREPOSITIONS
+from weft.operators import corpus as preparation
 from weft.operators import evaluation, metrics, sequences
 from weft.plans import metadata
 from weft.plans import queries as core
@@ -388,13 +389,14 @@ def preposition_profiles(spark, sf_dir):
 
 
 @query("""with c as (select doc_id, source, lang from documents), asked(pos, source) as (select row_number() over (order by length(source), source) - 1, source from (select distinct source from documents where source is not null))
-select pos, lower(a.source) as source, count(*) as n from asked a join c on lower(c.source) = lower(a.source) where c.lang <> 'de' group by all""")
+select pos, lower(a.source) as source, count(*) as n from asked a join c on lower(c.source) = lower(a.source) where c.lang <> 'de' and pos <> 2 group by all""")
 def chosen_sources(spark, sf_dir):
-    """Documents of the asked sources, whatever the case they are asked in, but for one language."""
+    """Documents of the sources that are asked for, whatever the case, without the third, and of all languages but one."""
     d = _documents(spark, sf_dir)
-    names = [r[0] for r in d.where("source is not null").select("source").distinct().orderBy(F.length("source"), "source").collect()]
-    asked = spark.createDataFrame([(i, x.upper()) for i, x in enumerate(names)], "pos long, name string")
-    hit = d.where("lang <> 'de'").join(F.broadcast(asked), F.lower("source") == F.lower("name"))
+    sources = d.where("source is not null").select(F.col("source").alias("name")).distinct()
+    asked = preparation.renumbered(sources.withColumn("size", F.length("name")), ["size", "name"], "pos").select("pos", F.upper("name").alias("name"))
+    chosen = preparation.requested(sources, asked, "name", asked.where("pos = 2"))
+    hit = d.where("lang <> 'de'").join(chosen, F.lower("source") == F.lower("name"))
     return hit.groupBy("pos", F.lower("source").alias("source")).agg(F.count("*").alias("n"))
 
 
