@@ -31,7 +31,10 @@ LITERALS = {
     "postposition": (("postpositions",), ("postp_",)),
     "prefix": (("prefix_punctuation",), ("punct_prefix_",)),
     "suffix": (("suffix_punctuation",), ("punct_suffix_",)),
+    "possessive": (("possessives",), ("poss_",)),
 }
+#: Apostrophes that make a possessive only after an s and before a word.
+BARE_APOSTROPHES = ("'", "\u2019")
 #: Groups that go to the first token of several; the others go to the last.
 FIRST_GROUPS = (
     "space_prefix", "base_capitalization", "determiners", "pronouns", "articles", "article_det", "article_space_prefix",
@@ -140,6 +143,7 @@ class Metadata:
         for kind, group in CAPITAL_OF.items():
             if self.says(row, group):
                 words[kind] = _first_letter(words[kind], str.upper)
+        out += words["possessive"]
         out = " ".join(filter(None, (words["preposition"], words["pronoun"], words["determiner"], out, words["postposition"])))
         out = words["prefix"] + out + words["suffix"]
         return f" {out}" if self.says(row, "space_prefix") and out and not out[0].isspace() else out
@@ -217,7 +221,7 @@ class Composer:
         self.space, self.cap = metadata.at.get("space_prefix"), metadata.at.get("base_capitalization")
         self.suffixes = metadata.at.get("suffix_punctuation")
         self.detached = [metadata.at[g] for g in DETACHED_GROUPS if g in metadata.at]
-        self.marks = {x.lower() for kind in ("prefix", "suffix") for x in metadata.literals[kind]}
+        self.marks = {x.lower() for kind in ("prefix", "suffix", "possessive") for x in metadata.literals[kind]}
         #: Postpositions by their words, and those of one word.
         self.after = Tries((x.split(" "), found) for x, found in metadata.literals["postposition"].items())
         self.single_after = {x for x in metadata.literals["postposition"] if " " not in x}
@@ -242,8 +246,15 @@ class Composer:
 
     def compose(self, ids: list[int]) -> tuple[list[int], list[Row]]:
         """Base ids and rows; ids as they are, with default rows, where those would not give back the same text."""
+        made = self.composed(ids)
+        if self.restore(*made) != self.text(ids):
+            return list(ids), [self.meta.default] * len(ids)
+        return made
+
+    def composed(self, ids: list[int]) -> tuple[list[int], list[Row]]:
+        """Base ids and rows as the rules make them."""
         s = _Stream(self, ids)
-        words, marks = (s.function_word, s.entry, s.title, s.literal), (s.suffix, s.opening, s.function_word, s.entry, s.title, s.literal)
+        words, marks = (s.function_word, s.entry, s.title, s.literal), (s.possessive, s.suffix, s.opening, s.function_word, s.entry, s.title, s.literal)
         while s.i < s.n:
             t = s.t[s.i]
             if t.odd:
@@ -259,8 +270,6 @@ class Composer:
                 if self.after.edges:
                     s.postposition()
         s.flush()
-        if self.restore(s.ids, s.rows) != self.text(ids):
-            return list(ids), [self.meta.default] * len(ids)
         return s.ids, s.rows
 
     # --- and back
@@ -475,6 +484,25 @@ class _Stream:
 
     # Rules; each says whether it has dealt with the place
 
+    def possessive(self) -> bool:
+        """A possessive right after a word joins its row; a bare apostrophe is one after an s if another word follows behind a space."""
+        i, t = self.i, self.t[self.i]
+        known = self.c.meta.literals["possessive"].get(t.text)
+        if known is None or not self.rows or not self.open or self.taken or i == 0 or not self.word[i - 1] or self.joins[i + 1]:
+            return False
+        row, default = self.rows[-1], self.c.meta.default
+        closed = (known[0], self.c.suffixes, self.c.meta.at.get("postpositions"))
+        if any(g is not None and row[g] != default[g] for g in closed):
+            return False
+        if t.text in BARE_APOSTROPHES:
+            after = i + 1 if i + 1 == self.n or self.t[i + 1].text != " " else i + 2
+            apart = after == i + 2 or (after < self.n and self.t[after].space)
+            if self.t[i - 1].text[-1:].lower() != "s" or after >= self.n or not apart or not self.word[after]:
+                return False
+        self.rows[-1] = self.row(known, over=row)
+        self.i += 1
+        return True
+
     def suffix(self) -> bool:
         """A mark right after a word joins its row, if spelled as the metadata spells it; of marks in one token the first."""
         i, t, g = self.i, self.t[self.i], self.c.suffixes
