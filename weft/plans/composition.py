@@ -167,12 +167,6 @@ def composed(docs: DataFrame, key: str, text: str, keep: tuple[str, ...] = ()) -
     return docs.select(key, *keep, text).mapInArrow(run, schema)
 
 
-def modifier_values(spark) -> DataFrame:
-    """The groups' values as a dimension table."""
-    rows = [(g, name, i, v) for g, (name, values) in enumerate(GROUPS) for i, v in enumerate(values)]
-    return spark.createDataFrame(rows, "group_idx int, group string, rel_idx int, value string")
-
-
 def global_index(rel: Column, sizes=SIZES):
     """Group-relative values as places in one vector over all groups."""
     starts = [sum(sizes[:g]) for g in range(len(sizes))]

@@ -377,15 +377,22 @@ def variant_owners(spark, sf_dir):
     return evaluation.with_owner(_surfaces(spark, sf_dir).select(F.col("word").alias("variant")), owners, "variant", "owner")
 
 
-_LISTS = [*PREPOSITIONS.items(), ("reversed", PREPOSITIONS["core"][::-1]), ("spaced", tuple(f" {x.upper()} " for x in PREPOSITIONS["expanded"]) + ("at", "")), ("short", PREPOSITIONS["core"][1:])]
+def _profile_sql(words: str) -> str:
+    return "case " + " ".join(f"when {words} = list_sort([{', '.join(map(_quoted, x))}]) then '{n}'" for n, x in PREPOSITIONS.items()) + " else 'custom' end"
 
 
-@query("with n(name, profile, n) as (values " + ", ".join(f"('{n}', '{p}', {k}::bigint)" for n, p, k in (("core", "core", 9), ("expanded", "expanded", 24), ("full", "full", 45), ("reversed", "core", 9), ("spaced", "expanded", 24), ("short", "custom", 8))) + ") select * from n")
+@query(f"""with {SURFACES}, k(kind, word) as (values {", ".join(f"('{n}', {_quoted(w)})" for n, x in PREPOSITIONS.items() for w in x)}),
+s as (select word, d.lang from (select distinct lower(w) as word, doc_id from (select doc_id, unnest(string_split_regex(text, '[ \\n]+')) as w from documents)) o join documents d using (doc_id)),
+g as (select coalesce(lang, 'und') as lang, kind, list_sort(list(distinct word)) as w from s join k using (word) group by all)
+select lang, kind, {_profile_sql('w')} as profile, len(w) as n from g union all select 'all', kind, {_profile_sql('w')}, len(w) from (select kind, list_sort(list(distinct word)) as w from s join k using (word) group by kind)""")
 def preposition_profiles(spark, sf_dir):
-    """The profiles that lists of prepositions are, however they are written."""
-    df = spark.createDataFrame([(n, list(x)) for n, x in _LISTS], "name string, words array<string>")
-    words = surfaces.normalized_list(F.col("words"))
-    return df.select("name", surfaces.preposition_profile(words).alias("profile"), F.size(words).cast("long").alias("n"))
+    """The profile that each profile's words are which a language's documents use, and those of all documents."""
+    known = spark.createDataFrame([(n, w) for n, x in PREPOSITIONS.items() for w in x], "kind string, word string")
+    used = _documents(spark, sf_dir).select(F.coalesce("lang", F.lit("und")).alias("lang"), F.explode(F.split(F.lower("text"), "[ \n]+")).alias("word"))
+    used = used.join(F.broadcast(known), "word").select("kind", F.explode(F.array("lang", F.lit("all"))).alias("lang"), F.concat(F.lit(" "), F.upper("word")).alias("word"))
+    words = surfaces.normalized_list(F.array_sort(F.collect_set("word")))
+    lists = used.groupBy("lang", "kind").agg(words.alias("words"))
+    return lists.select("lang", "kind", surfaces.preposition_profile(F.col("words")).alias("profile"), F.size("words").cast("long").alias("n"))
 
 
 @query("""with c as (select doc_id, source, lang from documents), asked(pos, source) as (select row_number() over (order by length(source), source) - 1, source from (select distinct source from documents where source is not null))
@@ -408,11 +415,15 @@ def surface_bytes(spark, sf_dir):
     return w.select("word", F.size(F.filter(row, lambda v: v > 0)).alias("groups") + 1, F.octet_length("word").cast("long").alias("plain"), (F.octet_length("word") + metadata.utf8_delta(row)).cast("long").alias("dressed")).toDF("word", "groups", "plain", "dressed")
 
 
-@query("""with b as (select range as byte from range(256)) select byte, case when byte between 33 and 126 or byte between 161 and 172 or byte >= 174 then chr(byte::int)
-else chr((256 + (select count(*) from range(256) r(x) where x < byte and not (x between 33 and 126 or x between 161 and 172 or x >= 174)))::int) end as shown from b""")
+@query(f"""with {SURFACES}, b as (select ('0x' || unnest(regexp_extract_all(hex(encode(word)), '..')))::bigint as byte, n from surfaces)
+select byte, case when byte between 33 and 126 or byte between 161 and 172 or byte >= 174 then chr(byte::int)
+else chr((256 + (select count(*) from range(256) r(x) where x < byte and not (x between 33 and 126 or x between 161 and 172 or x >= 174)))::int) end as shown, sum(n)::bigint as n from b group by byte""")
 def byte_alphabet(spark, sf_dir):
-    """The printable stand-ins of all bytes."""
-    return spark.createDataFrame(sorted(metadata.byte_alphabet().items()), "byte long, shown string")
+    """The printable stand-ins of the bytes of all words, with how often each occurs."""
+    shown = spark.createDataFrame(sorted(metadata.byte_alphabet().items()), "byte long, shown string")
+    each = F.expr("transform(sequence(1, octet_length(word)), i -> cast(conv(substring(hex(word), 2 * i - 1, 2), 16, 10) as long))")
+    used = _surfaces(spark, sf_dir).select(F.explode(each).alias("byte"), "n").groupBy("byte").agg(F.sum("n").alias("n"))
+    return used.join(F.broadcast(shown), "byte").select("byte", "shown", "n")
 
 
 @query("""with m as (select doc_id, length(text) as n, row_number() over (order by doc_id) - 1 as step from documents)

@@ -291,13 +291,14 @@ def stop_strings(spark, sf_dir):
     return c.select("conv_id", "turn", F.md5(scoring.cut_at_stops(F.col("text"), [". ", "\n"]).cast("binary")).alias("cut"))
 
 
-@query("""with g as (select n, c, k from range(1, 21) a(n), range(0, 21) b(c), range(1, 11) d(k) where c <= n)
-select n, c, k, round(case when c <= 0 then 0.0 when n - c < k then 1.0 else
+@query("""with g as (select o_custkey, n, c, unnest([1, 5, 10]) as k from (select o_custkey, count(*) as n, count(*) filter (where o_orderstatus = 'F') as c from orders group by o_custkey))
+select o_custkey, n, c, k::bigint as k, round(case when c <= 0 then 0.0 when n - c < k then 1.0 else
  1 - list_product(list_transform(range(n - c + 1, n + 1), lambda i: 1.0::double - k::double / i)) end, 9) as pass from g""")
 def pass_at_k(spark, sf_dir):
-    """The estimator on a grid."""
-    g = spark.range(1, 21).toDF("n").join(spark.range(0, 21).toDF("c"), F.col("c") <= F.col("n")).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(10)).cast("array<long>")))
-    return g.select("n", "c", "k", F.round(scoring.pass_at_k(F.col("n"), F.col("c"), F.col("k")), 9).alias("pass"))
+    """The estimator over the orders of every customer, finished ones as right samples."""
+    o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("c"))
+    g = o.withColumn("k", F.explode(F.array(*(F.lit(k).cast("long") for k in (1, 5, 10)))))
+    return g.select("o_custkey", "n", "c", "k", F.round(scoring.pass_at_k(F.col("n"), F.col("c"), F.col("k")), 9).alias("pass"))
 
 
 #: Losses that SQL can make again: of each position of each document's words.
@@ -341,25 +342,29 @@ def choice_by_loss(spark, sf_dir):
     return metrics.best_choice(m, ["doc_id"], "pred", "l")
 
 
-_TASKS = [("arc", "reasoning", 0.61, 25.0), ("boolq", "reading", 0.72, 50.0), ("squad", "reading", 0.41, 0.0), ("lambada", "language", 0.55, 0.0), ("piqa", "reasoning", 0.74, 50.0)]
-_TASK_SQL = "tasks(task, category, score, baseline) as (values " + ", ".join(f"('{t}', '{c}', {s}::double, {b}::double)" for t, c, s, b in _TASKS) + ")"
+_TASK_SQL = """tasks as (select coalesce(source, 'none') || '/' || coalesce(lang, 'none') as task, coalesce(lang, 'none') as category, avg(quality)::double as score, case when length(coalesce(source, 'none')) % 2 = 0 then 25.0 else 0.0 end::double as baseline
+from documents join labels using (doc_id) group by source, lang)"""
 
 
-def _tasks(spark):
-    return spark.createDataFrame(_TASKS, "task string, category string, score double, baseline double")
+def _tasks(spark, sf_dir):
+    """Tasks as an evaluation gives them: the share of good documents of each source and language, against a baseline."""
+    d = _documents(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id")
+    name, lang = F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none"))
+    d = d.groupBy(name.alias("s"), lang.alias("category")).agg(F.avg("quality").alias("score"))
+    return d.select(F.concat("s", F.lit("/"), "category").alias("task"), "category", "score", F.when(F.length("s") % 2 == 0, 25.0).otherwise(0.0).alias("baseline"))
 
 
 @query(f"with {_TASK_SQL} select task, round((score - 0.01 * baseline) / (1 - 0.01 * baseline), 9) as centered from tasks union all select 'CORE', round(avg((score - 0.01 * baseline) / (1 - 0.01 * baseline)), 9) from tasks")
 def core_centered(spark, sf_dir):
-    """Centred scores of a fixed task table and their mean."""
-    t = metrics.centered(_tasks(spark), "score", "baseline")
-    return t.select("task", F.round("centered", 9).alias("centered")).union(metrics.composite(_tasks(spark), "score", "baseline").select(F.lit("CORE"), F.round("core", 9)))
+    """Centred scores of the tasks and their mean."""
+    t = metrics.centered(_tasks(spark, sf_dir), "score", "baseline")
+    return t.select("task", F.round("centered", 9).alias("centered")).union(metrics.composite(_tasks(spark, sf_dir), "score", "baseline").select(F.lit("CORE"), F.round("core", 9)))
 
 
 @query(f"with {_TASK_SQL} select category, round(avg(score), 9) as score, count(*) as n_tasks from tasks group by category")
 def downstream_mean(spark, sf_dir):
-    """Mean score of each category of a fixed task table."""
-    return metrics.by_category(_tasks(spark), "category", "score").withColumn("score", F.round("score", 9))
+    """Mean score of each category of the tasks."""
+    return metrics.by_category(_tasks(spark, sf_dir), "category", "score").withColumn("score", F.round("score", 9))
 
 
 @query("""with l as (select vec_id, unnest(embedding)::double as logit, generate_subscripts(embedding, 1) - 1 as token from embeddings),
@@ -374,12 +379,12 @@ def topk_topp_keep_set(spark, sf_dir):
     return k.groupBy("vec_id").agg(F.count("*").alias("kept"), F.sum("token").alias("token_sum"))
 
 
-@query("""select s as step, round(case when s < 40 then (s + 1) / 40.0::double when s <= 600 then 1.0 else (1000 - s) / 400.0::double + (1 - (1000 - s) / 400.0::double) * 0.1 end, 9) as rate,
-round(case when s < 400 then (1 - s / 400.0::double) * 0.85 + s / 400.0::double * 0.97 when s >= 600 then 0.97 * (1 - (s - 600) / 400.0::double) + 0.9 * (s - 600) / 400.0::double else 0.97 end, 9) as momentum from range(1000) r(s)""")
+@query("""select doc_id, round(case when s < 40 then (s + 1) / 40.0::double when s <= 600 then 1.0 else (1000 - s) / 400.0::double + (1 - (1000 - s) / 400.0::double) * 0.1 end, 9) as rate,
+round(case when s < 400 then (1 - s / 400.0::double) * 0.85 + s / 400.0::double * 0.97 when s >= 600 then 0.97 * (1 - (s - 600) / 400.0::double) + 0.9 * (s - 600) / 400.0::double else 0.97 end, 9) as momentum from (select doc_id, doc_id % 1000 as s from documents)""")
 def schedules(spark, sf_dir):
-    """Learning-rate multiplier and momentum of a thousand steps."""
-    s = spark.range(1000).toDF("step")
-    return s.select("step", F.round(metrics.rate_multiplier(F.col("step"), 1000, 40, 400, 0.1), 9).alias("rate"), F.round(metrics.momentum(F.col("step"), 1000, 400, 0.9), 9).alias("momentum"))
+    """Learning-rate multiplier and momentum at the step at which each document comes, of a thousand."""
+    s = _documents(spark, sf_dir).select("doc_id", (F.col("doc_id") % 1000).alias("step"))
+    return s.select("doc_id", F.round(metrics.rate_multiplier(F.col("step"), 1000, 40, 400, 0.1), 9).alias("rate"), F.round(metrics.momentum(F.col("step"), 1000, 400, 0.9), 9).alias("momentum"))
 
 
 @query("select conv_id, turn, min(length(text)) over (partition by conv_id order by turn) as least from conversations")
@@ -502,15 +507,19 @@ def few_shot_samples(spark, sf_dir):
     return sequences.few_shots(c, "role", "i", 4)
 
 
-_DELTA_ROWS = [(g, i, len(v.encode()) + (1 if v and g in (2, 4) else 0)) for g in (2, 4, 6, 7) for i, v in enumerate(composition.GROUPS[g][1])]
+def _literal_sql(group: int, step: int) -> str:
+    values = composition.GROUPS[group][1]
+    return f"[{', '.join(map(_quoted, values))}][(first_doc * {step} + length(word)) % {len(values)} + 1]"
 
 
-@query("select * from (values " + ", ".join(map(str, _DELTA_ROWS)) + ") v(group_idx, rel_idx, delta)")
+@query(f"""with {SURFACES}, w as (select word, {_literal_sql(2, 3)} as det, {_literal_sql(4, 5)} as prep, {_literal_sql(6, 7)} as prefix, {_literal_sql(7, 11)} as suffix, length(word) % 2 as space from surfaces)
+select word, (strlen(repeat(' ', space::int) || prefix || case when prep <> '' then prep || ' ' else '' end || case when det <> '' then det || ' ' else '' end || word || suffix) - strlen(word))::bigint as delta from w""")
 def modifier_bytes(spark, sf_dir):
-    """Bytes that each literal of each group adds."""
-    d = composition.modifier_values(spark).where(F.col("group_idx").isin(2, 4, 6, 7))
-    row = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda g: F.when(g == F.col("group_idx"), F.col("rel_idx")).otherwise(0))
-    return d.select("group_idx", "rel_idx", metadata.utf8_delta(row).alias("delta"))
+    """Bytes that modifiers of every group, in all combinations of their values, add to the words of the corpus."""
+    w = _surfaces(spark, sf_dir)
+    value = lambda g, step: ((F.col("first_doc") * step + F.length("word")) % len(composition.GROUPS[g][1])).cast("int")
+    row = F.array(F.length("word") % 2, F.lit(0), value(2, 3), F.lit(0), value(4, 5), F.lit(0), value(6, 7), value(7, 11))
+    return w.select("word", metadata.utf8_delta(row).cast("long").alias("delta"))
 
 
 #: Vocabulary size of the small tokenizer that the queries train.
