@@ -75,6 +75,14 @@ def keep_set(df: DataFrame, row: str, token: str, logit: str, k: int, p: float,
     return kept.select(row, token, (F.col("_p") / F.sum("_p").over(w)).alias("probability"))
 
 
+def drawn(kept: DataFrame, row: str, token: str, chance: Column) -> DataFrame:
+    """(row, token): of the tokens that are kept, in the order of their probability, the first at which these sum to more than a number from 0 to 1, the last if none does."""
+    order = Window.partitionBy(row).orderBy(F.desc("probability"), token)
+    upto = kept.withColumn("_upto", F.sum("probability").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("_n", F.row_number().over(order))
+    first = F.min(F.when(F.col("_upto") > chance, F.struct(F.col("_n").alias("n"), F.col(token).alias("t"))))
+    return upto.groupBy(row).agg(F.coalesce(first, F.max(F.struct(F.col("_n").alias("n"), F.col(token).alias("t"))))["t"].alias(token))
+
+
 def debiased_average(df: DataFrame, step: str, value: str, decay: float = 0.9) -> DataFrame:
     """Exponential mean of values in the order of their steps, freed of its start at 0: a sum of weights that fall with the distance from the last."""
     ranked = renumbered(df.select(step, value), [step, value], "_rank")

@@ -21,7 +21,7 @@ Merges = list[tuple[int, int]]
 #: Chunks that a worker remembers the ids of.
 REMEMBERED = 200_000
 #: Pairs that a round of training brings to the driver; those after them are bounded by the last.
-ROUND_PAIRS = 8192
+ROUND_PAIRS = 2048
 #: Merges after which the chunk table is written anew.
 WRITTEN = 16
 #: The chunk table: a row for each block of chunks, their ids (32 bits) each ended by -1, and their counts (64 bits).

@@ -379,6 +379,19 @@ def topk_topp_keep_set(spark, sf_dir):
     return k.groupBy("vec_id").agg(F.count("*").alias("kept"), F.sum("token").alias("token_sum"))
 
 
+@query("""with l as (select vec_id, unnest(embedding)::double as logit, generate_subscripts(embedding, 1) - 1 as token from embeddings),
+r as (select *, row_number() over (partition by vec_id order by logit desc, token) as n from l), t as (select * from r where n <= 20),
+e as (select *, exp((logit - max(logit) over (partition by vec_id)) / 0.1) as e from t), p as (select *, e / sum(e) over (partition by vec_id) as p from e),
+c as (select *, sum(p) over (partition by vec_id order by n rows unbounded preceding) as c from p), k as (select * from c where n = 1 or c <= 0.9),
+q as (select *, p / sum(p) over (partition by vec_id) as share from k), u as (select *, sum(share) over (partition by vec_id order by n rows unbounded preceding) as upto, ((vec_id * 37) % 100)::double / 100 + 0.005 as chance from q)
+select vec_id, coalesce(arg_min(token, n) filter (where upto > chance), arg_max(token, n)) as token from u group by vec_id""")
+def drawn_tokens(spark, sf_dir):
+    """The token that is drawn for each vector, read as logits, from what top-k and top-p leave, by a chance that its id gives."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("token", "logit")).withColumn("logit", F.col("logit").cast("double"))
+    k = metrics.keep_set(e, "vec_id", "token", "logit", 20, 0.9, 0.1)
+    return metrics.drawn(k, "vec_id", "token", (F.col("vec_id") * 37 % 100) / 100.0 + 0.005)
+
+
 @query("""select doc_id, round(case when s < 40 then (s + 1) / 40.0::double when s <= 600 then 1.0 else (1000 - s) / 400.0::double + (1 - (1000 - s) / 400.0::double) * 0.1 end, 9) as rate,
 round(case when s < 400 then (1 - s / 400.0::double) * 0.85 + s / 400.0::double * 0.97 when s >= 600 then 0.97 * (1 - (s - 600) / 400.0::double) + 0.9 * (s - 600) / 400.0::double else 0.97 end, 9) as momentum from (select doc_id, doc_id % 1000 as s from documents)""")
 def schedules(spark, sf_dir):

@@ -212,7 +212,7 @@ def vocabulary_entries(spark, sf_dir):
     encode = vocabulary.by_vocabulary(v, vocabulary._halves)
     owners = v.select(F.col("surface").alias("variant"), F.lower("surface").alias("owner")).where("variant <> owner")
     single = lambda df: df.where((F.size("token_ids") == 1) & (F.col("token_ids")[0] >= 0)).select("token_ids", "base_ids")
-    found = vocabulary.candidates(v, encode).select(F.col("variant_ids").alias("token_ids"), "base_ids")
+    found = vocabulary.candidates(v, encode, vocabulary.SPECIAL).select(F.col("variant_ids").alias("token_ids"), "base_ids")
     every = metadata.passes([single(found), single(vocabulary.affix_entries(v, encode, owners)), single(vocabulary.capital_aliases(v))], ["token_ids"])
     return every.select(F.col("token_ids")[0].alias("token_id"), "base_ids")
 

@@ -197,7 +197,7 @@ def _halves(text: Column) -> Column:
     return F.array(F.lit(-1).cast("long"), -F.length(text).cast("long"))
 
 
-_CANDIDATES = f"""{VOCABULARY}, k0 as (select id, ltrim(surface, ' ') as b from vocabulary where ltrim(surface, ' ') <> ''),
+_CANDIDATES = f"""{VOCABULARY}, k0 as (select id, ltrim(surface, ' ') as b from vocabulary where ltrim(surface, ' ') <> '' and surface not in ('The', 'A')),
 keyed as (select id, case when regexp_matches(b, '\\p{{L}}') and not regexp_matches(b, '[\\p{{Ll}}\\p{{Lt}}\\p{{Lm}}\\p{{Lo}}]') then b else lower(b) end as base_key from k0),
 bases as (select base_key, min(id) as first_id from keyed group by base_key),
 named as (select b.*, coalesce(v1.id, v2.id, v3.id, v4.id) as one from bases b left join vocabulary v1 on v1.surface = base_key left join vocabulary v2 on v2.surface = ' ' || base_key
@@ -220,9 +220,13 @@ def _candidate_sql() -> str:
     return _CANDIDATES.replace("{state}", _STATE.replace("base)", "base_key)").replace("(base,", "(base_key,"))
 
 
+#: Tokens that the queries set apart as special ones.
+SPECIAL = ("The", "A")
+
+
 def _found(spark, sf_dir):
     v = _tokens(spark, sf_dir)
-    return candidates(v, by_vocabulary(v, _halves))
+    return candidates(v, by_vocabulary(v, _halves), SPECIAL)
 
 
 @query(f"with {_candidate_sql()} select base_key, base_ids, base_rank, variant, array_to_string(transforms, '|') as transforms, variant_ids from found")
@@ -244,7 +248,7 @@ def space_cap_pass(spark, sf_dir):
     """Candidates as entries, but for tokens that an earlier pass has (every third)."""
     v = _tokens(spark, sf_dir)
     existing = v.where("id % 3 = 0").select(F.array("id").alias("token_ids"))
-    return space_cap_entries(candidates(v, by_vocabulary(v, _halves)), existing).withColumn("transforms", F.array_join("transforms", "|"))
+    return space_cap_entries(candidates(v, by_vocabulary(v, _halves), SPECIAL), existing).withColumn("transforms", F.array_join("transforms", "|"))
 
 
 @query(f"with {_candidate_sql()} select base_rank, count(distinct variant) as n, md5(string_agg(distinct variant, '|' order by variant)) as variants from found group by base_rank")
