@@ -70,7 +70,8 @@ def test_surfaces_of_one_base_and_modifiers_collide(spark, tmp_path):
     texts = ["iPhone\nipHone\niphone\nThe Dog.\nthe Dog.\nof the \u00e9TaT\nof the \u00c9taT", f"{start}aBc", f"{start}abC", None]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {(r["base_key"], r["prep"], r["article"], r["suffix_punct"], r["n"], r["first"]) for r in queries.surface_collisions(spark, str(tmp_path)).collect()}
-    want = {("iphone", None, None, None, 2, "iPhone"), (f"{start}abc", None, None, None, 2, f"{start}aBc")}
+    # The query also gives the small-letter word a capital at its third and at its fourth letter: ipHone is there already.
+    want = {("iphone", None, None, None, 3, "iPhone"), (f"{start}abc", None, None, None, 2, f"{start}aBc")}
     # As a phrase and as the words of its own: the phrases with "of the", the single words without.
     want |= {("\u00e9tat", "of", "the", None, 2, "of the \u00c9taT"), ("\u00e9tat", None, None, None, 2, "\u00c9taT")}
     assert got == want
