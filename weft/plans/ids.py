@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from weft.functions.text import pretokens
 from weft.plans import bpe, composition, contextual, metadata, vocabulary
 from weft.plans.queries import table
-from weft.sources.shared import Tables
+from weft.sources.shared import Tables, spread
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -185,7 +185,7 @@ def shared(spark: SparkSession, path: str | None = None) -> tuple[contextual.Sha
 
 def _composed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, contextual.Shared]:
     own, merges = shared(spark)
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
     ids = bpe.encoded(docs, "doc_id", "text", merges, PATTERN, ("lang",))
     return contextual.composed_ids(ids.withColumn("raw", F.size("ids")), "doc_id", "ids", own, ("lang", "raw")), own
 

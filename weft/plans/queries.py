@@ -10,7 +10,7 @@ from weft.functions import affixes, scoring, text
 from weft.functions.literals import APOSTROPHES, ARTICLES, ASCII_PUNCTUATION, POSSESSIVE_DETERMINERS, PREFIX_PUNCTUATION, PREPOSITIONS, WORD
 from weft.operators import corpus, metrics, sequences
 from weft.plans import bpe, composition, metadata, rows
-from weft.sources.shared import Tables
+from weft.sources.shared import Tables, spread
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -546,7 +546,7 @@ def _trained(spark, sf_dir):
 @query()
 def bpe_encode_counts(spark, sf_dir):
     """Tokens and bytes per token of each language under a vocabulary trained on the corpus."""
-    d = _documents(spark, sf_dir).withColumn("bytes", F.octet_length("text"))
+    d = spread(_documents(spark, sf_dir)).withColumn("bytes", F.octet_length("text"))
     e = bpe.encoded(d, "doc_id", "text", _trained(spark, sf_dir), keep=("lang", "bytes"))
     return e.groupBy("lang").agg(F.sum("bytes").alias("bytes"), F.sum(F.size("ids")).alias("tokens")).withColumn("bytes_per_token", F.try_divide("bytes", "tokens"))
 
@@ -555,27 +555,27 @@ def bpe_encode_counts(spark, sf_dir):
 def bpe_roundtrip(spark, sf_dir):
     """Digest of every document, encoded and decoded."""
     m = _trained(spark, sf_dir)
-    out = bpe.decoded(bpe.encoded(_documents(spark, sf_dir), "doc_id", "text", m), "doc_id", "ids", m)
+    out = bpe.decoded(bpe.encoded(spread(_documents(spark, sf_dir)), "doc_id", "text", m), "doc_id", "ids", m)
     return out.select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
 @query("select doc_id, true as same, length(text) > 0 as some from documents")
 def compose_identity(spark, sf_dir):
     """Whether every document is its units' surfaces, end to end, and has any unit."""
-    c = composition.composed(_documents(spark, sf_dir), "doc_id", "text")
+    c = composition.composed(spread(_documents(spark, sf_dir)), "doc_id", "text")
     return c.select("doc_id", F.col("round_trip").alias("same"), (F.col("n_units") > 0).alias("some"))
 
 
 @query()
 def compose_roundtrip(spark, sf_dir):
     """Units of every document as words and modifiers, and whether they decode to it."""
-    return composition.composed(_documents(spark, sf_dir), "doc_id", "text").drop("usage")
+    return composition.composed(spread(_documents(spark, sf_dir)), "doc_id", "text").drop("usage")
 
 
 @query()
 def compression_stats(spark, sf_dir):
     """Positions with and without composition, and how often each group is used, in each language."""
-    c = composition.composed(_documents(spark, sf_dir), "doc_id", "text", keep=("lang",))
+    c = composition.composed(spread(_documents(spark, sf_dir)), "doc_id", "text", keep=("lang",))
     usage = [F.sum(F.col("usage")[g]).alias(name) for g, (name, _) in enumerate(composition.GROUPS)]
     out = c.groupBy("lang").agg(F.sum("n_words").alias("raw"), F.sum("n_units").alias("compressed"), F.sum("n_active").alias("active"), F.sum("n_multi").alias("multi"), F.bool_and("round_trip").alias("round_trip"), *usage)
     return out.withColumn("ratio", F.try_divide("compressed", "raw"))

@@ -24,6 +24,12 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Rows of a plain scan over as many tasks as there are cores, where files come in fewer parts: one row group is one task else."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 class Tables:
     """Tables that are written once and read many times, below the shared folder; removed when the program ends."""
 
