@@ -540,7 +540,7 @@ VOCABULARY = 400
 
 
 def _trained(spark, sf_dir):
-    return bpe.fitted(_documents(spark, sf_dir), "text", VOCABULARY)
+    return bpe.fitted(spread(_documents(spark, sf_dir)), "text", VOCABULARY)
 
 
 @query()
