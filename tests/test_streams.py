@@ -78,3 +78,12 @@ def joined(df):
 def test_entries_of_pairs_are_not_broadcast(spark, tmp_path):
     pair = lambda w: f"{w.lower()}/{int(w != w.lower())}"
     assert joined(streams.reverse_prefix_join(spark, turns(spark, tmp_path))) == runs_of(TURNS, 2, 3, " ", pair)
+
+
+def test_entries_of_words_are_not_broadcast(spark, tmp_path):
+    from weft.plans import queries
+
+    many = {k + 10 * i: t for k, t in TURNS.items() for i in range(2)}
+    rows = [(0, k, t) for k, t in many.items()] + [(0, 99, None)]
+    spark.createDataFrame(rows, "conv_id long, turn int, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    assert joined(queries.longest_prefix_join(spark, str(tmp_path))) == runs_of(many, 3, 5, "_")
