@@ -105,3 +105,14 @@ def test_groups_of_bytes_in_any_tokens(spark):
     df = spark.createDataFrame([(i, [bytearray(x) for x in r]) for i, r in enumerate(rows)], "i int, t array<binary>")
     got = {r["i"]: [[bytes(x) for x in g] for g in r["g"]] for r in df.select("i", streams.byte_components(F.col("t")).alias("g")).collect()}
     assert [got[i] for i in range(len(rows))] == want
+
+
+def test_entries_by_a_condition_need_no_join(spark):
+    from weft.functions import surfaces
+    from weft.plans import metadata
+
+    e = spark.createDataFrame([(["a", "b"],), (["a\nb", "b"],), (["\n", "b"],), ([None, "b"],)], "token_ids array<string>")
+    odd = e.select(F.explode("token_ids").alias("id")).where(surfaces.mixes_line_space(F.col("id")))
+    got = metadata.reachable(e, surfaces.mixes_line_space)
+    assert sorted(map(str, got.collect())) == sorted(map(str, metadata.reachable(e, odd).collect()))
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()

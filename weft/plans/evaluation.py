@@ -13,6 +13,7 @@ from weft.plans import metadata
 from weft.plans import queries as core
 from weft.plans.queries import _BASE_KEY, _LETTERS, _STATE, LOSSES, SURFACES, _base_sql, _documents, _fold, _lines, _losses, _quoted, _squad, _strip_sql, _surfaces, _vocabulary, table
 from weft.sources import corpus, datasets
+from weft.sources.shared import Tables, spread
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -304,10 +305,11 @@ e as (select distinct [ids[p], ids[p + 1]] as r from places)
 select count(*) as n_entries, count(*) filter (where len(list_filter(r, lambda w: regexp_matches(w, '[\t\n\x0b\f\r]') and regexp_matches(w, '[^\s]'))) = 0) as n_kept from e""")
 def allowed_entries(spark, sf_dir):
     """Pairs of neighbouring tokens of the corpus, and those without a token that mixes line ends with other characters."""
-    t = _documents(spark, sf_dir).select(F.split("text", " ").alias("ids")).select("ids", F.explode(F.expr("sequence(1, size(ids))")).alias("p"))
-    e = t.where(F.col("p") < F.size("ids")).select(F.slice("ids", F.col("p"), F.lit(2)).alias("token_ids")).distinct()
-    odd = e.select(F.explode("token_ids").alias("id")).distinct().where(surfaces.mixes_line_space(F.col("id")))
-    kept = metadata.reachable(e, odd)
+    # Neighbours meet inside their row: an array that is copied to each of its places grows with the square of its length.
+    t = spread(_documents(spark, sf_dir).select("text")).select(F.split("text", " ").alias("ids"))
+    pairs = F.zip_with(F.slice("ids", F.lit(1), F.size("ids") - 1), F.slice("ids", F.lit(2), F.size("ids")), lambda a, b: F.array(a, b))
+    e = Tables(spark, "entries").keep(t.select(F.explode(pairs).alias("token_ids")).distinct(), "pairs")
+    kept = metadata.reachable(e, surfaces.mixes_line_space)
     return e.agg(F.count("*").alias("n_entries")).crossJoin(kept.agg(F.count("*").alias("n_kept")))
 
 
