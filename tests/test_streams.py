@@ -116,3 +116,16 @@ def test_entries_by_a_condition_need_no_join(spark):
     got = metadata.reachable(e, surfaces.mixes_line_space)
     assert sorted(map(str, got.collect())) == sorted(map(str, metadata.reachable(e, odd).collect()))
     assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_validation_reads_all_parts_of_its_shard(spark, tmp_path):
+    from weft.sources import corpus
+
+    docs = spark.createDataFrame([(i, "é" * i) for i in range(9)], "doc_id long, text string")
+    for name in ("documents", "more"):
+        docs.repartition(3).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert tuple(streams.validation_rows(spark, str(tmp_path)).first()) == (1, 9, 36)
+    both = [str(tmp_path / f"{name}.parquet") for name in ("more", "documents")]
+    assert {(r["file"], r["n"]) for r in corpus.split(spark, both, "train").groupBy("file").agg(F.count("*").alias("n")).collect()} == {("documents.parquet", 9)}
+    with pytest.raises(ValueError, match="at least two"):
+        corpus.split(spark, both[:1], "train")

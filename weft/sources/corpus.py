@@ -29,10 +29,22 @@ def shards(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame([(name, i) for i, (name, _) in enumerate(_listed(spark, folder))], "file string, place long")
 
 
-def split(spark: SparkSession, folder: str, which: str, text: str = "text") -> DataFrame:
-    """Rows of the training files (all but the last by name) or of the validation file, with file and row number."""
+def split(spark: SparkSession, folder: str | list[str], which: str, text: str = "text") -> DataFrame:
+    """Rows of the training files (all but the last by name) or of the validation file, with file and row number.
+
+    A list names the shards themselves: each is a file, or a folder whose parts are one shard and count their rows apart.
+    """
     if which not in ("train", "val"):
         raise ValueError("split must be train or val")
+    if not isinstance(folder, str):
+        *first, last = sorted(folder, key=os.path.basename)
+        if which == "train" and not first:
+            raise ValueError("training needs at least two files")
+        out = None
+        for path in [last] if which == "val" else first:
+            one = spark.read.parquet(path).select(text, F.lit(os.path.basename(path)).alias("file"), F.col("_metadata.row_index").alias("row"))
+            out = one if out is None else out.union(one)
+        return out
     rows = spark.read.parquet(folder).select(text, F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
     ends = shards(spark, folder).agg(F.min("file").alias("lo"), F.max("file").alias("hi")).first()
     if which == "train" and ends["lo"] == ends["hi"]:
