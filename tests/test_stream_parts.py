@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from test_contextual import SCENARIOS, composer
-from weft.plans import contextual, ids
+from weft.plans import bpe, contextual, ids
 
 
 def flat(streams):
@@ -94,6 +94,16 @@ def test_forgetting_between_batches(english, monkeypatch):
     same(english, [[r.choice(some) for _ in range(20)] for _ in range(200)], 3)
 
 
+def test_chunks_are_merged_at_once():
+    r = random.Random(1)
+    merges = [(97, 97), (97, 98), (256, 256), (98, 257), (256, 97), (195, 169), (99, 261), (257, 257)]
+    chunks = ["".join(r.choice("aabéc") for _ in range(r.randrange(0, 90))) for _ in range(800)]
+    lists = [chunks[k : k + 9] if k % 4 else None for k in range(0, 800, 5)]
+    one, many = bpe.Encoder(merges), bpe.Encoder(merges)
+    assert many.column(pa.array(lists)).to_pylist() == [[i for x in y or () for i in one.merged(list(x.encode()))] for y in lists]
+    assert bpe.Encoder([]).column(pa.array([["ab", ""], [], None])).to_pylist() == [[97, 98], [], []]
+
+
 def test_null_and_empty_streams(spark, tmp_path):
     spark.createDataFrame([(1, "en", None), (2, "en", ""), (3, "de", "The dog\nof it's é")], "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert sorted(tuple(r) for r in ids.id_bytes(spark, str(tmp_path)).collect()) == [(1, 0), (2, 0), (3, 18)]
