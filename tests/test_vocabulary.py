@@ -40,6 +40,19 @@ def test_single_tokens_and_passes(tokens):
         vocabulary.closed(tokens, tokens.limit(2))
 
 
+def test_pure_merges_leave_earlier_entries(spark):
+    """Blanks that the pattern parts: what space and capitals have said of them stays; before, the merge replaced it."""
+    from weft.plans import ids
+
+    blank = [(32, 10), (256, 32), (10, 32)]  # " \n", " \n " and "\n "
+    entries = ids.metadata_passes_of(spark, blank)
+    by_ids = {}
+    for r in entries.collect():
+        by_ids.setdefault(tuple(r["token_ids"]), []).append((r["pass"], r["base_ids"]))
+    assert [p for p, _ in by_ids[256, 32]] == ["space_capital"] and by_ids[10, 32] == [("pure_merges", [258])]
+    assert {r["pass"] for r in ids.merged_passes(entries).where("token_ids = array(256L, 32L)").collect()} == {"space_capital"}
+
+
 def test_groups():
     groups = {"space_prefix": ["no", "with"], "determiners": ["no", "the"], "prepositions": ["no", "of"]}
     assert vocabulary.label_ranges(groups, {"with", "of"}) == [("space_prefix", 0, 0, 2), ("prepositions", 1, 2, 4)]
