@@ -26,3 +26,15 @@ def test_large_batches_are_encoded_in_slices(spark):
     rows = shared.slices([pa.RecordBatch.from_arrays([pa.array([[0] * 80] * 4000, pa.list_(pa.int32()))], names=["c"])], 0)
     seen += [b.num_rows for b in rows]
     assert len(seen) > 3 and sum(seen) == 4000 and max(seen) * 80 <= shared.AT_ONCE
+
+
+def test_id_queries_hold_small_batches(spark, tmp_path):
+    """Three Python workers in a row each hold a batch; of Spark's size before."""
+    from weft.plans import ids
+
+    spark.createDataFrame([(1, "en", "a b")], "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(name)
+    ids.id_bytes(spark, str(tmp_path))
+    assert int(spark.conf.get(name)) == shared.BATCH_BYTES
+    spark.conf.unset(name)
